@@ -109,18 +109,87 @@ def weighted_draws(df: DataFrame, draws: DataFrame, *, id_col: str, weight: str,
 
 
 def block_origins(df: DataFrame, *keys: str, height: int, width: int, block_px: int = geo.MOSAIC_CHUNK_PX,
-                  box: str | None = None, snap: bool = True, seed: int = 0) -> DataFrame:
+                  box: str | None = None, snap: bool = True, chunk_px: int = geo.MOSAIC_CHUNK_PX,
+                  pixel=geo.lonlat_to_pixel, seed: int = 0) -> DataFrame:
     """Block origin (row0, col0) per row: inside the row's ``box`` struct, or uniform over the array."""
     u = hash_uniform(*keys, seed=seed, stream=40)
     v = hash_uniform(*keys, seed=seed, stream=41)
     if box:
         b = F.col(box)
-        r, c = geo.lonlat_to_pixel(b["south"] + u * (b["north"] - b["south"]), b["west"] + v * (b["east"] - b["west"]))
+        r, c = pixel(b["south"] + u * (b["north"] - b["south"]), b["west"] + v * (b["east"] - b["west"]))
         clamp = lambda x, hi: F.greatest(F.lit(0), F.least(F.lit(hi - block_px), x.cast("long")))
         row0, col0 = clamp(r, height), clamp(c, width)
     else:
         row0, col0 = F.floor(u * (height - block_px)), F.floor(v * (width - block_px))
     if snap:
-        px = geo.MOSAIC_CHUNK_PX
-        row0, col0 = F.floor(row0 / px) * px, F.floor(col0 / px) * px
+        row0, col0 = F.floor(row0 / chunk_px) * chunk_px, F.floor(col0 / chunk_px) * chunk_px
     return df.withColumn("row0", row0.cast("long")).withColumn("col0", col0.cast("long"))
+
+
+def sample_blocks(blocks: DataFrame, tiles: DataFrame, *, per_block: int, years: int, key: str, tile: int, seed: int = 0) -> DataFrame:
+    """Up to ``per_block`` pixels per tile-aligned block that are valid in every year and band.
+
+    Returns key, row, col, targets (array over years, in year order). Validity is reduced to pixel
+    positions per tile before anything is joined, so vectors move only for the chosen pixels.
+    """
+    bad = lambda px: F.exists(px, lambda v: v.isNull() | (v == -128))
+    positions = F.filter(F.sequence(F.lit(0), F.size("pixels") - 1), lambda i: ~bad(F.get(F.col("pixels"), i)))
+    valid = tiles.select("tile_row", "tile_col", positions.alias("p")).groupBy("tile_row", "tile_col").agg(
+        F.collect_list("p").alias("ps")).where(F.size("ps") == years)  # one list per year, each at most one tile long
+    valid = valid.select("tile_row", "tile_col", F.aggregate(
+        F.slice("ps", F.lit(2), F.size("ps")), F.col("ps")[0], lambda acc, p: F.array_intersect(acc, p)).alias("ok"))
+    b = blocks.withColumn("tile_row", F.floor(F.col("row0") / tile).cast("long")).withColumn("tile_col", F.floor(F.col("col0") / tile).cast("long"))
+    picked = b.join(valid, ["tile_row", "tile_col"]).select(key, "tile_row", "tile_col", F.slice(F.sort_array(F.transform(
+        "ok", lambda i: F.struct(F.xxhash64(F.col(key), i, F.lit(seed)).alias("h"), i.alias("i")))), 1, per_block).alias("pick"))
+    got = picked.join(tiles, ["tile_row", "tile_col"]).select(
+        key, "tile_row", "tile_col", "year", F.transform("pick", lambda s: F.struct(
+            s["i"].alias("i"), F.get(F.col("pixels"), s["i"]).alias("v"))).alias("hit"))
+    long = got.select(key, "tile_row", "tile_col", "year", F.explode("hit").alias("h"))
+    return long.groupBy(key, "tile_row", "tile_col", F.col("h.i").alias("i")).agg(
+        F.sort_array(F.collect_list(F.struct("year", F.col("h.v").alias("v")))).alias("t")).select(
+        key, (F.col("tile_row") * tile + F.floor(F.col("i") / tile)).cast("long").alias("row"),
+        (F.col("tile_col") * tile + F.col("i") % tile).cast("long").alias("col"), F.transform("t", lambda x: x["v"]).alias("targets"))
+
+
+def first_on_land(df: DataFrame, key: str, polygons: DataFrame, draw, tries: int, first_stage: int = 3) -> DataFrame:
+    """(key, attempt, lat, lon): the first of up to ``tries`` draws on land, for the rows that get one.
+
+    ``draw(attempt)`` gives (lat, lon) columns. A short first stage settles most rows; only the rest
+    is expanded to the remaining attempts.
+    """
+    from .joins import on_land
+
+    def stage(rows: DataFrame, lo: int, hi: int) -> DataFrame:
+        a = rows.withColumn("attempt", F.explode(F.sequence(F.lit(lo), F.lit(hi))))
+        la, lo_ = draw(F.col("attempt"))
+        moved = a.select(key, "attempt", la.alias("lat"), lo_.alias("lon")).withColumn("__k", F.struct(key, "attempt"))
+        ok = on_land(moved, polygons, "__k")
+        best = ok.groupBy(key).agg(F.min(F.struct("attempt", "lat", "lon")).alias("b"))
+        return best.select(key, "b.attempt", "b.lat", "b.lon")
+
+    one = stage(df, 1, min(first_stage, tries))
+    if tries <= first_stage:
+        return one
+    return one.unionByName(stage(df.join(one, key, "left_anti"), first_stage + 1, tries))
+
+
+def land_anchors(ids: DataFrame, key: str, polygons: DataFrame, *, lat_min: float = -56.0, lat_max: float = 70.0, seed: int = 0,
+                 tries: int = 64) -> DataFrame:
+    """One area-weighted land point per id: latitudes uniform in their sine, redrawn until on land."""
+    lo, hi = math.sin(math.radians(lat_min)), math.sin(math.radians(lat_max))
+
+    def draw(attempt):
+        u = hash_uniform(key, attempt, seed=seed, stream=50)
+        v = hash_uniform(key, attempt, seed=seed, stream=51)
+        return F.degrees(F.asin(F.lit(lo) + u * (hi - lo))), v * 360.0 - 180.0
+
+    return first_on_land(ids.select(key), key, polygons, draw, tries, first_stage=4)
+
+
+def land_offsets(pairs: DataFrame, key: str, polygons: DataFrame, *, km: str = "lag_km", seed: int = 0, tries: int = 25) -> DataFrame:
+    """(key, attempt, lat, lon): each anchor moved ``km`` along the first bearing that ends on land."""
+    def draw(attempt):
+        brg = hash_uniform(key, attempt, seed=seed, stream=52) * F.lit(2 * math.pi)
+        return geo.geodesic_offset("lat", "lon", F.col(km), brg)
+
+    return first_on_land(pairs, key, polygons, draw, tries)
