@@ -159,8 +159,9 @@ def containment(source: DataFrame, target: DataFrame, value: str, *, numeric: bo
     """One row (coordinates, missing, bad): source values matched to distinct target values.
 
     Coordinates are rounded to six places. Equal values at a coordinate cancel by count first, which
-    is combined before the shuffle, so repeated rows at one coordinate cost one row. Only distinct
-    values left without an equal partner, at coordinates that lack one, meet in a task.
+    is combined before the shuffle, so repeated rows at one coordinate cost one row. A single value
+    left open at a coordinate is settled by aggregation; only several distinct open values of one
+    coordinate meet in a task.
     """
     val = F.when(F.isnan(value), None).otherwise(F.col(value)) if numeric else F.col(value).cast("string")
     key = lambda df, n: df.groupBy(F.round("lon", 6).alias("x"), F.round("lat", 6).alias("y"), val.alias("v")).agg(
@@ -183,6 +184,13 @@ def containment(source: DataFrame, target: DataFrame, value: str, *, numeric: bo
         return source.sparkSession.createDataFrame([(total, missing, bad)], "coordinates long, missing long, bad long")
     short = left.where("d > 0").select("x", "y").distinct()
     rest = left.join(short, ["x", "y"], "left_semi").join(have.select("x", "y"), ["x", "y"], "left_semi")
+    # one distinct open value at a coordinate: count its partners by plain aggregation
+    one = rest.where("d > 0").groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"), F.max("v").alias("b"), F.max("d").alias("need"))
+    near = F.abs(F.col("v") - F.col("b")) <= atol + 1e-5 * F.abs(F.col("b"))
+    easy = rest.where("d < 0").join(one.where("k = 1"), ["x", "y"], "right").groupBy("x", "y").agg(
+        F.max("need").alias("need"), F.coalesce(F.sum(F.when(near, -F.col("d"))), F.lit(0)).alias("got"))
+    bad_easy = easy.where("got < need").count()
+    rest = rest.join(one.where("k > 1"), ["x", "y"], "left_semi")
 
     def greedy(key, pdf: pd.DataFrame) -> pd.DataFrame:
         src = pdf[pdf.d > 0].sort_values("v")
@@ -200,7 +208,7 @@ def containment(source: DataFrame, target: DataFrame, value: str, *, numeric: bo
             ok &= need == 0
         return pd.DataFrame({"x": [key[0]], "y": [key[1]], "ok": [bool(ok)]})
 
-    bad = rest.groupBy("x", "y").applyInPandas(greedy, "x double, y double, ok boolean").where("not ok").count()
+    bad = rest.groupBy("x", "y").applyInPandas(greedy, "x double, y double, ok boolean").where("not ok").count() + bad_easy
     return source.sparkSession.createDataFrame([(total, missing, bad)], "coordinates long, missing long, bad long")
 
 

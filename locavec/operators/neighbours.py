@@ -319,13 +319,14 @@ def nearest(
     fields = T.StructType([train.schema[p] for p in payload])
     dedupe = Window.partitionBy("vec", "grp").orderBy("tid")
     train = (
-        train.select("tid", "vec", "ix", F.col("grp").cast("long").alias("grp"), *payload)
+        train.select(*[F.col(c).alias(c) for c in ("tid", "vec", "ix", *payload)], F.col("grp").cast("long").alias("grp"))
         .withColumn("__r", F.row_number().over(dedupe)).where(F.col("__r") <= k).drop("__r")
     )
     qid_type = queries.schema["qid"].dataType
     if isinstance(qid_type, T.StructType):  # every field nullable, as after a round trip
         qid_type = T.StructType([T.StructField(f.name, f.dataType) for f in qid_type])
-    queries = queries.select(F.col("qid").cast(qid_type).alias("qid"), "vec", "ix", F.col("grp").cast("long").alias("grp"))
+    queries = queries.select(F.col("qid").cast(qid_type).alias("qid"), *[F.col(c).alias(c) for c in ("vec", "ix")],
+                             F.col("grp").cast("long").alias("grp"))
     index, bc = _build_index(train, leaf_rows, residual)
     starts = np.concatenate([[0], np.cumsum(index.subs)]).astype("i8")
     subs_of = {int(i): int(index.subs[i]) for i in np.flatnonzero(index.subs > 1)}

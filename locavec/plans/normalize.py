@@ -144,9 +144,8 @@ def build_training_points(cities: DataFrame, draws: DataFrame, tiles: DataFrame,
     px = folds.sample_blocks(blocks, tiles, per_block=per_block, years=len(years), key="draw", tile=tile, seed=seed)
     lon, lat = unpixel(F.col("row"), F.col("col"))
     files.write_shards(px.select(lat.alias("lat"), lon.alias("lon"), "targets"), f"{out}/shards", years)
-    shards, _ = files.read_shards(spark, f"{out}/shards")
-    # ids follow from content, so that a recomputed task numbers its rows as before
-    pts = shards.withColumn("point_id", F.xxhash64("lat", "lon", F.to_json("targets"))).dropDuplicates(["point_id"])
+    shards, manifest = files.read_shards(spark, f"{out}/shards")
+    pts = files.number_shards(shards, manifest)
     pts = pts.withColumn("lat", F.col("lat").cast("double")).withColumn("lon", F.col("lon").cast("double"))
     vec = pts
     for name, w in teachers.items():
