@@ -156,12 +156,12 @@ def infer_task_type(df: DataFrame, y: str, max_classes: int = 100, tolerance: fl
     Distinct labels are counted only up to the limit, from the map-side reduced distinct set.
     """
     c = F.col(y)
+    few = df.select(y).distinct().limit(max_classes + 1).count()
     whole = df.agg(
         F.min(finite(y)).alias("all_finite"),
         F.max(F.abs(c - F.rint(c)) - F.lit(1e-5) * F.abs(F.rint(c))).alias("off"),
-    )
-    classes = df.select(y).distinct().limit(max_classes + 1).agg(F.count(F.lit(1)).alias("few"))
-    return whole.crossJoin(classes).select(  # one row with one row
+    ).withColumn("few", F.lit(few).cast("long"))
+    return whole.select(
         F.when(F.col("all_finite") & (F.col("off") <= tolerance) & (F.col("few") <= max_classes), "classification")
         .otherwise("regression").alias("task_type"),
         F.least(F.col("few"), F.lit(max_classes + 1)).alias("n_classes_seen"),

@@ -18,7 +18,7 @@ from .stats import vector_mean
 
 def annual_violations(teachers: DataFrame, annual: DataFrame, vectors: Sequence[str] = ()) -> DataFrame:
     """One row of counts: every reason for which the two tables cannot be joined."""
-    years = annual.agg(F.count_distinct("year").alias("n_years"))
+    n_years = annual.select("year").distinct().count()
     per_id = annual.groupBy("point_id").agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("year").alias("years"),
         F.count_if(F.col("aef").isNull() | F.exists("aef", lambda x: x.isNull())).alias("nulls"),
@@ -27,13 +27,13 @@ def annual_violations(teachers: DataFrame, annual: DataFrame, vectors: Sequence[
     tid = teachers.groupBy("point_id").agg(
         F.count(F.lit(1)).alias("t_rows"),
         *[F.count_if(F.coalesce(~V.all_finite(v), F.lit(True))).alias(f"bad_{v}") for v in vectors])
-    j = tid.join(per_id, "point_id", "full_outer").join(F.broadcast(years))  # one row
+    j = tid.join(per_id, "point_id", "full_outer")
     bad = sum([F.coalesce(F.sum(f"bad_{v}"), F.lit(0)) for v in vectors], F.lit(0))
     return j.agg(
         F.count_if(F.col("t_rows") > 1).alias("duplicate_points"),
         F.count_if(F.col("t_rows").isNull()).alias("orphans"),
         F.count_if(F.col("rows") > F.col("years")).alias("duplicate_years"),
-        F.count_if(F.coalesce(F.col("years"), F.lit(0)) < F.col("n_years")).alias("missing_years"),
+        F.count_if(F.coalesce(F.col("years"), F.lit(0)) < n_years).alias("missing_years"),
         F.coalesce(F.sum("nulls"), F.lit(0)).alias("null_vectors"),
         F.coalesce(F.sum("nodata"), F.lit(0)).alias("nodata_vectors"),
         bad.cast("long").alias("bad_teachers"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import summary
+from ..session import cut_lineage
 from ..sources import files
 
 # Default grids of the published summaries.
@@ -18,7 +19,9 @@ SEEDS = (0, 1, 2, 3, 4)
 def summarize_manifest(spark: SparkSession, manifest: str, *, seeds: Sequence[int] = SEEDS, values: Sequence[float] | None = None,
                        methods: Sequence[str] | None = None, task_type: str | None = None, **kw) -> DataFrame:
     buffered = kw.get("buffered", False)
-    rows = summary.method_rows(files.load_results(spark, manifest, seeds, buffered=buffered), buffered=buffered)
+    # result rows are read by several checks: parse the CSV files once
+    raw = cut_lineage(files.load_results(spark, manifest, seeds, buffered=buffered), "results")
+    rows = cut_lineage(summary.method_rows(raw, buffered=buffered), "methods")
     if task_type:
         rows = rows.where(rows["task_type"] == task_type)
     if methods is None:

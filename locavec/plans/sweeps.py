@@ -91,39 +91,44 @@ def evaluate_tasks(df: DataFrame, features: str, tasks: Sequence[str], *, task_t
     return scores.unionByName(scores.agg(F.avg("score").alias("score")).select(F.lit("MEAN").alias("task"), "score"))
 
 
-def _rows(scores: DataFrame, d: DataFrame, benchmark: str, tasks: Sequence[str], cell: float, spatial_folds: int, **extra) -> DataFrame:
+def _facts(d: DataFrame, max_rows: int | None) -> tuple[int, float, int]:
+    """Rows, median nearest-training distance and nonempty folds of one fold assignment."""
+    km = median_train_km(d, max_rows=max_rows).first()
+    return d.count(), float(km["median_nn_km"]) if km["median_nn_km"] is not None else float("nan"), int(km["n_folds"])
+
+
+def _rows(scores: DataFrame, facts: tuple[int, float, int], benchmark: str, tasks: Sequence[str], cell: float, **extra) -> DataFrame:
     """Scores (encoder/config, target, score) as result rows."""
     names = F.array(*[F.lit(t) for t in tasks])
-    info = d.agg(F.count(F.lit(1)).alias("n")).crossJoin(median_train_km(d).select("median_nn_km"))  # one row each
-    out = scores.crossJoin(F.broadcast(info))
+    n, km, n_folds = facts
     cols = {k: F.lit(v) for k, v in extra.items()}
-    return out.withColumns({
-        "benchmark": F.lit(benchmark), "family": category(F.lit(benchmark)), "task": F.get(names, F.col("target")),
-        "cell_deg": F.lit(float(cell)), "median_nn_train_km": F.round("median_nn_km", 2),
-        "n_folds_nonempty": F.lit(spatial_folds), **cols}).drop("median_nn_km", "target")
+    return scores.withColumns({
+        "n": F.lit(n).cast("long"), "benchmark": F.lit(benchmark), "family": category(F.lit(benchmark)), "task": F.get(names, F.col("target")),
+        "cell_deg": F.lit(float(cell)), "median_nn_train_km": F.round(F.lit(km), 2),
+        "n_folds_nonempty": F.lit(0 if cell == 0 else n_folds), **cols}).drop("target")
 
 
 def block_size_sweep(df: DataFrame, features: str, targets: Sequence[str], *, benchmark: str, widths: Sequence[int],
                      cells: Sequence[float] = CELL_SIZES, tag: str = "emb", seed: int = 0, alphas=models.RIDGE_ALPHAS,
-                     order: str = "hash") -> DataFrame:
+                     order: str = "hash", max_rows: int | None = None) -> DataFrame:
     """Prefix widths by cell size. All widths of a cell size come from one set of cross products."""
     parts = []
     for cell in cells:
         d = cut_lineage(with_folds(df, cell, seed=seed, order=order), "folds")
+        facts = _facts(d, max_rows)
         profiles = [models.Profile(f"ridge_w{w}", w) for w in widths]
         ch, means, _ = models.nested_score(d, features, targets=targets, profiles=profiles, alphas=alphas, rule="probe",
                                            inner="spatial" if cell else "random")
-        n_folds = 0 if cell == 0 else d.select("fold").distinct().count()
         lab = means.select(F.concat(F.lit(f"{tag}_"), F.substring("config", 8, 9)).alias("encoder"),
                            F.substring("config", 8, 9).cast("int").alias("width"), "target", F.round("score", 5).alias("score"))
-        parts.append(_rows(lab, d, benchmark, targets, cell, n_folds, task_type="regression"))
+        parts.append(_rows(lab, facts, benchmark, targets, cell, task_type="regression"))
     return union(parts).select("benchmark", "family", "task", "task_type", "n", "encoder", "width", "cell_deg",
                                "median_nn_train_km", "n_folds_nonempty", "score")
 
 
 def penalty_sweep(df: DataFrame, features: str, targets: Sequence[str], *, benchmark: str, widths: Sequence[int], starts: Sequence[int],
                   betas=models.CHUNK_BETAS, powers=models.POWER_EXPONENTS, cells: Sequence[float] = PENALTY_CELLS, seed: int = 0,
-                  alphas=models.RIDGE_ALPHAS, order: str = "hash") -> tuple[DataFrame, DataFrame]:
+                  alphas=models.RIDGE_ALPHAS, order: str = "hash", max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, choices) for every profile and family under the rules selected, nested, nested_spatial."""
     dim = df.select(F.size(features)).first()[0]
     profiles = models.make_profiles(dim, widths, betas, powers, starts)
@@ -132,14 +137,14 @@ def penalty_sweep(df: DataFrame, features: str, targets: Sequence[str], *, bench
     results, choices = [], []
     for cell in cells:
         d = cut_lineage(with_folds(df, cell, seed=seed, order=order), "folds")
-        n_folds = 0 if cell == 0 else d.select("fold").distinct().count()
-        for rule, inner in [("nested", "random")] + ([("nested_spatial", "spatial")] if n_folds >= 3 else []):
+        facts = _facts(d, max_rows)
+        for rule, inner in [("nested", "random")] + ([("nested_spatial", "spatial")] if cell and facts[2] >= 3 else []):
             ch, means, grid = models.nested_score(d, features, targets=targets, profiles=profiles, families=fams, alphas=alphas,
                                                   rule="clamp", inner=inner)
             picks = [(rule, means)] + ([("selected", models.selected(grid, pools))] if rule == "nested" else [])
             for name, m in picks:
-                results.append(_rows(m.select("config", "target", F.round("score", 5).alias("score")), d, benchmark, targets, cell,
-                                     n_folds, rule=name, task_type="regression"))
+                results.append(_rows(m.select("config", "target", F.round("score", 5).alias("score")), facts, benchmark, targets, cell,
+                                     rule=name, task_type="regression"))
             prof, alph = F.array(*[F.lit(p.name) for p in profiles]), F.array(*[F.lit(float(a)) for a in alphas])
             choices.append(ch.select(
                 F.lit(benchmark).alias("benchmark"), F.get(F.array(*[F.lit(t) for t in targets]), F.col("target")).alias("task"),
@@ -215,23 +220,29 @@ def buffered_sweep(df: DataFrame, features: str, targets: Sequence[str], *, benc
     ch = models.choose(grid, pools)
     sizes = grid.where("inner = -1").groupBy("outer").agg(F.max("n_train").alias("n_train"))
     per = ch.join(sizes, "outer").select("outer", "config", "target", "score", "n_train")
+    hits, held = _kept_neighbours(d, lv, rs, targets, idw_k or 1, folds)
     if idw_k:
-        per = per.unionByName(_buffered_idw(d, lv, rs, targets, idw_k, folds).join(sizes, "outer").select(
+        per = per.unionByName(_interpolated(hits, held, targets, idw_k).join(sizes, "outer").select(
             "outer", "config", "target", "score", "n_train"))
+    near = hits.where("rank = 1").select(F.col("qid.outer").alias("outer"), F.col("qid.id").alias("id"), "km")
+    med = stats.percentiles(near, "km", "id", [0.5], group=["outer"]).select("outer", F.col("value").alias("med"))
+    per = per.join(med, "outer", "left")
     n = d.count()
     dec = per.withColumn("j", F.col("outer") % len(rs)).withColumn("m", F.floor(F.col("outer") / (len(rs) * folds)))
     out = dec.groupBy("j", "m", "config", "target").agg(
-        F.avg("score").alias("score"), F.min("n_train").alias("least"), F.avg("n_train").alias("kept"), F.count(F.lit(1)).alias("n_folds"))
+        F.avg("score").alias("score"), F.min("n_train").alias("least"), F.avg("n_train").alias("kept"), F.count(F.lit(1)).alias("n_folds"),
+        F.avg("med").alias("med"))
     return out.select(
         F.lit(benchmark).alias("benchmark"), F.get(F.array(*[F.lit(t) for t in targets]), F.col("target")).alias("task"), "config",
         F.get(F.array(*[F.lit(float(r)) for r in rs]), F.col("j").cast("int")).alias("radius_km"),
         F.when(F.col("m") == 0, "buffer").otherwise("random_drop").alias("mode"), F.lit(seed).alias("fold_seed"), "n_folds",
         F.floor("kept").cast("long").alias("n_train_kept"), F.round(F.col("kept") / (n * (folds - 1) / folds), 4).alias("frac_kept"),
+        F.round("med", 2).alias("median_nn_km"),
         F.when(F.col("least") >= min_train, F.round("score", 5)).alias("score"))
 
 
-def _buffered_idw(d: DataFrame, lv: DataFrame, rs: Sequence[float], targets: Sequence[str], k: int, folds: int) -> DataFrame:
-    """Interpolation scores per (outer code, target) with the retained training rows only."""
+def _kept_neighbours(d: DataFrame, lv: DataFrame, rs: Sequence[float], targets: Sequence[str], k: int, folds: int) -> tuple[DataFrame, DataFrame]:
+    """Nearest retained training rows of every held-out row under every radius and mode, and those rows."""
     code = lambda j: (F.when(F.col("mode") == "buffer", 0).otherwise(1) * folds + F.col("target")) * len(rs) + j
     kept = lv.where("level > 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("level") - 1)))
     train = d.select("id", "lat", "lon", *targets).join(kept.select("id", code(F.col("j")).alias("outer")), "id")
@@ -241,6 +252,11 @@ def _buffered_idw(d: DataFrame, lv: DataFrame, rs: Sequence[float], targets: Seq
     hits = NB.nearest(NB._sphere(held, "key", "qid", "lat", "lon", F.col("outer")),
                       NB._sphere(train, "id", "tid", "lat", "lon", F.col("outer"), tuple(targets)),
                       k=k, mode="same", payload=tuple(targets)).withColumn("km", geo.chord_to_km("dist"))
+    return cut_lineage(hits, "kept"), held
+
+
+def _interpolated(hits: DataFrame, held: DataFrame, targets: Sequence[str], k: int) -> DataFrame:
+    """Interpolation scores per (outer code, target)."""
     parts = []
     for t, name in enumerate(targets):
         pred = metrics.idw(hits, [k], name).withColumn("id", F.col("qid.id")).withColumn("outer", F.col("qid.outer"))

@@ -1 +1,236 @@
+"""Queries for models and sweeps. Sweeps run their whole input on a reduced parameter grid."""
 
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from .. import fixtures as X
+from ..operators import clean, folds, metrics, models, stats
+from ..plans import normalize, sweeps
+from ..session import cut_lineage, shared_dir
+from ..sources import files
+from .core import PTS, R, W, query, r
+
+PROFILES = models.make_profiles(X.DIM, X.WIDTHS, models.CHUNK_BETAS, models.POWER_EXPONENTS, X.STARTS)
+FAMILIES = models.make_families(PROFILES, X.DIM)
+FEW = (0.1, 10.0, 1000.0)
+
+
+def blocked(spark, sf, cell=10.0):
+    """Vectors with spatial folds and inner buckets, written once."""
+    return cut_lineage(sweeps.with_folds(X.vectors(spark, sf), cell, order="lex"), "folds")
+
+
+def _alpha(alphas):
+    return F.get(F.array(*[F.lit(float(a)) for a in alphas]), F.col("alpha")).alias("alpha")
+
+
+def _profile(profiles=PROFILES):
+    return F.get(F.array(*[F.lit(p.name) for p in profiles]), F.col("profile")).alias("profile")
+
+
+@query("mdl1_ridge_eval")
+def mdl1(spark, sf):
+    """Held-out R^2 per spatial fold at one penalty, with and without standardization."""
+    d, out = blocked(spark, sf), None
+    for rule in ("probe", "none"):
+        g, _ = models.score_grid(d, "v", targets=["y"], alphas=(1.0,), rule=rule, inner="none")
+        part = g.select(F.lit(rule).alias("rule"), F.col("outer").alias("fold"), R("score").alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("mdl2_chunk_ridge")
+def mdl2(spark, sf):
+    d = X.vectors(spark, sf)
+    m = models.fit_chunk_ridge(d, "v", ["y", "lat"], alpha=2.0, beta=3.0, boundaries=X.STARTS)
+    return models.predict_ridge(d, "v", m).select("id", R(F.col("pred")[0]).alias("y"), R(F.col("pred")[1], 4).alias("lat"))
+
+
+@query("mdl3_alpha_path")
+def mdl3(spark, sf):
+    """Spatial folds, one cross-product pass, every penalty, spatial inner selection, R^2 per fold."""
+    d = folds.spatial_folds(X.vectors(spark, sf), cell_deg=10.0, order="lex").withColumn("bucket", F.lit(0))
+    g, _ = models.score_grid(d, "v", targets=["y"], rule="probe", inner="spatial", profiles=[models.Profile("ridge_w64", 64)])
+    return models.choose(cut_lineage(g, "grid"), {"ridge_w64": [0]}).select(
+        F.col("outer").alias("fold"), _alpha(models.RIDGE_ALPHAS), R("inner_score").alias("inner_score"), R("score").alias("score"))
+
+
+@query("mdl4_profiles")
+def mdl4(spark, sf):
+    """Best outer-fold mean of every profile and family."""
+    g, _ = models.score_grid(blocked(spark, sf), "v", targets=["y"], profiles=PROFILES, rule="clamp", inner="none")
+    return models.selected(g, {p.name: [i] for i, p in enumerate(PROFILES)} | FAMILIES).select("config", R("score").alias("score"))
+
+
+@query("mdl5_nested_selection")
+def mdl5(spark, sf):
+    """Per-fold (profile, penalty) of every pool under random and spatial inner folds."""
+    d, out = blocked(spark, sf), None
+    for rule, inner in (("nested", "random"), ("nested_spatial", "spatial")):
+        ch, _, _ = models.nested_score(d, "v", targets=["y"], profiles=PROFILES, families=FAMILIES, rule="clamp", inner=inner)
+        part = ch.select("config", F.lit(rule).alias("rule"), F.col("outer").alias("fold"), _profile(), _alpha(models.RIDGE_ALPHAS), R("score").alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("mdl5_nested_classification")
+def mdl5b(spark, sf):
+    d, n = models.class_codes(blocked(spark, sf), "cls")
+    ch, _, _ = models.nested_score(d, "v", cls="cls_code", n_classes=n, alphas=FEW, inner="spatial")
+    return ch.select(F.col("outer").alias("fold"), _alpha(FEW), R("inner_score").alias("inner_score"), R("score").alias("score"))
+
+
+@query("mdl6_fold_predictions")
+def mdl6(spark, sf):
+    p = models.fold_predictions(blocked(spark, sf), "v", "id", target="y")
+    return p.select("id", "fold", R("truth").alias("truth"), R("pred").alias("pred"))
+
+
+@query("mdl7_logistic")
+def mdl7(spark, sf):
+    d = folds.stratified_folds(X.vectors(spark, sf), "id", "cls", seed=0)
+    return models.logistic_scores(cut_lineage(d, "folds"), "v", "cls").select("fold", "c", R("accuracy").alias("accuracy"))
+
+
+@query("mdl7_logistic_c_sweep")
+def mdl7b(spark, sf):
+    """Best accuracy over the penalty grid, chosen on the held-out fold as the original does."""
+    d = folds.stratified_folds(X.vectors(spark, sf), "id", "cls", folds=2, seed=0)
+    s = models.logistic_scores(cut_lineage(d, "folds"), "v", "cls", cs=models.LOGISTIC_CS, max_iter=60)
+    return s.groupBy("fold").agg(R(F.max("accuracy")).alias("accuracy"))
+
+
+@query("mdl8_knn_probe")
+def mdl8(spark, sf):
+    d = folds.stratified_folds(X.vectors(spark, sf), "id", "cls", seed=0)
+    return models.knn_scores(cut_lineage(d, "folds"), "v", "id", "cls").select("fold", R("accuracy").alias("accuracy"), "n")
+
+
+@query("mdl9_principal_scores")
+def mdl9(spark, sf):
+    """Three scores of the full vector, a prefix on its own basis, and a band on the shared one."""
+    p = models.PrincipalScores(X.vectors(spark, sf).select("id", "v"), "v")
+    full = p.heavy_tail_positive(p.own(0, 64), "id")
+    parts = {"full": full, "prefix_own_16": p.align(p.own(0, 16), full), "prefix_shared_16": p.cut(full, 0, 16), "band_own_16_32": p.align(p.own(16, 32), full)}
+    out = None
+    for name, basis in parts.items():
+        s = p.scores(basis).select("id", F.lit(name).alias("part"), *[R(F.col("pc")[i], 5).alias(f"pc{i + 1}") for i in range(3)])
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@query("mdl10_leave_one_out_ridge")
+def mdl10(spark, sf):
+    return models.loo_ridge_r2(blocked(spark, sf, 0.0), "v", "y").select("fold", "alpha", R("r2").alias("r2"))
+
+
+@query("mdl11_evaluate_tasks")
+def mdl11(spark, sf):
+    """Two regression tasks under spatial folds, with the mean row."""
+    d = X.vectors(spark, sf).withColumn("lat_task", F.col("lat"))
+    return sweeps.evaluate_tasks(d, "v", ["y", "lat_task"], spatial=True, alphas=FEW).select("task", R("score").alias("score"))
+
+
+@query("mdl12_block_size_sweep")
+def mdl12(spark, sf):
+    return sweeps.block_size_sweep(X.vectors(spark, sf), "v", ["y"], benchmark="vectors", widths=X.WIDTHS, cells=(0.0, 10.0, 40.0), order="lex")
+
+
+@query("mdl13_penalty_sweep")
+def mdl13(spark, sf):
+    res, _ = sweeps.penalty_sweep(X.vectors(spark, sf), "v", ["y"], benchmark="vectors", widths=X.WIDTHS, starts=X.STARTS, cells=(0.0, 10.0), order="lex", alphas=FEW)
+    return res.select("config", "rule", "cell_deg", "task", "n", "median_nn_train_km", "n_folds_nonempty", "score")
+
+
+_XYZ = "xyz AS (SELECT *, cos(radians(lat))*cos(radians(lon)) AS x, cos(radians(lat))*sin(radians(lon)) AS yy, sin(radians(lat)) AS z FROM f)"
+_FOLD = ("c AS (SELECT 10.0::DOUBLE AS cell, a, b, (row_number() OVER (ORDER BY a, b)-1)%5 AS fold FROM (SELECT DISTINCT floor(lat/10) AS a, floor(lon/10) AS b FROM pts)), "
+         "f AS (SELECT 0.0::DOUBLE AS cell, id, lat, lon, y, (row_number() OVER (ORDER BY id)-1)%5 AS fold FROM pts UNION ALL "
+         "SELECT cell, id, lat, lon, y, fold FROM pts JOIN c ON floor(lat/10)=a AND floor(lon/10)=b)")
+_CH = "sqrt((a.x-b.x)*(a.x-b.x)+(a.yy-b.yy)*(a.yy-b.yy)+(a.z-b.z)*(a.z-b.z))"
+_NB = (f"n AS (SELECT a.cell, a.fold, a.id, a.y AS truth, b.y, greatest(2*6371.0*asin(least(1.0,{_CH}/2)),0.01) AS km, row_number() OVER (PARTITION BY a.cell, a.id ORDER BY {_CH}, b.id) AS rank "
+       "FROM xyz a JOIN xyz b ON a.cell=b.cell AND a.fold<>b.fold)")
+_PR = "p AS (SELECT cell, fold, k, id, any_value(truth) AS truth, sum(y/km)/sum(1/km) AS pred FROM n, (VALUES (1),(5),(20)) t(k) WHERE rank<=k GROUP BY 1,2,3,4)"
+
+
+@query("mdl14_interpolation_sweep", W(PTS, _FOLD, _XYZ, _NB, _PR) + f"SELECT cell AS cell_deg, k::INT AS k, {r('avg(s)', 4)} AS score FROM "
+       "(SELECT cell, fold, k, 1-sum((truth-pred)*(truth-pred))/(var_pop(truth)*count(*)) AS s FROM p GROUP BY 1,2,3) GROUP BY 1,2")
+def mdl14(spark, sf):
+    d = X.points(spark, sf).select("id", "lat", "lon", "y")
+    parts = []
+    for cell in (0.0, 10.0):  # unrounded per-fold scores, so that the mean rounds alike in both engines
+        f = sweeps.with_folds(d, cell, order="lex")
+        hits = sweeps.NB.sphere_knn(f, k=20, payload=("y",))
+        j = metrics.idw(hits, (1, 5, 20), "y").join(f.select(F.col("id").alias("qid"), "fold", F.col("y").alias("truth")), "qid")
+        parts.append(metrics.r2_by(j, ["fold", "k"], floor=None).groupBy("k").agg(R(F.avg("score"), 4).alias("score")).select(
+            F.lit(cell).alias("cell_deg"), "k", "score"))
+    return sweeps.union(parts)
+
+
+@query("mdl15_buffered_exclusion")
+def mdl15(spark, sf):
+    pr = [models.Profile("ridge_w16", 16), models.Profile("ridge_w64", 64)]
+    return sweeps.buffered_sweep(X.vectors(spark, sf), "v", ["y"], benchmark="vectors", radii=(0.0, 200.0, 400.0), profiles=pr, families={"cv_width": [0, 1]},
+                                 alphas=FEW, idw_k=5)
+
+
+@query("mdl16_distance_error")
+def mdl16(spark, sf):
+    d = X.vectors(spark, sf).withColumn("v8", F.slice("v", 1, 8))
+    out = sweeps.distance_error_sweep(d, {"emb_8": "v8", "emb_64": "v"}, "y", cells=(0.0, 10.0), alphas=FEW, order="lex")
+    return out.select("encoder", "cell_deg", "bin", "lo_km", "hi_km", "n", "skill")
+
+
+@query("mdl17_variogram_sweep")
+def mdl17(spark, sf):
+    """Two networks without a land mask: half-sill distance per prefix."""
+    a = X.points(spark, sf).select("id", "lat", "lon")
+    parts = []
+    for tag, depth in (("deep", 3), ("shallow", 1)):
+        v = sweeps.variogram(a, X.demo_weights(depth=depth), widths=(8, 64), lags=[float(x) for x in np.geomspace(1, 4000, 12)], pairs_per_lag=512, dim=64, tag=tag)
+        parts.append(v.groupBy("encoder", "width").agg(R(F.max("sill")).alias("sill"), R(F.max("half_sill_km"), 3).alias("half_sill_km"), F.sum("n_pairs").alias("n_pairs")))
+    return sweeps.union(parts)
+
+
+def _raw_family(spark, sf):
+    """Raw files shaped like four source families, derived from the customers."""
+    root, p = shared_dir(spark, "raw"), X.points(spark, sf)
+    put = lambda d, name: d.write.option("header", True).csv(f"{root}/{name}")
+    put(p.select(F.col("lon").alias("Longitude"), F.col("lat").alias("Latitude"), F.col("y").alias("MedHouseVal")), "california_housing/california_housing.csv")
+    pt = F.concat(F.lit("POINT ("), F.format_string("%.2f", "lon"), F.lit(" "), F.format_string("%.2f", "lat"), F.lit(")"))
+    put(p.select(F.col("id").alias("ZCTA5"), pt.alias("Geolocation"), F.col("y").alias("PHLTH_CrudePrev")), "cdc_places/cdc_places_zcta_2023.csv")
+    for name, part in (("trainval", p.where(F.col("id") % 4 != 0)), ("test", p.where(F.col("id") % 4 == 0))):
+        put(part.select(F.col("id").alias("DHSID_EA"), "lat", "lon", "year", F.col("y").alias("asset_index")), f"sustainbench/dhs_{name}_labels.csv")
+    for k in catalog_labels():
+        d = p.select(F.col("id").alias("ID"), "lat", "lon", F.col("y").alias(k))
+        put(d.drop("lat", "lon") if k in ("income", "housing") else d.where(F.col("id") % 10 != 0), f"usavars/usavars_{k}.csv")
+    return root
+
+
+def catalog_labels():
+    from ..sources.catalog import USAVARS_LABELS
+
+    return USAVARS_LABELS
+
+
+@query("mdl19_normalize_sources", W(PTS) + f"""SELECT config, count(*)::BIGINT AS n, {r('sum(lon)', 3)} AS lon, {r('sum(lat)', 3)} AS lat, count(ts)::BIGINT AS stamped,
+ count(DISTINCT split)::BIGINT AS splits, count(ident)::BIGINT AS ids FROM (
+ SELECT 'california_housing' AS config, lon, lat, NULL AS ts, NULL AS split, NULL AS ident FROM pts UNION ALL SELECT 'cdc_places', lon, lat, NULL, NULL, NULL FROM pts
+ UNION ALL SELECT 'sustainbench', lon, lat, 1, CASE WHEN id%4=0 THEN 'test' ELSE 'trainval' END, id FROM pts
+ UNION ALL SELECT 'usavars_'||k, lon, lat, NULL, NULL, id FROM pts, (VALUES ('treecover'),('elevation'),('population'),('nightlights'),('income'),('roads'),('housing')) t(k) WHERE id%10<>0) GROUP BY 1""")
+def mdl19(spark, sf):
+    root, out, parts = _raw_family(spark, sf), shared_dir(spark, "normalized"), []
+    for family in ("california_housing", "cdc_places", "sustainbench", "usavars"):
+        for config in normalize.normalize_family(spark, root, out, family):
+            d = files.read_canonical(spark, out, config)
+            parts.append(d.agg(F.count(F.lit(1)).alias("n"), R(F.sum("lon"), 3).alias("lon"), R(F.sum("lat"), 3).alias("lat"), F.count("timestamp").alias("stamped"),
+                               F.count_distinct("split").alias("splits"), F.count("id").alias("ids")).withColumn("config", F.lit(config)))
+    return sweeps.union(parts)
+
+
+@query("mdl19_check_sources", W(PTS) + "SELECT 'california_housing' AS config, 'MedHouseVal' AS \"column\", count(DISTINCT (lat,lon))::BIGINT AS coordinates, 0::BIGINT AS missing, 0::BIGINT AS bad FROM pts")
+def mdl19b(spark, sf):
+    root, out = _raw_family(spark, sf), shared_dir(spark, "normalized")
+    normalize.normalize_family(spark, root, out, "california_housing")
+    return normalize.check_family(spark, root, out, "california_housing")

@@ -54,8 +54,7 @@ def jon2(spark, sf):
     a = p.select("id", F.when(F.col("id") % 6 != 0, F.col("lat")).alias("lat"), "lon")
     b = p.select("id", F.when(F.col("id") % 4 != 0, F.col("lat")).alias("lat"), "lon")
     got, lost = clean.fill_coordinates(p.select("id", "y"), [a, b])
-    n = lost.agg(F.count(F.lit(1)).alias("dropped"))
-    return got.crossJoin(F.broadcast(n)).select("id", "y", R("lat").alias("lat"), R("lon").alias("lon"), "dropped")  # one row
+    return got.select("id", "y", R("lat").alias("lat"), R("lon").alias("lon"), F.lit(lost.count()).cast("long").alias("dropped"))
 
 
 @query("jon3_pool", W(PTS) + "SELECT id, y FROM pts WHERE cls='MACHINERY'")

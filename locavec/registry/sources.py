@@ -215,7 +215,18 @@ def src16(spark, sf):
     return files.read_overview(spark, path)
 
 
-@query("mdl18_summary_job", None)
+_SUM = W(RESULTS).rstrip() + """, o AS (SELECT benchmark, cell_deg, max(median_nn_train_km) AS d FROM results GROUP BY 1,2),
+ lg AS (SELECT *, lag(cell_deg) OVER w AS p, lag(d) OVER w AS pd FROM o WINDOW w AS (PARTITION BY benchmark ORDER BY cell_deg)),
+ bad AS (SELECT benchmark, cell_deg FROM lg WHERE p>0 AND d=pd),
+ t AS (SELECT seed, encoder AS method, cell_deg AS value, benchmark, family, avg(greatest(score,-1.0)) AS s FROM results ANTI JOIN bad USING (benchmark, cell_deg) GROUP BY 1,2,3,4,5),
+ c AS (SELECT value, benchmark FROM t GROUP BY 1,2 HAVING count(DISTINCT (seed,method))=15), k AS (SELECT t.* FROM t JOIN c USING (value, benchmark)),
+ ps AS (SELECT method, value, seed, 'all' AS family, avg(s) AS s, count(*) AS n, string_agg(benchmark, ';' ORDER BY benchmark) AS names FROM k GROUP BY 1,2,3
+  UNION ALL SELECT method, value, seed, family, avg(s), count(*), string_agg(benchmark, ';' ORDER BY benchmark) FROM k GROUP BY 1,2,3,4)
+ SELECT method, 'regression' AS task_type, family, value, """ + f"{r('avg(s)')} AS mean, {r('stddev_samp(s)')} AS std, max(n)::BIGINT AS n_benchmarks, max(names) AS benchmarks FROM ps GROUP BY 1,3,4"
+
+
+@query("mdl18_summary_job", _SUM)
 def mdl18(spark, sf):
     s = summary_job.summarize_manifest(spark, _manifest(spark, sf), categories=True)
-    return s.select("method", "task_type", "family", "value", R("mean").alias("mean"), R("std").alias("std"), "n_benchmarks", "benchmarks")
+    return s.select("method", "task_type", "family", "value", R("mean").alias("mean"), R("std").alias("std"),
+                    F.col("n_benchmarks").cast("long").alias("n_benchmarks"), "benchmarks")
