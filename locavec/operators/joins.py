@@ -192,7 +192,7 @@ def containment(source: DataFrame, target: DataFrame, value: str, *, numeric: bo
     bad_easy = easy.where("got < need").count()
     rest = rest.join(one.where("k > 1"), ["x", "y"], "left_semi")
 
-    def greedy(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def greedy(key, pdf):
         src = pdf[pdf.d > 0].sort_values("v")
         pool = pdf[pdf.d < 0].sort_values("v")
         v, free = pool.v.to_numpy("f8"), (-pool.d).to_numpy("i8").copy()
