@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions import vectors as V
-from .primitives import _c, hash_rank, value_rank
-from pyspark.sql.window import Window
+from .primitives import _c, hash_uniform
 
 CANONICAL_COLUMNS = ("lon", "lat", "timestamp", "timestamp_end", "split", "id")
 LON_NAMES = ("lon", "longitude", "Lon", "x")
@@ -177,13 +177,20 @@ def is_test(df: DataFrame, scheme: str | None = None) -> Column:
     return F.coalesce(F.col(f"{scheme}_split" if scheme else "split").cast("string") == "test", F.lit(False))
 
 
-def sorted_codes(df: DataFrame, label: str, id_col: str, out: str = "code") -> DataFrame:
-    """Class codes in label order, by ranking the distinct labels; works for many labels.
+def sorted_codes(df: DataFrame, label: str, id_col: str, out: str = "code", buckets: int = 128) -> DataFrame:
+    """Class codes in label order, by ranking the distinct labels; works for any number of labels.
 
-    The rank comes from a count per leading-characters bucket plus a window inside the bucket.
+    Cut points come from a bounded sample of the distinct labels; codes are a count per bucket plus
+    a window inside it, so labels that share a long prefix still spread over the buckets.
     """
-    labels = df.select(label).where(F.col(label).isNotNull()).distinct().withColumn("__b", F.substring(F.col(label).cast("string"), 1, 2))
-    offs = labels.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).withColumn(
+    labels = df.select(label).where(F.col(label).isNotNull()).distinct()
+    n, want = labels.count(), 32 * buckets
+    few = labels if n <= want else labels.where(hash_uniform(label, seed=17) < want / n)
+    seen = sorted(r[0] for r in few.limit(2 * want).collect())
+    cuts = seen[:: max(1, len(seen) // buckets)][1:]
+    cut_array = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast(T.ArrayType(df.schema[label].dataType))
+    labels = labels.withColumn("__b", F.size(F.filter(cut_array, lambda c: c <= F.col(label))))
+    offs = labels.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).withColumn(  # one row per bucket
         "__off", F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__b")) - F.col("__n")).select("__b", "__off")
     w = Window.partitionBy("__b").orderBy(label)
     codes = labels.withColumn("__r", F.row_number().over(w)).join(offs, "__b").select(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo
+from ..session import cut_lineage
 from .stats import percentiles
 
 # Distance bin edges in km and the rows below which a bin has no skill.
@@ -79,6 +80,7 @@ def first_crossing(bins: DataFrame, narrow: str, wide: str, keys: Sequence[str]
 
 def fold_median_km(distances: DataFrame, id_col: str = "id", fold: str = "fold") -> DataFrame:
     """Mean over folds of the median nearest distance (one row)."""
+    distances = cut_lineage(distances.select(id_col, fold, "km"), "km")  # ranking reads it several times
     med = percentiles(distances, "km", id_col, [0.5], group=[fold])
     return med.agg(F.avg("value").alias("median_nn_km"), F.count(F.lit(1)).alias("n_folds"))
 
