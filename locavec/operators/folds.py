@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..session import broadcast_if_bounded
-from .primitives import fixed_sample, hash_rank, hash_uniform, prefix_sum, value_rank
+from .primitives import fixed_sample, hash_rank, hash_uniform, prefix_sum, ranked_in_buckets, value_rank
 
 __all__ = ["fixed_sample"]
 
@@ -27,9 +27,8 @@ def spatial_folds(df: DataFrame, *, folds: int = 5, cell_deg: float = 10.0, seed
     if order == "hash":
         ranked = hash_rank(cells, ["__cla", "__clo"], seed=seed, stream=3, out="__r")
     elif order == "lex":
-        span = int(math.ceil(720.0 / cell_deg)) + 8
-        key = F.col("__cla") * span + F.col("__clo")
-        ranked = value_rank(cells.withColumn("__k", key), "__k", "__clo", out="__r")
+        # a grid row holds at most 360 / cell_deg cells, so rows serve as buckets without any sampling
+        ranked = ranked_in_buckets(cells, [], ["__cla"], [F.col("__clo")], "__r")
     else:
         raise ValueError(f"unknown cell order {order!r}")
     bound = int((180.0 / cell_deg + 2) * (360.0 / cell_deg + 2))

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.geo import chord_to_km, km_to_chord, unit_xyz
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .primitives import hash_uniform
 
 LEAF_ROWS = 512        # aimed-at training rows per leaf
@@ -322,6 +322,8 @@ def nearest(
         train.select(*[F.col(c).alias(c) for c in ("tid", "vec", "ix", *payload)], F.col("grp").cast("long").alias("grp"))
         .withColumn("__r", F.row_number().over(dedupe)).where(F.col("__r") <= k).drop("__r")
     )
+    # read by the count, the sample, the boxes and both visits: write the reduced rows once
+    train = cut_lineage(train, "train")
     qid_type = queries.schema["qid"].dataType
     if isinstance(qid_type, T.StructType):  # every field nullable, as after a round trip
         qid_type = T.StructType([T.StructField(f.name, f.dataType) for f in qid_type])
@@ -347,6 +349,7 @@ def nearest(
     names = [f.name for f in schema]
 
     routed = queries.withColumn("__f", first_stop("ix", "grp")).select("qid", "vec", "ix", "grp", "__f.leaf", "__f.unit")
+    routed = cut_lineage(routed, "routed")  # read for the unit loads and for the visit
     first = _co_visit(routed, placed, _visit_fn(bc, k, mode, max_dist, list(payload), True, names), schema)
     # Three readers follow (own candidates, unit loads, onward rows): write the visit once.
     first = cut_lineage(first, "nearest")
@@ -368,8 +371,8 @@ def _co_visit(queries: DataFrame, placed: DataFrame, fn, schema: T.StructType) -
     loads = queries.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
     q = queries.join(loads, "unit").withColumn("block", F.pmod(F.xxhash64("qid", "grp"), F.col("blocks")).cast("int"))
     t = placed.join(loads, "unit").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return q.drop("blocks").groupBy("unit", "block").cogroup(
-        t.drop("blocks").groupBy("unit", "block")
+    return spread(q.drop("blocks"), "unit", "block").groupBy("unit", "block").cogroup(
+        spread(t.drop("blocks"), "unit", "block").groupBy("unit", "block")
     ).applyInArrow(lambda a, b: fn(a, b), schema)
 
 

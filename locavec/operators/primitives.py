@@ -37,8 +37,11 @@ def _bucket_count(df: DataFrame) -> int:
     return min(4096, max(16, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def _ranked(df: DataFrame, group: Sequence[str], bucket: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
-    """Offset of each (group, bucket) plus the row number inside it."""
+def ranked_in_buckets(df: DataFrame, group: Sequence[str], bucket: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """0-based rank: offset of each (group, bucket) plus the row number inside it.
+
+    Buckets must follow the order, and each must be small enough for one window partition.
+    """
     w_off = Window.partitionBy(*(list(group) or [F.lit(0)])).orderBy(*bucket)
     offsets = (
         df.groupBy(*group, *bucket)
@@ -74,7 +77,7 @@ def hash_rank(df: DataFrame, keys: Sequence[str], *, group: Sequence[str] = (),
     h = df.withColumn("__h", hash_key(*keys, seed=seed, stream=stream)).withColumn(
         "__b", F.shiftright("__h", 64 - bits)
     )
-    return _ranked(h, group, ["__b"], [F.col("__h"), *[F.col(k) for k in keys]], out).drop("__h", "__b")
+    return ranked_in_buckets(h, group, ["__b"], [F.col("__h"), *[F.col(k) for k in keys]], out).drop("__h", "__b")
 
 
 def value_rank(df: DataFrame, key: str, tie: str, *, group: Sequence[str] = (), out: str = "rank") -> DataFrame:
@@ -95,7 +98,7 @@ def value_rank(df: DataFrame, key: str, tie: str, *, group: Sequence[str] = (),
         b = b.withColumn("__s", F.when(F.col(key).isin(heavy), F.col("__s")).otherwise(F.lit(0)))
     else:
         b = b.withColumn("__s", F.lit(0))
-    return _ranked(b, group, ["__b", "__s"], [F.col(key).asc_nulls_first(), F.col(tie)], out).drop("__b", "__s")
+    return ranked_in_buckets(b, group, ["__b", "__s"], [F.col(key).asc_nulls_first(), F.col(tie)], out).drop("__b", "__s")
 
 
 def _bucketed(df: DataFrame, col: str, edges: Sequence[float], out: str) -> DataFrame:

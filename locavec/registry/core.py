@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -14,7 +16,7 @@ ORACLES: dict[str, str] = {}
 
 def query(key: str, sql: str | None = None):
     def register(fn: Query) -> Query:
-        QUERIES[key] = fn
+        QUERIES[key] = lambda spark, sf: fn(ship(spark), sf)
         if sql is not None:
             ORACLES[key] = sql
         return fn

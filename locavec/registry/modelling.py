@@ -51,8 +51,10 @@ def mdl2(spark, sf):
 @query("mdl3_alpha_path")
 def mdl3(spark, sf):
     """Spatial folds, one cross-product pass, every penalty, spatial inner selection, R^2 per fold."""
-    d = folds.spatial_folds(X.vectors(spark, sf), cell_deg=10.0, order="lex").withColumn("bucket", F.lit(0))
-    g, _ = models.score_grid(d, "v", targets=["y"], rule="probe", inner="spatial", profiles=[models.Profile("ridge_w64", 64)])
+    v = X.vectors(spark, sf)
+    d = folds.spatial_folds(v, cell_deg=10.0, order="lex").withColumn("bucket", F.lit(0))
+    grams = models.fold_grams(d, "v", ["y"], shift=stats.feature_shift(v, "v", ["y"]))
+    g, _ = models.score_grid(d, "v", targets=["y"], rule="probe", inner="spatial", grams=grams)
     return models.choose(cut_lineage(g, "grid"), {"ridge_w64": [0]}).select(
         F.col("outer").alias("fold"), _alpha(models.RIDGE_ALPHAS), R("inner_score").alias("inner_score"), R("score").alias("score"))
 

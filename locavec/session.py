@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -28,6 +29,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per context.
+
+    Needed wherever the package is not installed on the executors; a no-op after the first call.
+    """
+    sc = spark.sparkContext
+    if not getattr(sc, "_locavec_shipped", False):
+        package = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")  # driver side only; Spark distributes the file
+        sc.addPyFile(shutil.make_archive(f"{folder}/locavec", "zip", os.path.dirname(package), os.path.basename(package)))
+        sc._locavec_shipped = True
     return spark
 
 
@@ -53,6 +68,15 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions by ``keys`` in the session's full shuffle width.
+
+    Adaptive execution merges partitions by bytes. Groups that are small in bytes but heavy in
+    Python work must not be merged into one task, and an explicit number prevents that.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int, row_bytes: int = 64) -> DataFrame:
     """Hint a broadcast only when the caller's proven row bound fits the byte limit.
 
