@@ -11,7 +11,7 @@ from ..functions import geo
 from ..session import broadcast_if_bounded
 from .primitives import fixed_sample, hash_rank, hash_uniform, prefix_sum, ranked_in_buckets, value_rank
 
-__all__ = ["fixed_sample"]
+__all__ = ["fixed_sample"]  # re-exported next to the fold operators
 
 
 def spatial_folds(df: DataFrame, *, folds: int = 5, cell_deg: float = 10.0, seed: int = 0, order: str = "hash",

@@ -13,12 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
-from .primitives import _c, fixed_sample, hash_uniform, value_rank
+from .primitives import fixed_sample, value_rank
 
 BLOCK = 256                       # edge of one emitted matrix block
 ACCUMULATOR_BYTES = 256 << 20     # per task, before partial sums are flushed

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
-from ..operators import clean, folds, metrics, models, stats
+from ..operators import folds, metrics, models, stats
 from ..plans import normalize, sweeps
 from ..session import cut_lineage, shared_dir
 from ..sources import files

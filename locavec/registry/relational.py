@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
-from ..functions import color, encoders, geo
+from ..functions import color, geo
 from ..functions import vectors as V
-from ..operators import clean, folds, joins, metrics, stats, summary
+from ..operators import clean, joins, metrics, stats, summary
 from ..operators import neighbours as NB
-from ..operators.primitives import fixed_sample
 from ..operators.summary import floor_score
 from ..session import shared_dir
 from ..sources import files
@@ -38,9 +37,9 @@ def _broken(spark, sf):
                              .when((i % 90 == 4) & (y == 2019), None).otherwise(F.col("aef")))
 
 
-@query("agg19_integrity", """WITH e AS (SELECT vec_id AS i FROM embeddings) SELECT 0::BIGINT AS duplicate_points, (SELECT count(*)::BIGINT FROM e WHERE i%70=2 AND (i%50<>0 OR true)) AS orphans,
+@query("agg19_integrity", """WITH e AS (SELECT vec_id AS i FROM embeddings) SELECT 0::BIGINT AS duplicate_points, (SELECT count(*)::BIGINT FROM e WHERE i%70=2) AS orphans,
  (SELECT count(*)::BIGINT FROM e WHERE i%60=1) AS duplicate_years,
- (SELECT count(*)::BIGINT FROM e WHERE i%50=0)+(SELECT count(*)::BIGINT FROM e WHERE i%70=2 AND i%50=0)*0 AS missing_years,
+ (SELECT count(*)::BIGINT FROM e WHERE i%50=0) AS missing_years,
  (SELECT count(*)::BIGINT FROM e WHERE i%90=4 AND i%80<>3)+(SELECT count(*)::BIGINT FROM e WHERE i%70=2 AND (i+10000000)%90=4 AND (i+10000000)%80<>3) AS null_vectors,
  (SELECT count(*)::BIGINT FROM e WHERE i%80=3)+(SELECT count(*)::BIGINT FROM e WHERE i%70=2 AND (i+10000000)%80=3) AS nodata_vectors, 0::BIGINT AS bad_teachers""")
 def agg19(spark, sf):

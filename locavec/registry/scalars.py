@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from ..functions import color, encoders, geo
 from ..functions import vectors as V
-from ..operators import clean, models, stats
-from ..operators.primitives import hash_uniform
+from ..operators import clean, stats
 from ..operators.summary import category, floor_score
-from .core import ANN, CELLROWS, PTS, R, RESULTS, VECS, W, query, r
+from .core import ANN, CELLROWS, PTS, R, VECS, W, query, r
 
 # --------------------------------------------------------------------------- cleaning
 
@@ -261,7 +260,7 @@ def geo11(spark, sf):
     return geo.jitter_points(X.points(spark, sf), 3, 0.05, "id", seed=1).select("id", "member", R("lat").alias("lat"), R("lon").alias("lon"))
 
 
-@query("geo12_city_bbox", f"WITH c AS (SELECT s_suppkey AS id, (({'s_suppkey'}*7919)%14401)/100.0::DOUBLE-60 AS lat, ((s_suppkey*104729)%36000)/100.0::DOUBLE-180 AS lon, "
+@query("geo12_city_bbox", f"WITH c AS (SELECT s_suppkey AS id, ((s_suppkey*7919)%14401)/100.0::DOUBLE-60 AS lat, ((s_suppkey*104729)%36000)/100.0::DOUBLE-180 AS lon, "
        "15000+floor(abs(s_acctbal)*100) AS pop FROM supplier), d AS (SELECT *, greatest(2.0,least(25.0,2*sqrt(pop/1e5))) AS rk FROM c) SELECT id, " +
        r("lon-rk/(111.0*greatest(0.2,least(1.0,cos(radians(lat)))))") + " AS west, " + r("lat-rk/111.0") + " AS south, " +
        r("lon+rk/(111.0*greatest(0.2,least(1.0,cos(radians(lat)))))") + " AS east, " + r("lat+rk/111.0") + " AS north FROM d")

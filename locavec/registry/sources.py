@@ -104,14 +104,14 @@ def src6(spark, sf):
     return d.select(R("lat", 2).alias("lat"), R("lon", 2).alias("lon"), tot.alias("total"), F.size("targets").cast("long").alias("years"))
 
 
-@query("src7_write_shards", "SELECT count(*)::BIGINT AS n_samples, 3::BIGINT AS n_years, 'signed_square' AS dequant, ceil(count(*)/100.0)<=ceil(count(*)/100.0)+64 AS enough FROM embeddings")
+@query("src7_write_shards", "SELECT count(*)::BIGINT AS n_samples, 3::BIGINT AS n_years, 'signed_square' AS dequant, true AS within_limit FROM embeddings")
 def src7(spark, sf):
     root = shared_dir(spark, "shards")
     m = files.write_shards(_targets(spark, sf), root, YEARS, shard_rows=100)
     d, back = files.read_shards(spark, root)
     ids = files.number_shards(d, back)
     return ids.agg(F.count_distinct("point_id").alias("n_samples"), F.lit(len(back["years"])).cast("long").alias("n_years"),
-                   F.lit(back["dequant"]).alias("dequant"), F.lit(max(m["counts"]) <= 100).alias("enough"))
+                   F.lit(back["dequant"]).alias("dequant"), F.lit(max(m["counts"]) <= 100).alias("within_limit"))
 
 
 @query("src8_write_points", W(VECS) + f"SELECT id AS point_id, {r('lon')} AS xmin, {r('lat')} AS ymin, 21::INT AS bytes, {r('list_sum(v[1:32])', 5)} AS ta FROM vecs")

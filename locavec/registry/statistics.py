@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from ..functions import encoders
 from ..functions import vectors as V
-from ..operators import folds as FO
 from ..operators import metrics, models, stats
 from ..operators import neighbours as NB
-from ..operators.primitives import fixed_sample
 from ..session import shared_dir
 from .core import ANN, PTS, R, UNIT, VECS, W, XYZ, query, r
 from .relational import _KM, errors, folded
@@ -110,8 +108,7 @@ def agg11b(spark, sf):
     return spark.createDataFrame([(round(stats.variance_covariance_penalty(X.vectors(spark, sf), "v"), 6),)], "penalty double")
 
 
-@query("agg13_percentiles", f"SELECT q::DOUBLE AS q, {r('quantile_cont(o_totalprice, q)', 4)} AS value FROM orders, (VALUES (0.02),(0.5),(0.98)) t(q) GROUP BY q"
-       .replace("quantile_cont(o_totalprice, q)", "CASE q WHEN 0.02 THEN quantile_cont(o_totalprice,0.02) WHEN 0.5 THEN quantile_cont(o_totalprice,0.5) ELSE quantile_cont(o_totalprice,0.98) END"))
+@query("agg13_percentiles", " UNION ALL ".join(f"SELECT {q}::DOUBLE AS q, {r(f'quantile_cont(o_totalprice,{q})', 4)} AS value FROM orders" for q in (0.02, 0.5, 0.98)))
 def agg13(spark, sf):
     o = X.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     return stats.percentiles(o, "o_totalprice", "o_orderkey", [0.02, 0.5, 0.98]).select("q", R("value", 4).alias("value"))
