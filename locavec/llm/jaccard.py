@@ -110,13 +110,13 @@ def linked(overlap: Column, n1: Column, n2: Column, percent: int) -> Column:
     return 100 * overlap >= percent * (n1 + n2 - overlap)
 
 
-def _overlaps(rows: DataFrame, kept: DataFrame, pairs: DataFrame, words: int, name: str) -> DataFrame:
+def _overlaps(rows: DataFrame, same: DataFrame, pairs: DataFrame, words: int, name: str) -> DataFrame:
     """``pairs`` of set numbers (x, y) with both sizes and the size o of the intersection.
 
     The sets are rebuilt from the texts of the documents that stand for them.
     """
     pairs = cut_lineage(pairs, name)
-    need = pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct().join(kept.select("sid", "id", "d1", "d2"), "sid")
+    need = pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct().join(same.select("sid", F.col("rep").alias("id"), "d1", "d2"), "sid")
 
     def run(b):
         s = list(sets_of(b.column(1), words))
@@ -136,11 +136,14 @@ def _overlaps(rows: DataFrame, kept: DataFrame, pairs: DataFrame, words: int, na
 
 
 def leader_pairs(kept: DataFrame, percent: int) -> DataFrame:
-    """Pairs (least set with the min-hash, other set with it) of comparable sizes."""
+    """Pairs (least set with a min-hash, other set with it) of comparable sizes that share two min-hashes or more.
+
+    What this leaves out is found by the index.
+    """
     low = kept.select("sid", "n", F.posexplode("low").alias("k", "v"))
     lead = low.groupBy("k", "v").agg(F.min(F.struct("sid", "n")).alias("l"), F.count("*").alias("m")).where("m > 1")
     near = low.join(lead, ["k", "v"]).where((F.col("l.sid") != F.col("sid")) & (100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")))
-    return near.select(F.col("l.sid").alias("x"), F.col("sid").alias("y")).distinct()
+    return near.groupBy(F.col("l.sid").alias("x"), F.col("sid").alias("y")).agg(F.count("*").alias("k")).where("k > 1").select("x", "y")
 
 
 def index_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -148,14 +151,18 @@ def index_pairs(entries: DataFrame, percent: int) -> DataFrame:
     def block(n: Column) -> Column:
         return F.floor(F.log(n.cast("double")) / float(np.log(100 / percent))).cast("int")
 
-    flat = entries.select("sid", "n", "c", F.posexplode("prefix").alias("i", "g"))
-    flat = flat.withColumn("most", F.floor((F.col("n") - F.col("i")) * (100 + percent) / percent).cast("long") - F.col("n"))
-    index = flat.select("g", block(F.col("n")).alias("b"), "sid", "n", "c", "most")
-    probe = (flat.where("most >= n")
-             .select("g", F.explode(F.sequence(block(F.col("n")), block(F.col("most")))).alias("b"),
-                     F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("most").alias("mx")))
-    after = (F.col("n") > F.col("nx")) | ((F.col("n") == F.col("nx")) & (F.col("sid") > F.col("x")))
-    hit = probe.join(index, ["g", "b"]).where(after & (F.col("c") != F.col("cx")) & (F.col("n") <= F.col("mx")) & (F.col("nx") <= F.col("most")))
+    def most(at: Column) -> Column:  # from size and position in one number
+        n, i = F.shiftright(at, 31), at.bitwiseAND(F.lit((1 << 31) - 1))
+        return F.floor((n - i) * F.lit(100 + percent) / F.lit(percent)).cast("long") - n
+
+    # narrow rows, since they are shuffled: the list's and block's key, the set, its group, and its size with the position
+    flat = entries.select("sid", "n", "c", F.posexplode("prefix").alias("i", "g")).withColumn("at", F.shiftleft("n", 31).bitwiseOR(F.col("i").cast("long")))
+    index = flat.select(F.xxhash64("g", block(F.col("n"))).alias("k"), "sid", "c", "at")
+    probe = flat.where(most(F.col("at")) >= F.col("n")).select("g", "sid", "c", "at", F.explode(F.sequence(block(F.col("n")), block(most(F.col("at"))))).alias("b"))
+    probe = probe.select(F.xxhash64("g", "b").alias("k"), F.col("sid").alias("x"), F.col("c").alias("cx"), F.col("at").alias("atx"))
+    n, nx = F.shiftright("at", 31), F.shiftright("atx", 31)
+    after = (n > nx) | ((n == nx) & (F.col("sid") > F.col("x")))
+    hit = probe.join(index, "k").where(after & (F.col("c") != F.col("cx")) & (n <= most(F.col("atx"))) & (nx <= most(F.col("at"))))
     return hit.select("x", F.col("sid").alias("y")).distinct()
 
 
@@ -177,12 +184,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int
     same = cut_lineage(same.select("n", "d1", "d2", F.col("r.id").alias("rep"), F.col("r.sid").alias("sid"), "m"), "same")
     copies = (full.select("id", "n", "d1", "d2").join(same.where("m > 1"), ["n", "d1", "d2"])
               .where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    kept = full.join(same.select("sid"), "sid")
 
-    stars = _overlaps(rows, kept, leader_pairs(kept, percent), words, "leaders")
+    stars = _overlaps(rows, same, leader_pairs(full.select("sid", "n", "low").join(same.select("sid"), "sid"), percent), words, "leaders")
     stars = cut_lineage(stars.where(linked(F.col("o"), F.col("nx"), F.col("ny"), percent)), "stars")
     first = components(stars.select(F.col("x").alias("a"), F.col("y").alias("b")), "first")
-    entries = kept.join(first, kept.sid == first.node, "left").select("sid", "n", F.coalesce("component", "sid").alias("c"), "prefix")
+    owners = same.join(first, same.sid == first.node, "left").select("sid", F.coalesce("component", "sid").alias("c"))
+    entries = full.select("sid", "n", "prefix").join(owners, "sid")
     found = cut_lineage(index_pairs(entries, percent), "found")
 
     # each set's best leader: of the sets linked with it in the first step, the one that shares most
@@ -196,9 +203,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int
     led = cut_lineage(led.withColumns({"p": F.least("lead_x", "lead_y"), "q": F.greatest("lead_x", "lead_y"),
                                        "extra": F.col("extra_x") + F.col("extra_y"), "short": F.col("short_x") + F.col("short_y")})
                       .select("x", "y", "p", "q", "extra", "short"), "led")
-    bases = _overlaps(rows, kept, led.select(F.col("p").alias("x"), F.col("q").alias("y")).where("x != y").distinct(), words, "bases")
+    bases = _overlaps(rows, same, led.select(F.col("p").alias("x"), F.col("q").alias("y")).where("x != y").distinct(), words, "bases")
     bases = cut_lineage(bases, "base_answers")
-    n = kept.select("sid", "n")
+    n = same.select("sid", "n")
     ask = (led.where("extra + short > 0")
            .join(bases.select(F.col("x").alias("p"), F.col("y").alias("q"), "nx", "ny", "o"), ["p", "q"])
            .where(~linked(F.col("o"), F.col("nx"), F.col("ny"), percent)).select("x", "y", "o", "extra", "short")
@@ -206,7 +213,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int
     least, most = F.col("o") - F.col("short"), F.least(F.col("o") + F.col("extra"), "nx", "ny")
     ask = cut_lineage(ask.withColumn("sure", linked(least, F.col("nx"), F.col("ny"), percent))
                       .where(linked(most, F.col("nx"), F.col("ny"), percent)), "ask")
-    counted = _overlaps(rows, kept, ask.where("NOT sure").select("x", "y"), words, "rest")
+    counted = _overlaps(rows, same, ask.where("NOT sure").select("x", "y"), words, "rest")
     ok = lambda d: d.where(linked(F.col("o"), F.col("nx"), F.col("ny"), percent)).select("x", "y")
     links = stars.select("x", "y").union(ok(bases)).union(ask.where("sure").select("x", "y")).union(ok(counted))
     rep = same.select("sid", "rep")
