@@ -20,6 +20,8 @@ over all documents. Sets are rebuilt from the texts of the documents in some pai
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,7 +31,7 @@ from ..session import cut_lineage
 from .common import SPACED, arrow_map, components, mix, ngram_hashes, word_chunks
 
 #: Words in an n-gram, and counters of the frequency estimate.
-WORDS, SKETCH_BITS = 4, 18
+WORDS, SKETCH_BITS = 4, 22
 #: Min-hashes for the leaders.
 SEEDS = 4
 
@@ -51,31 +53,44 @@ def _sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
     blocks, width = 32, 1 << bits
 
     def count(batches):
-        c = np.zeros(width, np.int64)
+        from pyspark import TaskContext
+
+        c = np.zeros(width, np.int32)
         for b in batches:
+            held, n = [], 0
             for s in sets_of(b.column(0), words):
-                np.add.at(c, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
-        yield _blocks(c, blocks)
-
-    def add(key, frame):
-        total = np.sum([np.frombuffer(x, np.int64) for x in frame["c"]], axis=0)
+                held.append((s >> np.uint64(64 - bits)).astype(np.int64))
+                n += len(s)
+                if n > 1 << 20:
+                    c += np.bincount(np.concatenate(held), minlength=width).astype(np.int32)
+                    held, n = [], 0
+            if held:
+                c += np.bincount(np.concatenate(held), minlength=width).astype(np.int32)
+        salt = TaskContext.get().partitionId() % 64
+        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([salt] * blocks, pa.int32()),
+                                          pa.array([_packed(x) for x in np.split(c, blocks)], pa.binary())], ["block", "salt", "c"])
+
+    def add(frame):
+        total = sum(_unpacked(x) for x in frame["c"])
         frame = frame.iloc[:1].copy()
-        frame["c"] = [total.tobytes()]
-        return frame[["block", "salt", "c"]]
+        frame["c"] = [_packed(total)]
+        return frame
 
-    part = docs.select("text").mapInArrow(count, "block int, salt int, c binary")
     schema = "block int, salt int, c binary"
-    part = part.groupBy("block", "salt").applyInPandas(add, schema)
-    part = part.groupBy("block").applyInPandas(add, schema)
-    return np.concatenate([np.frombuffer(r["c"], np.int64) for r in part.orderBy("block").collect()] or [np.zeros(width, np.int64)])
+    part = docs.select("text").mapInArrow(count, schema)
+    part = part.groupBy("block", "salt").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
+    rows = sorted(((r["block"], _unpacked(r["c"])) for r in part.collect()), key=lambda r: r[0])  # as many numbers as the sketch has
+    return np.concatenate([c for _, c in rows]) if rows else np.zeros(width, np.int64)
+
 
+def _packed(c: np.ndarray) -> bytes:
+    """Counts in the narrowest type that holds them, compressed."""
+    kind = np.uint8 if c.max(initial=0) < 256 else np.uint32 if c.max(initial=0) < 1 << 32 else np.int64
+    return bytes([np.dtype(kind).itemsize]) + zlib.compress(c.astype(kind).tobytes(), 1)
 
-def _blocks(c: np.ndarray, n: int) -> pa.RecordBatch:
-    from pyspark import TaskContext
 
-    salt = TaskContext.get().partitionId() % 64
-    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([salt] * n, pa.int32()),
-                                       pa.array([x.tobytes() for x in np.split(c, n)], pa.binary())], ["block", "salt", "c"])
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x[1:]), {1: np.uint8, 4: np.uint32, 8: np.int64}[x[0]]).astype(np.int64)
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
