@@ -18,7 +18,7 @@ from ..session import cut_lineage
 from .common import arrow_map, components
 
 #: Rows of an interval, of the smallest block, and principal axes in boxes and in the grid order.
-INTERVAL, LEAF, BOX_AXES, GRID_AXES = 1024, 64, 16, 4
+INTERVAL, LEAF, BOX_AXES, GRID_AXES = 8192, 256, 16, 4
 _SLACK = 1e-9
 
 
@@ -64,107 +64,147 @@ def _boxes_apart(a: np.ndarray, b: np.ndarray, reach: float) -> bool:
     return float(gap @ gap) > reach * reach
 
 
-def ordered_join(a: np.ndarray, b: np.ndarray, same: bool, eps: float, axes: int, found: list) -> None:
-    """Appends (rows of a, rows of b) within about ``eps``; both in grid order; ``same``: one sequence with itself."""
-    def go(i0, i1, j0, j1):
-        if same and j1 <= i0:
-            return
-        if _boxes_apart(a[i0:i1, :axes], b[j0:j1, :axes], eps):
-            return
+def ordered_join(a: np.ndarray, b: np.ndarray, same: bool, eps: float, axes: int):
+    """Index pairs (rows of a, rows of b) within about ``eps``, block by block; both sides in grid order.
+
+    ``same``: a and b are one sequence, whose pairs p < q are wanted. Blocks have at most ``LEAF`` rows a side.
+    """
+    work = [(0, len(a), 0, len(b))] if len(a) and len(b) else []
+    while work:
+        i0, i1, j0, j1 = work.pop()
+        if same and j1 <= i0 or _boxes_apart(a[i0:i1, :axes], b[j0:j1, :axes], eps):
+            continue
         if max(i1 - i0, j1 - j0) <= LEAF:
-            near = a[i0:i1] @ b[j0:j1].T
-            p, q = np.nonzero(near >= 1.0 - eps * eps / 2)
+            p, q = np.nonzero(a[i0:i1] @ b[j0:j1].T >= 1.0 - eps * eps / 2)
             p, q = p + i0, q + j0
             if same:
                 p, q = p[p < q], q[p < q]
             if len(p):
-                found.append((p, q))
-            return
-        im, jm = (i0 + i1) // 2 if i1 - i0 > LEAF else i1, (j0 + j1) // 2 if j1 - j0 > LEAF else j1
-        for x in ((i0, im), (im, i1)):
-            for y in ((j0, jm), (jm, j1)):
-                if x[0] < x[1] and y[0] < y[1]:
-                    go(*x, *y)
-
-    if len(a) and len(b):
-        go(0, len(a), 0, len(b))
-
-
-def links(vectors: DataFrame, key: str, vector: str, cosine: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): key and representative number of every usable vector; linked pairs of representatives.
-
-    Equal vectors share a representative, so that copies are never paired with each other.
+                yield p, q
+            continue
+        im = (i0 + i1) // 2 if i1 - i0 > LEAF else i1
+        jm = (j0 + j1) // 2 if j1 - j0 > LEAF else j1
+        work += [(*x, *y) for x in ((i0, im), (im, i1)) for y in ((j0, jm), (jm, j1)) if x[0] < x[1] and y[0] < y[1]]
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each row of ``a`` with the row of ``b``, in double precision; rescaled where squares leave the range."""
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore", under="ignore"):
+        na, nb = (a * a).sum(1), (b * b).sum(1)
+        c = (a * b).sum(1) / (np.sqrt(na) * np.sqrt(nb))
+    odd = ~np.isfinite(c) | (np.minimum(na, nb) < 1e-290)
+    if odd.any():
+        c[odd] = (unit_rows(a[odd]) * unit_rows(b[odd])).sum(1)
+    return c
+
+
+class Forest:
+    """Union of row numbers, the least of each class as its root."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, p: np.ndarray, q: np.ndarray) -> None:
+        """Joins the pairs of one block: labels settle among the block's rows first, so that few unions are left."""
+        rows, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+        x, y, label = at[:len(p)], at[len(p):], np.arange(len(rows))
+        while True:
+            least = np.minimum(label[x], label[y])
+            new = label.copy()
+            np.minimum.at(new, x, least)
+            np.minimum.at(new, y, least)
+            if (new == label).all():
+                break
+            label = new
+        for r, s in zip(rows.tolist(), rows[label].tolist()):
+            if r != s:
+                r, s = self.root(r), self.root(s)
+                self.up[max(r, s)] = min(r, s)
+
+
+def links(vectors: DataFrame, key: str, vector: str, cosine: float = 0.9) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, counts, edges): sid, m, rep of every usable row; linked rows by sid; edges that span the classes.
+
+    Equal vectors share a representative (sid, with m copies), so that copies are never paired with each other. A task
+    that joins two intervals counts the links of their rows and returns a spanning forest of them, not the pairs.
     """
     spark = vectors.sparkSession
-    good = vectors.where(_usable(vector)).select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    good = vectors.where(_usable(vector)).select(F.col(key).alias("id"), F.col(vector).alias("v"))
     widths = [r[0] for r in good.select(F.size("v")).distinct().limit(2).collect()]
     if len(widths) > 1:
         raise ValueError("vectors of different lengths")
     dim, eps = (widths or [1])[0], float(np.sqrt(2.0 - 2.0 * cosine)) + _SLACK
-    h = [F.xxhash64("v"), F.hash("v")]
-    reps = cut_lineage(good.withColumns({"h1": h[0], "h2": h[1]}).groupBy("h1", "h2", "v").agg(F.count("*").alias("m"), F.min("id").alias("rep"))
-                       .withColumn("sid", F.monotonically_increasing_id()), "vectors")
-    members = good.withColumns({"h1": h[0], "h2": h[1]}).join(reps, ["h1", "h2", "v"]).select("id", "sid", "m", "rep")
+    kind = good.schema["v"].dataType.simpleString()
+    good = good.withColumns({"h1": F.xxhash64("v"), "h2": F.hash("v")})
+    reps = good.groupBy("h1", "h2", "v").agg(F.count("*").alias("m"), F.min("id").alias("rep")).withColumn("sid", F.monotonically_increasing_id())
+    reps = cut_lineage(reps, "vectors")
+    members = good.join(reps, ["h1", "h2", "v"]).select("id", "sid", "m", "rep")
 
-    axes = principal_axes(reps.select("v"), dim)
-    shared = spark.sparkContext.broadcast(axes)
+    shared = spark.sparkContext.broadcast(principal_axes(reps.select("v"), dim))
     box, grid = min(BOX_AXES, dim), min(GRID_AXES, dim)
 
-    def turn(b):
-        x = _matrix(b.column(1)) if b.num_rows else np.zeros((0, dim))
-        t = (unit_rows(x) if len(x) else x) @ shared.value
+    def turned(col: pa.Array) -> np.ndarray:
+        return unit_rows(_matrix(col)) @ shared.value if len(col) else np.zeros((0, dim))
+
+    def place(b):
+        t = turned(b.column(1))[:, :box]
         cells = np.floor(t[:, :grid] / eps).astype(np.int64)
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(t.astype(np.float32)), pa.list_(pa.float32())), pa.array(list(cells), pa.list_(pa.int64()))],
-                                          ["sid", "v", "t", "cell"])
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(list(t), pa.list_(pa.float64())), pa.array(list(cells), pa.list_(pa.int64()))], ["sid", "v", "m", "t", "cell"])
 
-    turned = arrow_map(reps.select("sid", "v"), turn, "sid long, v array<double>, t array<float>, cell array<long>")
+    rows = arrow_map(reps.select("sid", "v", "m"), place, f"sid long, v {kind}, m long, t array<double>, cell array<long>")
     order = [F.col("cell"), *[F.col("t")[i] for i in range(grid)], F.col("sid")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = turned.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    interval = F.concat_ws("/", F.shiftright("at", 33), F.floor(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) / INTERVAL))
-    placed = cut_lineage(placed.withColumn("iv", F.xxhash64(interval)), "grid")
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    interval = F.shiftright("at", 33) * (1 << 20) + F.floor(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) / INTERVAL)
+    placed = cut_lineage(placed.withColumn("iv", interval), "grid")
 
-    # intervals by the first-axis cells they cover; neighbours share a cell or border on one
-    bound = placed.groupBy("iv").agg(*[f(F.col("t")[i].cast("double")).alias(f"{n}{i}") for i in range(box) for n, f in (("l", F.min), ("h", F.max))])
+    # intervals by the first-axis cells that they cover; neighbours share a cell or border on one
+    bound = placed.groupBy("iv").agg(*[f(F.col("t")[i]).alias(f"{n}{i}") for i in range(box) for n, f in (("l", F.min), ("h", F.max))])
     bound = cut_lineage(bound, "boxes")
     cell = lambda c: F.floor(F.col(c) / eps)
     left = bound.select(F.explode(F.sequence(cell("l0") - 1, cell("h0") + 1)).alias("c"), *[F.col(c).alias(f"a_{c}") for c in bound.columns])
     right = bound.select(F.explode(F.sequence(cell("l0"), cell("h0"))).alias("c"), "*")
     gap = sum(F.pow(F.greatest(F.lit(0.0), F.col(f"a_l{i}") - F.col(f"h{i}"), F.col(f"l{i}") - F.col(f"a_h{i}")), 2) for i in range(box))
-    meet = (left.join(right, "c").where((F.col("a_iv") <= F.col("iv")) & (gap <= (eps + 1e-5) ** 2))
+    meet = (left.join(right, "c").where((F.col("a_iv") <= F.col("iv")) & (gap <= eps * eps + 1e-6))
             .select(F.col("a_iv").alias("p"), F.col("iv").alias("q")).distinct())
-    meet = cut_lineage(meet, "meet")
-    pack = F.struct("at", "sid", "v", "t")
-    runs = cut_lineage(placed.groupBy("iv").agg(F.sort_array(F.collect_list(pack)).alias("rows")), "runs")  # at most INTERVAL rows each
-    task = (meet.join(runs.select(F.col("iv").alias("p"), F.col("rows").alias("ra")), "p")
-            .join(runs.select(F.col("iv").alias("q"), F.col("rows").alias("rb")), "q"))
+    runs = placed.groupBy("iv").agg(F.sort_array(F.collect_list(F.struct("at", "sid", "m", "v"))).alias("rows"))  # at most INTERVAL rows each
+    runs = cut_lineage(runs, "runs")
+    task = (cut_lineage(meet, "meet").join(runs.select(F.col("iv").alias("p"), F.col("rows").alias("ra")), "p")
+            .join(runs.select(F.col("iv").alias("q"), F.col("rows").alias("rb")), "q").select("p", "q", "ra", "rb"))
 
     def meet_rows(batches):
-        for b in batches:
-            for k in range(b.num_rows):
-                same = b.column(0)[k] == b.column(1)[k]
-                sides = []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                same, sides = batch.column(0)[k] == batch.column(1)[k], []
                 for c in (2, 3):
-                    r = b.column(c)[k].values
-                    f = {r.type[i].name: r.field(i) for i in range(r.type.num_fields)}
-                    n = len(r)
-                    sides.append((np.asarray(f["sid"]), np.asarray(f["v"].flatten(), np.float64).reshape(n, -1), np.asarray(f["t"].flatten(), np.float32).reshape(n, -1)))
-                (sa, va, ta), (sb, vb, tb) = sides
-                found: list = []
+                    r = batch.column(c)[k].values
+                    f = dict(zip([x.name for x in r.type], r.flatten()))
+                    t = turned(f["v"]).astype(np.float32)
+                    sides.append((np.asarray(f["sid"]), np.asarray(f["m"]), _matrix(f["v"]), t))
+                (sa, ma, va, ta), (sb, mb, vb, tb) = sides
+                shift = 0 if same else len(sa)
+                sid = sa if same else np.concatenate([sa, sb])
+                count, forest = np.zeros(len(sid), np.int64), Forest(len(sid))
                 # single precision finds candidates with some slack; the given vectors decide
-                ordered_join(ta, tb, same, float(np.sqrt(eps * eps + 2e-4)), box, found)
-                if found:
-                    p, q = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-                    cos = (va[p] * vb[q]).sum(1) / (np.sqrt((va[p] ** 2).sum(1)) * np.sqrt((vb[q] ** 2).sum(1)))
-                    with np.errstate(invalid="ignore"):
-                        odd = ~np.isfinite(cos)
-                    cos[odd] = (unit_rows(va[p[odd]]) * unit_rows(vb[q[odd]])).sum(1) if odd.any() else cos[odd]
-                    ok = cos >= cosine
-                    yield pa.RecordBatch.from_arrays([pa.array(sa[p[ok]]), pa.array(sb[q[ok]])], ["x", "y"])
+                for p, q in ordered_join(ta, tb, same, float(np.sqrt(eps * eps + 1e-4)), box):
+                    ok = cosines(va[p], vb[q]) >= cosine
+                    p, q = p[ok], q[ok]
+                    if len(p):
+                        np.add.at(count, p, mb[q])
+                        np.add.at(count, q + shift, ma[p])
+                        forest.join(p, q + shift)
+                hit = np.flatnonzero(count)
+                root = np.array([forest.root(i) for i in hit.tolist()], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sid[hit]), pa.array(count[hit]), pa.array(sid[root] if len(hit) else sid[:0])], ["sid", "n", "root"])
 
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = task.repartition(width, "p", "q").select("p", "q", "ra", "rb").mapInArrow(meet_rows, "x long, y long")
-    return members, cut_lineage(found, "links")
+    found = cut_lineage(task.repartition(parts, "p", "q").mapInArrow(meet_rows, "sid long, n long, root long"), "links")
+    return members, found.groupBy("sid").agg(F.sum("n").alias("n")), found.where("sid != root").select("sid", "root")
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.9) -> DataFrame:
@@ -173,15 +213,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     Vectors that are null, empty, zero, or hold null or non-finite entries have no link and are kept. Rows with one key are vectors of
     their own in n_links, and one node in component_id. Vectors of different lengths raise an error.
     """
-    members, pairs = links(vectors, key, vector, cosine)
+    members, sums, edges = links(vectors, key, vector, cosine)
     members = cut_lineage(members, "members")
-    reps = members.groupBy("sid").agg(F.first("m").alias("m"), F.first("rep").alias("rep"))
-    both = pairs.union(pairs.select("y", "x"))
-    sums = both.join(reps.select(F.col("sid").alias("y"), "m"), "y").groupBy(F.col("x").alias("sid")).agg(F.sum("m").alias("others"))
-    named = (pairs.join(reps.select(F.col("sid").alias("x"), F.col("rep").alias("a")), "x").join(reps.select(F.col("sid").alias("y"), F.col("rep").alias("b")), "y").select("a", "b"))
+    reps = members.groupBy("sid").agg(F.first("rep").alias("rep"))
+    named = edges.join(reps.select("sid", F.col("rep").alias("a")), "sid").join(reps.select(F.col("sid").alias("root"), F.col("rep").alias("b")), "root").select("a", "b")
     copies = members.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     groups = components(named.union(copies), "vector_groups")
-    linked = members.join(sums, "sid", "left").select("id", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n"))
+    linked = members.join(sums, "sid", "left").select("id", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n"))
     linked = linked.join(groups, linked.id == groups.node, "left").select("id", "n", F.coalesce("component", "id").alias("component_id"))
     rest = vectors.where(~F.coalesce(_usable(vector), F.lit(False))).select(F.col(key).alias("id"), F.lit(0).cast("long").alias("n"), F.col(key).alias("component_id"))
     return linked.union(rest).select(F.col("id").alias(key), F.col("n").alias("n_links"), F.col("component_id").cast("long").alias("component_id"),

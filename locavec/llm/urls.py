@@ -49,13 +49,17 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """The small labelled table: every word in several kinds of url; unwanted urls are labelled 1."""
-    words = spark.createDataFrame([(w, 1.0) for w in UNWANTED] + [(w, 0.0) for w in WANTED], "w string, label double")
+    def rows(pairs, name):  # literals, so that no task reads Python rows
+        one = [F.struct(F.lit(a).alias(name), F.lit(y).alias("label")) for a, y in pairs]
+        return spark.range(1).select(F.explode(F.array(*one)).alias("x")).select("x.*")
+
+    words = rows([(w, 1.0) for w in UNWANTED] + [(w, 0.0) for w in WANTED], "w")
     forms = ["http://{}.example.org/en/12", "https://www.{}.example.net/de/345.html", "https://{}24.test/page/7", "http://blog.my-{}.example.com/fr/8/",
              "https://the{}.example.org/es/91?page=2", "http://m.{}s.example.net/en/640#top"]
     urls = F.array(*[F.concat(F.lit(f.split("{}")[0]), F.col("w"), F.lit(f.split("{}")[1])) for f in forms])
-    plain = spark.createDataFrame([(f"{s}://{a}{b}.example.{t}/{l}/{n}", 0.0) for s in ("http", "https") for a in ("", "www.", "blog.", "m.")
-                                   for b, n in (("thering", 12), ("theren", 340), ("thion", 77), ("anher", 951)) for t, l in (("org", "en"), ("net", "de"), ("com", "es"), ("org", "fr"))],
-                                  "url string, label double")
+    plain = rows([(f"{s}://{a}{b}.example.{t}/{l}/{n}", 0.0) for s in ("http", "https") for a in ("", "www.", "blog.", "m.")
+                  for b, n in (("thering", 12), ("theren", 340), ("thion", 77), ("anher", 951)) for t, l in (("org", "en"), ("net", "de"), ("com", "es"), ("org", "fr"))],
+                 "url")
     return words.select(F.explode(urls).alias("url"), "label").union(plain)
 
 
