@@ -31,7 +31,7 @@ from ..session import cut_lineage
 from .common import SPACED, arrow_map, components, mix, ngram_hashes, word_chunks
 
 #: Words in an n-gram, and counters of the frequency estimate.
-WORDS, SKETCH_BITS = 4, 22
+WORDS, SKETCH_BITS = 4, 24
 #: Min-hashes for the leaders.
 SEEDS = 4
 
@@ -49,7 +49,7 @@ def sets_of(col: pa.Array, words: int):
 
 
 def _sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
-    """Hashed counts of the n-grams over all texts (each text's set counts once)."""
+    """Hashed counts of the n-grams over all texts (each text's set counts once), in eighths of a power of two."""
     blocks, width = 32, 1 << bits
 
     def count(batches):
@@ -62,10 +62,10 @@ def _sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
                 held.append((s >> np.uint64(64 - bits)).astype(np.int64))
                 n += len(s)
                 if n > 1 << 20:
-                    c += np.bincount(np.concatenate(held), minlength=width).astype(np.int32)
+                    np.add.at(c, np.concatenate(held), 1)
                     held, n = [], 0
             if held:
-                c += np.bincount(np.concatenate(held), minlength=width).astype(np.int32)
+                np.add.at(c, np.concatenate(held), 1)
         salt = TaskContext.get().partitionId() % 64
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([salt] * blocks, pa.int32()),
                                           pa.array([_packed(x) for x in np.split(c, blocks)], pa.binary())], ["block", "salt", "c"])
@@ -79,8 +79,10 @@ def _sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
     schema = "block int, salt int, c binary"
     part = docs.select("text").mapInArrow(count, schema)
     part = part.groupBy("block", "salt").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
-    rows = sorted(((r["block"], _unpacked(r["c"])) for r in part.collect()), key=lambda r: r[0])  # as many numbers as the sketch has
-    return np.concatenate([c for _, c in rows]) if rows else np.zeros(width, np.int64)
+    out = np.zeros((blocks, width // blocks), np.uint8)
+    for r in part.collect():  # as many numbers as the sketch has
+        out[r["block"]] = np.minimum(255, np.round(8 * np.log2(1.0 + _unpacked(r["c"]))))
+    return out.ravel()
 
 
 def _packed(c: np.ndarray) -> bytes:
@@ -102,7 +104,7 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 def _summaries(rows: DataFrame, estimate: np.ndarray, words: int, percent: int, bits: int) -> DataFrame:
     """Per text: size and digest of the set, min-hashes, and the ordered prefix."""
-    shared = rows.sparkSession.sparkContext.broadcast(estimate.astype(np.float32))
+    shared = rows.sparkSession.sparkContext.broadcast(estimate)
     odd = mix(np.arange(1, SEEDS + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(b):
