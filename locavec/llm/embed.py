@@ -92,7 +92,7 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore", invalid="ignore", divide="ignore", under="ignore"):
         na, nb = (a * a).sum(1), (b * b).sum(1)
         c = (a * b).sum(1) / (np.sqrt(na) * np.sqrt(nb))
-    odd = ~np.isfinite(c) | (np.minimum(na, nb) < 1e-290)
+    odd = ~np.isfinite(c) | (np.minimum(na, nb) < 1e-290) | (np.maximum(na, nb) > 1e290)
     if odd.any():
         c[odd] = (unit_rows(a[odd]) * unit_rows(b[odd])).sum(1)
     return c
