@@ -7,6 +7,8 @@ two classes; rows are scaled to unit length; dual coordinate descent fits the hi
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,7 +92,7 @@ def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray
 
 
 def _unit(x: np.ndarray, ratio: np.ndarray) -> np.ndarray:
-    v = ratio[x]
+    v = ratio[x].astype(np.float32)
     n = float(np.sqrt(v @ v))
     return v / n if n > 0 else v
 
@@ -112,10 +114,10 @@ def learn(rows: DataFrame, text: str = "text", label: str = "quality", key: str
         return pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), b.column(1)], ["x", "y"])
 
     got = arrow_map(rows.select("t", "y"), run, "x array<int>, y boolean").toArrow()
-    x = [np.asarray(v.values, np.int64) for v in got.column("x")]
+    x = [np.asarray(v.values) for c in got.column("x").chunks for v in c]  # views, not copies
     y = np.where(np.asarray(got.column("y")), 1.0, -1.0) if len(x) else np.zeros(0)
     # an order of rows that does not depend on partitioning
-    order = sorted(range(len(x)), key=lambda i: (len(x[i]), x[i].tobytes(), y[i]))
+    order = sorted(range(len(x)), key=lambda i: (len(x[i]), zlib.crc32(x[i]), y[i]))
     x, y = [x[i] for i in order], y[order] if len(x) else y
     width = 1 << bits
     if not len(x) or abs(y.sum()) == len(x):
