@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..session import broadcast_if_bounded
+from ..session import broadcast_if_bounded, cut_lineage
 from .primitives import fixed_sample, hash_rank, hash_uniform, prefix_sum, ranked_in_buckets, value_rank
 
 __all__ = ["fixed_sample"]  # re-exported next to the fold operators
@@ -174,7 +174,13 @@ def first_on_land(df: DataFrame, key: str, polygons: DataFrame, draw, tries: int
 
 def land_anchors(ids: DataFrame, key: str, polygons: DataFrame, *, lat_min: float = -56.0, lat_max: float = 70.0, seed: int = 0,
                  tries: int = 64) -> DataFrame:
-    """One area-weighted land point per id: latitudes uniform in their sine, redrawn until on land."""
+    """One area-weighted land point per id: latitudes uniform in their sine, redrawn until on land.
+
+    Ids without a hit in ``tries`` draws go through further rounds, each of twice as many draws up to 65 536, so none is lost. An
+    empty mask raises, as does one that no id hits in ten rounds running (it lies outside the band, or is too small).
+    """
+    if not polygons.limit(1).count():
+        raise ValueError("no land polygon")
     lo, hi = math.sin(math.radians(lat_min)), math.sin(math.radians(lat_max))
 
     def draw(attempt):
@@ -182,7 +188,18 @@ def land_anchors(ids: DataFrame, key: str, polygons: DataFrame, *, lat_min: floa
         v = hash_uniform(key, attempt, seed=seed, stream=51)
         return F.degrees(F.asin(F.lit(lo) + u * (hi - lo))), v * 360.0 - 180.0
 
-    return first_on_land(ids.select(key), key, polygons, draw, tries, first_stage=4)
+    left, found, done, idle = ids.select(key).distinct(), None, 0, 0
+    while idle < 10:
+        got = first_on_land(left, key, polygons, lambda a, k=done: draw(a + F.lit(k)), tries, first_stage=4)
+        got = cut_lineage(got.withColumn("attempt", F.col("attempt") + F.lit(done)), "anchors")
+        found = got if found is None else found.unionByName(got)
+        rest = cut_lineage(left.join(got, key, "left_anti"), "anchors_left")
+        n, done, tries = rest.count(), done + tries, min(2 * tries, 1 << 16)
+        if not n:
+            return found
+        idle = 0 if got.limit(1).count() else idle + 1
+        left = rest
+    raise ValueError(f"{n} ids found no land")
 
 
 def land_offsets(pairs: DataFrame, key: str, polygons: DataFrame, *, km: str = "lag_km", seed: int = 0, tries: int = 25) -> DataFrame:

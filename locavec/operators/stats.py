@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
+from ..session import cut_lineage
 from .primitives import fixed_sample, value_rank
 
 BLOCK = 256                       # edge of one emitted matrix block
@@ -99,9 +100,8 @@ def _list_matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def feature_shift(df: DataFrame, features: str, targets: Sequence[str]) -> np.ndarray:
-    """A constant near the mean; the exact value only affects rounding, never the result."""
-    few = df.select(features, *targets).limit(4096)
-    row = few.agg(Summarizer.mean(array_to_vector(F.col(features).cast("array<double>"))).alias("m"),
+    """The mean of all rows; the exact value only affects rounding, never the result."""
+    row = df.agg(Summarizer.mean(array_to_vector(F.col(features).cast("array<double>"))).alias("m"),
                   *[F.avg(t).alias(f"t{i}") for i, t in enumerate(targets)]).first()
     if row is None or row["m"] is None:
         raise ValueError("no rows to summarize")
@@ -253,30 +253,31 @@ def alignment(df: DataFrame, pred: str, target: str) -> DataFrame:
     return df.agg(F.avg(V.squared_distance(V.l2_normalize(pred), V.l2_normalize(target))).alias("alignment"))
 
 
-def uniformity(df: DataFrame, vec: str, key: str, max_n: int = 4096, seed: int = 0) -> DataFrame:
-    """log mean exp(-2 d^2) over the pairs of a sample of at most ``max_n`` rows.
+def uniformity(df: DataFrame, vec: str, key: str, max_n: int | None = None, seed: int = 0, block_rows: int = 2048) -> DataFrame:
+    """log mean exp(-2 d^2) over all pairs of rows with different keys.
 
-    The sample size is the metric's own parameter; it bounds the broadcast side.
+    Rows are dealt into blocks by a hash of the key; every pair of blocks is one task's product of two matrices and gives
+    two numbers. ``max_n`` restricts the metric to a uniform sample of so many rows (off by default).
     """
-    sample = fixed_sample(df.select(key, V.l2_normalize(vec).alias("u")), max_n, [key], seed=seed)
-    held = sample.select(key, "u").toPandas()  # at most max_n rows
-    ids = held[key].to_numpy("i8")
-    bc = df.sparkSession.sparkContext.broadcast((ids, np.array(held["u"].tolist(), dtype="f8").reshape(len(ids), -1)))
+    rows = df.select(F.col(key).alias("id"), V.l2_normalize(vec).alias("u"))
+    if max_n is not None:
+        rows = fixed_sample(rows, max_n, ["id"], seed=seed)
+    blocks = max(1, -(-rows.count() // block_rows))
+    b = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks)).cast("int")
+    held = cut_lineage(rows.groupBy(b.alias("b")).agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("u")).alias("x")), "uniformity")
+    left = held.select(F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("q"), F.col("b").alias("p"), F.col("ids").alias("i1"), F.col("x").alias("x1"))
+    both = left.join(held.select(F.col("b").alias("q"), F.col("ids").alias("i2"), F.col("x").alias("x2")), "q").select("p", "q", "i1", "x1", "i2", "x2")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        other, m = bc.value
-        for b in batches:
-            x, mine = _list_matrix(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
-            if not len(x):
-                continue
-            d2 = np.maximum((x * x).sum(1)[:, None] + (m * m).sum(1) - 2 * x @ m.T, 0)
-            later = other[None, :] > mine[:, None]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([float(np.exp(-2 * d2)[later].sum())]), pa.array([int(later.sum())], pa.int64())], names=["s", "n"]
-            )
-
-    ids_df = df.sparkSession.createDataFrame(held)
-    part = ids_df.mapInArrow(pairs, "s double, n long")
+        for t in batches:
+            for k in range(t.num_rows):
+                i1, x1, i2, x2 = (t.column(c)[k].values.to_numpy(zero_copy_only=False) for c in range(2, 6))
+                x1, x2 = x1.reshape(len(i1), -1), x2.reshape(len(i2), -1)
+                d2 = np.maximum((x1 * x1).sum(1)[:, None] + (x2 * x2).sum(1) - 2 * x1 @ x2.T, 0)
+                one = i1[:, None] < i2[None, :] if t.column(0)[k] == t.column(1)[k] else i1[:, None] != i2[None, :]
+                yield pa.RecordBatch.from_arrays([pa.array([float(np.exp(-2 * d2)[one].sum())]), pa.array([int(one.sum())], pa.int64())], names=["s", "n"])
+
+    part = both.mapInArrow(pairs, "s double, n long")
     return part.agg(F.log(F.greatest(F.sum("s") / F.sum("n"), F.lit(1e-12))).alias("uniformity"))
 
 

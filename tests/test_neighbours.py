@@ -124,3 +124,23 @@ def test_feature_space(spark, residual):
         best = ok[np.lexsort((ok, dist[ok]))][:6]
         assert np.allclose(part.sort_values("rank").dist, dist[best], atol=1e-9)
         assert part.sort_values("rank").tid.tolist() == best.tolist() or len(set(np.round(dist[best], 9))) < 6
+
+
+def test_anchors_on_a_small_mask_are_all_found(spark):
+    from locavec.functions import geo  # noqa: F401
+    from locavec.operators import folds
+
+    mask = spark.createDataFrame([(1, "POLYGON")], "id long, kind string").limit(0)
+    with pytest.raises(ValueError):
+        folds.land_anchors(spark.range(5), "id", mask)
+
+
+def test_uniformity_beyond_one_block(spark):
+    from locavec.operators import stats
+
+    x = np.random.default_rng(3).normal(size=(700, 5))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d2 = ((u[:, None] - u[None]) ** 2).sum(2)
+    want = np.log(np.exp(-2 * d2[np.triu_indices(700, 1)]).mean())
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    assert abs(stats.uniformity(df, "v", "id", block_rows=64).first()[0] - want) < 1e-9
