@@ -47,7 +47,7 @@ def distance_bin(km: Column | str) -> Column:
 
 def binned_skill(df: DataFrame, keys: Sequence[str] = (), *, km: str = "km", truth: str = "truth", pred: str = "pred",
                  task_type: str = "regression") -> DataFrame:
-    """Skill per distance bin: 1 - MSE / variance of all held-out targets, or 1 - error rate.
+    """Skill of every distance bin: 1 - MSE / variance of all held-out targets, or 1 - error rate.
 
     The variance needs every row of a key, so it is carried as additive sums through the bins.
     """
@@ -61,7 +61,12 @@ def binned_skill(df: DataFrame, keys: Sequence[str] = (), *, km: str = "km", tru
     bins = bins.withColumn("__m", mean)
     var = F.sum(F.col("tn") * (F.col("tv") + (F.col("tm") - F.col("__m")) * (F.col("tm") - F.col("__m")))).over(w) / F.sum("tn").over(w)
     denom = var if task_type == "regression" else F.lit(1.0)
-    scored = bins.withColumn("__d", denom).where("bin >= 0 and __d > 0")
+    # every bin of a key is reported, those without rows with n = 0; a key has ten entries at most
+    per = bins.withColumn("__d", denom).groupBy(*keys).agg(
+        F.max("__d").alias("__d"), F.map_from_entries(F.collect_list(F.struct("bin", F.struct("n", "sse")))).alias("__b")).where("__d > 0")
+    per = per.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(len(BIN_EDGES_KM) - 2))))
+    at = F.try_element_at("__b", "bin")
+    scored = per.select("*", F.coalesce(at["n"], F.lit(0).cast("long")).alias("n"), at["sse"].alias("sse"))
     edges = F.array(*[F.lit(float(e)) for e in BIN_EDGES_KM])
     return scored.select(
         *keys, "bin", F.get(edges, F.col("bin")).alias("lo_km"),

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -95,6 +96,9 @@ class Gram:
 
 def _list_matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     a = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    width = pc.min_max(pc.list_value_length(a))
+    if a.null_count or width["min"] != width["max"]:
+        raise ValueError("every vector must be present and of one length")
     v = a.flatten().to_numpy(zero_copy_only=False).astype("f8")
     return v.reshape(len(a), -1) if len(a) else np.zeros((0, 1))
 

@@ -13,6 +13,7 @@ from ..functions import encoders, geo
 from ..operators import folds as FO
 from ..operators import metrics, models, stats
 from ..operators import neighbours as NB
+from ..operators.clean import finite, valid_rows
 from ..operators.primitives import hash_rank, hash_uniform
 from ..operators.summary import category
 from ..session import cut_lineage
@@ -61,13 +62,15 @@ def evaluate_tasks(df: DataFrame, features: str, tasks: Sequence[str], *, task_t
                    spatial: bool = False, test_flag: str | None = None, id_col: str = "id", seed: int = 0, folds: int = 5,
                    cell_deg: float = 10.0, alphas=models.RIDGE_ALPHAS) -> DataFrame:
     """(task, score) and the MEAN row. Logistic and neighbour probes apply to random classification
-    folds only; every other case falls back to ridge. An official test flag overrides folds."""
+    folds only; every other case falls back to ridge. An official test flag overrides folds. Spatial folds are drawn
+    once over all rows, so that every task has the same ones; a task then uses its valid rows."""
     plain_class = task_type == "classification" and probe in ("logistic", "knn") and test_flag is None and not spatial
     parts = []
+    if spatial and test_flag is None:
+        df = cut_lineage(with_folds(df, cell_deg, id_col=id_col, folds=folds, seed=seed), "folds")
     for task in tasks:
-        valid = df.where(F.col(task).isNotNull())
+        valid = df.where(valid_rows(task, features, numeric=task_type == "regression"))
         if task_type == "regression":
-            valid = valid.where(~F.isnan(task))
             coded, n = valid, 0
         else:
             coded, n = models.class_codes(valid, task, "__cls")
@@ -80,7 +83,7 @@ def evaluate_tasks(df: DataFrame, features: str, tasks: Sequence[str], *, task_t
         if test_flag is not None:  # outer fold 1 is the official test set; only that fit counts
             d = FO.inner_buckets(coded.withColumn("fold", F.col(test_flag).cast("int")), id_col, buckets=folds, seed=seed)
         else:
-            d = with_folds(coded, cell_deg if spatial else 0.0, id_col=id_col, folds=folds, seed=seed)
+            d = coded if spatial else with_folds(coded, 0.0, id_col=id_col, folds=folds, seed=seed)
         kw = dict(targets=[task]) if task_type == "regression" else dict(cls="__cls", n_classes=n)
         ch, _, _ = models.nested_score(d, features, alphas=alphas, inner="spatial" if spatial and not test_flag else "random",
                                        buckets=folds, **kw)
@@ -153,18 +156,22 @@ def penalty_sweep(df: DataFrame, features: str, targets: Sequence[str], *, bench
     return union(results), union(choices)
 
 
-def interpolation_sweep(df: DataFrame, target: str, *, ks: Sequence[int], cells: Sequence[float], task_type: str = "regression",
+def interpolation_sweep(df: DataFrame, target: str, *, benchmark: str, ks: Sequence[int], cells: Sequence[float], task_type: str = "regression",
                         seed: int = 0, id_col: str = "id", order: str = "hash") -> DataFrame:
-    """(cell_deg, k, score): one neighbour search per cell size, at the largest k."""
+    """Unrounded score per cell size and k: one neighbour search per cell size, at the largest k.
+
+    Folds are drawn over all rows; rows without a valid label then neither train nor count.
+    """
     parts = []
     for cell in cells:
-        d = with_folds(df, cell, seed=seed, order=order)
+        d = with_folds(df, cell, seed=seed, order=order).where(valid_rows(target, numeric=task_type == "regression"))
         hits = NB.sphere_knn(d, k=max(ks), payload=(target,), id_col=id_col)
         pred = metrics.idw(hits, ks, target, task_type)
         j = pred.join(d.select(F.col(id_col).alias("qid"), "fold", F.col(target).alias("truth")), "qid")
         by = metrics.r2_by(j, ["fold", "k"], floor=None) if task_type == "regression" else metrics.accuracy_by(j, ["fold", "k"])
-        parts.append(by.where(~F.isnan("score")).groupBy("k").agg(F.round(F.avg("score"), 5).alias("score")).select(
-            F.lit(float(cell)).alias("cell_deg"), "k", "score"))
+        parts.append(by.where(~F.isnan("score")).groupBy("k").agg(F.avg("score").alias("score")).select(
+            F.lit(benchmark).alias("benchmark"), category(F.lit(benchmark)).alias("family"), F.lit(target).alias("task"),
+            F.lit(task_type).alias("task_type"), F.lit(float(cell)).alias("cell_deg"), "k", "score"))
     return union(parts)
 
 
@@ -188,9 +195,26 @@ def retention_levels(df: DataFrame, radii: Sequence[float], *, folds: int = 5, s
 
 def buffered_sweep(df: DataFrame, features: str, targets: Sequence[str], *, benchmark: str, radii: Sequence[float] = RADII_KM,
                    folds: int = 5, seed: int = 0, profiles: Sequence[models.Profile], families: dict[str, list[int]] | None = None,
-                   alphas=models.RIDGE_ALPHAS, idw_k: int | None = None, min_train: int = MIN_TRAIN_ROWS) -> DataFrame:
+                   alphas=models.RIDGE_ALPHAS, idw_k: int | None = None, min_train: int = MIN_TRAIN_ROWS, tag: str = "emb") -> DataFrame:
     """Scores per radius, mode and config with fixed held-out folds and shrinking training sets.
 
+    Targets with the same valid rows share a run over these rows. Every radius, mode, config and task has a row; the score is null
+    where some fold keeps fewer than ``min_train`` training rows, and a fold without any counts as 0 in the means.
+    """
+    n = df.count()
+    parts = []
+    for at in models.target_groups(df, features, targets):
+        names = [targets[i] for i in at]
+        d = df.where(valid_rows(names[0], features) & finite("lat") & finite("lon"))
+        parts.append(_buffered(d, features, names, n, benchmark=benchmark, radii=radii, folds=folds, seed=seed, profiles=profiles,
+                               families=families, alphas=alphas, idw_k=idw_k, min_train=min_train, tag=tag))
+    return union(parts)
+
+
+def _buffered(df: DataFrame, features: str, targets: Sequence[str], n: int, *, benchmark: str, radii, folds: int, seed: int, profiles, families,
+              alphas, idw_k: int | None, min_train: int, tag: str) -> DataFrame:
+    """One run of the buffered sweep on valid rows.
+
     Each row enters the cross products once per held-out fold and mode, under its retention level;
     the training matrix of a radius is the sum over higher levels. Vectors are not exploded by radius.
     """
@@ -218,27 +242,37 @@ def buffered_sweep(df: DataFrame, features: str, targets: Sequence[str], *, benc
     grid = cut_lineage(models.solve_fits(roles, shift, dim, profiles, alphas, "clamp"), "grid")
     pools = {p.name: [i] for i, p in enumerate(profiles)} | (families or {})
     ch = models.choose(grid, pools)
-    sizes = grid.where("inner = -1").groupBy("outer").agg(F.max("n_train").alias("n_train"))
-    per = ch.join(sizes, "outer").select("outer", "config", "target", "score", "n_train")
+    per = ch.select("outer", "config", "target", "score")
     hits, held = _kept_neighbours(d, lv, rs, targets, idw_k or 1, folds)
     if idw_k:
-        per = per.unionByName(_interpolated(hits, held, targets, idw_k).join(sizes, "outer").select(
-            "outer", "config", "target", "score", "n_train"))
+        per = per.unionByName(_interpolated(hits, held, targets, idw_k).select("outer", "config", "target", "score"))
+    j, m = (F.col("outer") % len(rs)).cast("int").alias("j"), F.floor(F.col("outer") / (len(rs) * folds)).cast("int").alias("m")
+    scores = per.groupBy(j, m, "config", "target").agg(F.avg("score").alias("score"))
     near = hits.where("rank = 1").select(F.col("qid.outer").alias("outer"), F.col("qid.id").alias("id"), "km")
-    med = stats.percentiles(near, "km", "id", [0.5], group=["outer"]).select("outer", F.col("value").alias("med"))
-    per = per.join(med, "outer", "left")
-    n = d.count()
-    dec = per.withColumn("j", F.col("outer") % len(rs)).withColumn("m", F.floor(F.col("outer") / (len(rs) * folds)))
-    out = dec.groupBy("j", "m", "config", "target").agg(
-        F.avg("score").alias("score"), F.min("n_train").alias("least"), F.avg("n_train").alias("kept"), F.count(F.lit(1)).alias("n_folds"),
-        F.avg("med").alias("med"))
-    return out.select(
-        F.lit(benchmark).alias("benchmark"), F.get(F.array(*[F.lit(t) for t in targets]), F.col("target")).alias("task"), "config",
-        F.get(F.array(*[F.lit(float(r)) for r in rs]), F.col("j").cast("int")).alias("radius_km"),
-        F.when(F.col("m") == 0, "buffer").otherwise("random_drop").alias("mode"), F.lit(seed).alias("fold_seed"), "n_folds",
-        F.floor("kept").cast("long").alias("n_train_kept"), F.round(F.col("kept") / (n * (folds - 1) / folds), 4).alias("frac_kept"),
-        F.round("med", 2).alias("median_nn_km"),
-        F.when(F.col("least") >= min_train, F.round("score", 5)).alias("score"))
+    med = stats.percentiles(near, "km", "id", [0.5], group=["outer"]).groupBy(j, m).agg(F.avg("value").alias("med"))
+
+    # kept rows of every held-out fold from the counts of levels: folds x modes x levels numbers
+    sizes = {r["fold"]: r["n"] for r in d.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    levels: dict[tuple, int] = {(r["mode"], r["target"], r["level"]): r["n"] for r in lv.groupBy("mode", "target", "level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    valid = sum(sizes.values())
+    encoders_ = [(tag, c) for c in pools] + ([("coord_idw", f"idw_k{idw_k}")] if idw_k else [])
+    rows = []
+    for mi, mode in enumerate(modes):
+        for ri, radius in enumerate(rs):
+            if mi == 1 and radius == 0.0:  # no control at radius zero
+                continue
+            kept = [sum(c for (a, f, level), c in levels.items() if a == mode and f == fold and level > ri) for fold in sizes]
+            share = [k / max(valid - c, 1) for k, c in zip(kept, sizes.values())]
+            facts = (float(radius), mode, len(sizes), int(np.mean(kept)) if kept else 0, round(float(np.mean(share)), 4) if kept else 0.0)
+            ok = bool(kept) and min(kept) >= min_train
+            rows += [(mi, ri, t, name, e, c, *facts, ok) for e, c in encoders_ for t, name in enumerate(targets)]
+    every = d.sparkSession.createDataFrame(rows, "m int, j int, target int, task string, encoder string, config string, radius_km double, mode string, "
+                                                 "n_folds int, n_train_kept long, frac_kept double, ok boolean")
+    return every.join(scores, ["m", "j", "config", "target"], "left").join(med, ["m", "j"], "left").select(
+        F.lit(benchmark).alias("benchmark"), category(F.lit(benchmark)).alias("family"), "task", F.lit("regression").alias("task_type"),
+        F.lit(n).cast("long").alias("n"), F.lit(valid).cast("long").alias("n_valid"), "encoder", "config", "radius_km", "mode",
+        F.lit(seed).alias("fold_seed"), "n_folds", "n_train_kept", "frac_kept", F.round("med", 2).alias("median_nn_km"),
+        F.when(F.col("ok"), F.round("score", 5)).alias("score"))
 
 
 def _kept_neighbours(d: DataFrame, lv: DataFrame, rs: Sequence[float], targets: Sequence[str], k: int, folds: int) -> tuple[DataFrame, DataFrame]:
@@ -271,8 +305,12 @@ def distance_error_sweep(df: DataFrame, encoders_: dict[str, str], target: str,
     parts = []
     for cell in cells:
         d = cut_lineage(with_folds(df, cell, seed=seed, order=order), "folds")
-        km = cut_lineage(NB.nearest_train_km(d).select("id", "km"), "km")
-        for label, vec in encoders_.items():
+        ok = [valid_rows(target, vec) for vec in encoders_.values()]
+        differ = d.agg(*[F.count_if(~x.eqNullSafe(ok[0])) for x in ok]).first()
+        km = None
+        for i, (label, vec) in enumerate(encoders_.items()):
+            if km is None or differ[i] or differ[i - 1]:  # distances among the valid rows; equal masks share them
+                km = cut_lineage(NB.nearest_train_km(d.where(ok[i])).select("id", "km"), "km")
             p = models.fold_predictions(d, vec, "id", target=target, alphas=alphas).join(km, "id")
             parts.append(metrics.binned_skill(p).select(F.lit(label).alias("encoder"), F.lit(float(cell)).alias("cell_deg"),
                                                         "bin", "lo_km", "hi_km", "n", F.round("skill", 5).alias("skill")))

@@ -160,14 +160,8 @@ _PR = "p AS (SELECT cell, fold, k, id, any_value(truth) AS truth, sum(y/km)/sum(
        "(SELECT cell, fold, k, 1-sum((truth-pred)*(truth-pred))/(var_pop(truth)*count(*)) AS s FROM p GROUP BY 1,2,3) GROUP BY 1,2")
 def mdl14(spark, sf):
     d = X.points(spark, sf).select("id", "lat", "lon", "y")
-    parts = []
-    for cell in (0.0, 10.0):  # unrounded per-fold scores, so that the mean rounds alike in both engines
-        f = sweeps.with_folds(d, cell, order="lex")
-        hits = sweeps.NB.sphere_knn(f, k=20, payload=("y",))
-        j = metrics.idw(hits, (1, 5, 20), "y").join(f.select(F.col("id").alias("qid"), "fold", F.col("y").alias("truth")), "qid")
-        parts.append(metrics.r2_by(j, ["fold", "k"], floor=None).groupBy("k").agg(R(F.avg("score"), 4).alias("score")).select(
-            F.lit(cell).alias("cell_deg"), "k", "score"))
-    return sweeps.union(parts)
+    out = sweeps.interpolation_sweep(d, "y", benchmark="points", ks=(1, 5, 20), cells=(0.0, 10.0), order="lex")
+    return out.select("cell_deg", "k", R("score", 4).alias("score"))
 
 
 @query("mdl15_buffered_exclusion")
