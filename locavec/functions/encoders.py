@@ -187,11 +187,11 @@ def embed_cached(df: DataFrame, path: str, tag: str, digest: str, encode: Callab
     """Vectors of the table's coordinates, computing only those the cache lacks.
 
     The cache is a parquet table partitioned by (tag, digest), where the digest names the encoder's
-    code and weights. Missing coordinates are appended. Adds ``vec``.
+    code and weights. Coordinates that it lacks are appended. Adds ``vec``, null where a coordinate is null.
     """
     spark = df.sparkSession
     slot = f"{path}/tag={tag}/digest={digest}"
-    coords = df.select(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).distinct()
+    coords = df.select(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).where("lat IS NOT NULL AND lon IS NOT NULL").distinct()
     schema = "lat double, lon double, vec array<double>"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(slot)
     exists = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
@@ -203,4 +203,4 @@ def embed_cached(df: DataFrame, path: str, tag: str, digest: str, encode: Callab
     new.write.mode("overwrite" if force else "append").parquet(slot)
     held = spark.read.schema(schema).parquet(slot)
     return df.join(held.select(F.col("lat").alias("__la"), F.col("lon").alias("__lo"), "vec"),
-                   (F.col(lat).cast("double") == F.col("__la")) & (F.col(lon).cast("double") == F.col("__lo"))).drop("__la", "__lo")
+                   (F.col(lat).cast("double") == F.col("__la")) & (F.col(lon).cast("double") == F.col("__lo")), "left").drop("__la", "__lo")

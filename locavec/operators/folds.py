@@ -19,9 +19,11 @@ def spatial_folds(df: DataFrame, *, folds: int = 5, cell_deg: float = 10.0, seed
     """Whole grid cells go to one fold; cells per fold differ by at most one.
 
     ``order="hash"`` shuffles the cells by seed, ``order="lex"`` takes them row by row. Only the
-    distinct cells are ranked. Their number is bounded by the cell size, which decides the join.
+    distinct cells are ranked. Their number is bounded by the cell size, which decides the join. Rows with a missing or
+    NaN coordinate share one cell of their own, the last in the row by row order.
     """
-    cla, clo = geo.grid_cell(lat, lon, cell_deg)
+    known = F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
+    cla, clo = (F.when(known, c).otherwise(F.lit(1 << 40)) for c in geo.grid_cell(lat, lon, cell_deg))
     rows = df.withColumn("__cla", cla).withColumn("__clo", clo)
     cells = rows.select("__cla", "__clo").distinct()
     if order == "hash":
@@ -31,7 +33,7 @@ def spatial_folds(df: DataFrame, *, folds: int = 5, cell_deg: float = 10.0, seed
         ranked = ranked_in_buckets(cells, [], ["__cla"], [F.col("__clo")], "__r")
     else:
         raise ValueError(f"unknown cell order {order!r}")
-    bound = int((180.0 / cell_deg + 2) * (360.0 / cell_deg + 2))
+    bound = int((180.0 / cell_deg + 2) * (360.0 / cell_deg + 2)) + 1
     side = ranked.select("__cla", "__clo", (F.col("__r") % folds).cast("int").alias(out))
     return rows.join(broadcast_if_bounded(side, bound), ["__cla", "__clo"]).drop("__cla", "__clo")
 

@@ -89,6 +89,7 @@ def evaluate_tasks(df: DataFrame, features: str, tasks: Sequence[str], *, task_t
                                        buckets=folds, **kw)
         if test_flag is not None:
             ch = ch.where(F.col("outer") == 1)
+        models.warn_at_edge(ch, alphas)
         parts.append(ch.agg(F.avg("score").alias("score")).select(F.lit(task).alias("task"), "score"))
     scores = cut_lineage(union(parts), "tasks")
     return scores.unionByName(scores.agg(F.avg("score").alias("score")).select(F.lit("MEAN").alias("task"), "score"))

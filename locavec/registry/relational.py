@@ -218,7 +218,7 @@ def _skill(pred):
 
 
 @query("agg12_distance_bins", W(_ERR) + f"SELECT k, bin, coalesce(n,0)::BIGINT AS n, CASE WHEN n>=30 THEN {r('skill')} END AS skill FROM "
-       f"(SELECT DISTINCT k FROM p), (SELECT bin FROM e) LEFT JOIN ({_skill('wide')}) USING (k, bin)")
+       f"(SELECT k, bin FROM (SELECT DISTINCT k FROM p), e) LEFT JOIN ({_skill('wide')}) USING (k, bin)")
 def agg12(spark, sf):
     return metrics.binned_skill(errors(spark, sf), ["k"], pred="wide").select("k", "bin", "n", R("skill").alias("skill"))
 

@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locavec.operators import models
+from locavec.functions import encoders
+from locavec.operators import folds, models
 from locavec.plans import sweeps
+from locavec.session import shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +65,19 @@ def test_distance_errors_report_every_bin_over_valid_rows(points):
 def test_tasks_share_spatial_folds(points):
     scores = {r["task"]: r["score"] for r in sweeps.evaluate_tasks(_spoilt(points), "v", ["y", "z"], spatial=True, alphas=(1.0,)).collect()}
     assert set(scores) == {"y", "z", "MEAN"} and abs(scores["MEAN"] - (scores["y"] + scores["z"]) / 2) < 1e-12 and scores["y"] > 0.9
+
+
+@pytest.mark.parametrize("order", ["hash", "lex"])
+def test_rows_without_coordinates_get_a_fold(points, order):
+    d = points.withColumns({"lat": F.when(F.col("id") % 10 != 0, F.col("lat")), "lon": F.when(F.col("id") == 5, float("nan")).otherwise(F.col("lon"))})
+    got = folds.spatial_folds(d, cell_deg=30.0, order=order).select("id", "fold").collect()
+    assert sorted(r["id"] for r in got) == list(range(240)) and all(0 <= r["fold"] < 5 for r in got)
+    assert len({r["fold"] for r in got if r["id"] % 10 == 0 or r["id"] == 5}) == 1
+
+
+def test_cached_vectors_keep_rows_without_coordinates(spark, points):
+    path, d = shared_dir(spark, "cache"), points.withColumn("lat", F.when(F.col("id") % 10 != 0, F.col("lat"))).drop("v")
+    encode = lambda c: c.withColumn("vec", F.array("lat", "lon"))
+    for _ in range(2):
+        got = encoders.embed_cached(d, path, "t", "1", encode).collect()
+        assert len(got) == 240 and sum(r["vec"] is None for r in got) == 24
