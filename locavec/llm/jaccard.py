@@ -20,6 +20,7 @@ over all documents. Sets are rebuilt from the texts of the documents in some pai
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -34,6 +35,8 @@ from .common import SPACED, arrow_map, components, mix, ngram_hashes, word_chunk
 WORDS, SKETCH_BITS = 4, 24
 #: Min-hashes for the leaders.
 SEEDS = 4
+#: Bits of the bitmap of the documents in some pair; more bits let fewer other texts into the shuffle.
+MARK_BITS = 24
 
 
 def sets_of(col: pa.Array, words: int):
@@ -51,6 +54,8 @@ def sets_of(col: pa.Array, words: int):
 def _sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
     """Hashed counts of the n-grams over all texts (each text's set counts once), in eighths of a power of two."""
     blocks, width = 32, 1 << bits
+    # two levels of sums, each over about the root of the number of parts
+    salts = max(1, math.isqrt(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def count(batches):
         from pyspark import TaskContext
@@ -66,7 +71,7 @@ def _sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
                     held, n = [], 0
             if held:
                 np.add.at(c, np.concatenate(held), 1)
-        salt = TaskContext.get().partitionId() % 64
+        salt = TaskContext.get().partitionId() % salts
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([salt] * blocks, pa.int32()),
                                           pa.array([_packed(x) for x in np.split(c, blocks)], pa.binary())], ["block", "salt", "c"])
 
@@ -127,6 +132,21 @@ def linked(overlap: Column, n1: Column, n2: Column, percent: int) -> Column:
     return 100 * overlap >= percent * (n1 + n2 - overlap)
 
 
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose id is among the ids of ``wanted``, and some others, without a shuffle of the texts.
+
+    The ids are hashed into a bitmap of ``2 ** MARK_BITS`` bits, whatever their number: that bounds the broadcast side (2 MB).
+    """
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << MARK_BITS))
+    marks = wanted.select(h.alias("h")).distinct().groupBy(F.bitmap_bucket_number("h").alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__marks"))
+    at = F.bitmap_bit_position(h)
+    octet = F.conv(F.hex(F.substring("__marks", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8 + 1).cast("int"))
+    return (rows.withColumn("__bucket", F.bitmap_bucket_number(h)).join(F.broadcast(marks), "__bucket")
+            .where(octet.bitwiseAND(bit) != 0).select(*rows.columns))
+
+
 def _overlaps(rows: DataFrame, same: DataFrame, pairs: DataFrame, words: int, name: str) -> DataFrame:
     """``pairs`` of set numbers (x, y) with both sizes and the size o of the intersection.
 
@@ -142,9 +162,11 @@ def _overlaps(rows: DataFrame, same: DataFrame, pairs: DataFrame, words: int, na
             [b.column(0), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()),
              pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64()))], ["id", "d1", "d2", "s"])
 
-    texts = rows.join(need.select("id").distinct(), "id").select("id", "text")
-    sets = (arrow_map(texts, run, "id long, d1 long, d2 long, s array<long>").join(need, ["id", "d1", "d2"])
-            .dropDuplicates(["sid"]).select("sid", "s"))
+    need = cut_lineage(need, name)
+    texts = _likely(rows, need).join(need.select("id").distinct(), "id").select("id", "text")
+    # repeated rows fall together before the shuffle, and the join keeps its partitioning
+    sets = (arrow_map(texts, run, "id long, d1 long, d2 long, s array<long>").dropDuplicates(["id", "d1", "d2"])
+            .join(need, ["id", "d1", "d2"]).select("sid", "s"))
     sets = cut_lineage(sets, name)
     return (pairs.join(sets.select(F.col("sid").alias("x"), F.col("s").alias("sx")), "x")
             .join(sets.select(F.col("sid").alias("y"), F.col("s").alias("sy")), "y")
