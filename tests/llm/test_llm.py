@@ -93,6 +93,19 @@ def test_jaccard_join_edge_cases(spark):
     assert jaccard.grouped(frame(spark, [], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("bits", [4, 17, 24])
+def test_marked_ids_keep_every_wanted_row(spark, monkeypatch, bits):
+    monkeypatch.setattr(jaccard, "MARK_BITS", bits)
+    rows = spark.createDataFrame([(i, "t") for i in [*range(-500, 500), None, 7]], "id long, text string")
+    wanted = spark.createDataFrame([(i,) for i in [-500, -1, 0, 7, 8, 499]], "id long")
+    kept = jaccard._likely(rows, wanted)
+    assert kept.columns == ["id", "text"]
+    ids = [r["id"] for r in kept.collect()]
+    assert set(ids) >= {-500, -1, 0, 7, 8, 499} and ids.count(7) == 2 and ids.count(8) == 1
+    assert bits < 24 or len(set(ids)) == 6
+    assert jaccard._likely(rows, wanted.limit(0)).count() == 0
+
+
 def test_language_accuracy_and_edges(spark):
     docs = common.table(spark, SF.replace("0.001", "0.01"), "documents")
     got = queries.QUERIES["op1_language_id"](spark, SF.replace("0.001", "0.01")).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
