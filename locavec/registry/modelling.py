@@ -1,12 +1,11 @@
-"""Queries for models and sweeps. Sweeps run their whole input on a reduced parameter grid."""
+"""Queries for models and sweeps. Sweeps run their whole input on the parameter grids of their operators."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
-from ..operators import folds, metrics, models, stats
+from ..operators import folds, joins, metrics, models, stats
 from ..plans import normalize, sweeps
 from ..session import cut_lineage, shared_dir
 from ..sources import files
@@ -14,7 +13,7 @@ from .core import PTS, R, W, query, r
 
 PROFILES = models.make_profiles(X.DIM, X.WIDTHS, models.CHUNK_BETAS, models.POWER_EXPONENTS, X.STARTS)
 FAMILIES = models.make_families(PROFILES, X.DIM)
-FEW = (0.1, 10.0, 1000.0)
+KS = (1, 5, 20)
 
 
 def blocked(spark, sf, cell=10.0):
@@ -80,8 +79,8 @@ def mdl5(spark, sf):
 @query("mdl5_nested_classification")
 def mdl5b(spark, sf):
     d, n = models.class_codes(blocked(spark, sf), "cls")
-    ch, _, _ = models.nested_score(d, "v", cls="cls_code", n_classes=n, alphas=FEW, inner="spatial")
-    return ch.select(F.col("outer").alias("fold"), _alpha(FEW), R("inner_score").alias("inner_score"), R("score").alias("score"))
+    ch, _, _ = models.nested_score(d, "v", cls="cls_code", n_classes=n, inner="spatial")
+    return ch.select(F.col("outer").alias("fold"), _alpha(models.RIDGE_ALPHAS), R("inner_score").alias("inner_score"), R("score").alias("score"))
 
 
 @query("mdl6_fold_predictions")
@@ -99,8 +98,8 @@ def mdl7(spark, sf):
 @query("mdl7_logistic_c_sweep")
 def mdl7b(spark, sf):
     """Best accuracy over the penalty grid, chosen on the held-out fold as the original does."""
-    d = folds.stratified_folds(X.vectors(spark, sf), "id", "cls", folds=2, seed=0)
-    s = models.logistic_scores(cut_lineage(d, "folds"), "v", "cls", cs=models.LOGISTIC_CS, max_iter=60)
+    d = folds.stratified_folds(X.vectors(spark, sf), "id", "cls", seed=0)
+    s = models.logistic_scores(cut_lineage(d, "folds"), "v", "cls", cs=models.LOGISTIC_CS, max_iter=500)
     return s.groupBy("fold").agg(R(F.max("accuracy")).alias("accuracy"))
 
 
@@ -132,17 +131,17 @@ def mdl10(spark, sf):
 def mdl11(spark, sf):
     """Two regression tasks under spatial folds, with the mean row."""
     d = X.vectors(spark, sf).withColumn("lat_task", F.col("lat"))
-    return sweeps.evaluate_tasks(d, "v", ["y", "lat_task"], spatial=True, alphas=FEW).select("task", R("score").alias("score"))
+    return sweeps.evaluate_tasks(d, "v", ["y", "lat_task"], spatial=True).select("task", R("score").alias("score"))
 
 
 @query("mdl12_block_size_sweep")
 def mdl12(spark, sf):
-    return sweeps.block_size_sweep(X.vectors(spark, sf), "v", ["y"], benchmark="vectors", widths=X.WIDTHS, cells=(0.0, 10.0, 40.0), order="lex")
+    return sweeps.block_size_sweep(X.vectors(spark, sf), "v", ["y"], benchmark="vectors", widths=X.WIDTHS, order="lex")
 
 
 @query("mdl13_penalty_sweep")
 def mdl13(spark, sf):
-    res, _ = sweeps.penalty_sweep(X.vectors(spark, sf), "v", ["y"], benchmark="vectors", widths=X.WIDTHS, starts=X.STARTS, cells=(0.0, 10.0), order="lex", alphas=FEW)
+    res, _ = sweeps.penalty_sweep(X.vectors(spark, sf), "v", ["y"], benchmark="vectors", widths=X.WIDTHS, starts=X.STARTS, order="lex")
     return res.select("config", "rule", "cell_deg", "task", "n", "median_nn_train_km", "n_folds_nonempty", "score")
 
 
@@ -159,32 +158,41 @@ _PR = "p AS (SELECT cell, fold, k, id, any_value(truth) AS truth, sum(y/km)/sum(
 @query("mdl14_interpolation_sweep", W(PTS, _FOLD, _XYZ, _NB, _PR) + f"SELECT cell AS cell_deg, k::INT AS k, {r('avg(s)', 4)} AS score FROM "
        "(SELECT cell, fold, k, 1-sum((truth-pred)*(truth-pred))/(var_pop(truth)*count(*)) AS s FROM p GROUP BY 1,2,3) GROUP BY 1,2")
 def mdl14(spark, sf):
-    d = X.points(spark, sf).select("id", "lat", "lon", "y")
-    out = sweeps.interpolation_sweep(d, "y", benchmark="points", ks=(1, 5, 20), cells=(0.0, 10.0), order="lex")
+    """The two cell sizes of the SQL; mdl14_interpolation_ladder has all."""
+    return _interpolation(spark, sf, (0.0, 10.0))
+
+
+@query("mdl14_interpolation_ladder")
+def mdl14b(spark, sf):
+    return _interpolation(spark, sf, sweeps.CELL_SIZES)
+
+
+def _interpolation(spark, sf, cells):
+    out = sweeps.interpolation_sweep(X.points(spark, sf).select("id", "lat", "lon", "y"), "y", benchmark="points", ks=KS, cells=cells, order="lex")
     return out.select("cell_deg", "k", R("score", 4).alias("score"))
 
 
 @query("mdl15_buffered_exclusion")
 def mdl15(spark, sf):
-    pr = [models.Profile("ridge_w16", 16), models.Profile("ridge_w64", 64)]
-    return sweeps.buffered_sweep(X.vectors(spark, sf), "v", ["y"], benchmark="vectors", radii=(0.0, 200.0, 400.0), profiles=pr, families={"cv_width": [0, 1]},
-                                 alphas=FEW, idw_k=5)
+    pr = [models.Profile(f"ridge_w{w}", w) for w in X.WIDTHS]
+    return sweeps.buffered_sweep(X.vectors(spark, sf), "v", ["y"], benchmark="vectors", profiles=pr, families={"cv_width": list(range(len(pr)))}, idw_k=5)
 
 
 @query("mdl16_distance_error")
 def mdl16(spark, sf):
     d = X.vectors(spark, sf).withColumn("v8", F.slice("v", 1, 8))
-    out = sweeps.distance_error_sweep(d, {"emb_8": "v8", "emb_64": "v"}, "y", cells=(0.0, 10.0), alphas=FEW, order="lex")
+    out = sweeps.distance_error_sweep(d, {"emb_8": "v8", "emb_64": "v"}, "y", order="lex")
     return out.select("encoder", "cell_deg", "bin", "lo_km", "hi_km", "n", "skill")
 
 
 @query("mdl17_variogram_sweep")
 def mdl17(spark, sf):
-    """Two networks without a land mask: half-sill distance per prefix."""
-    a = X.points(spark, sf).select("id", "lat", "lon")
+    """Two networks over the points on land, every point at every lag: half-sill distance per prefix."""
+    land = X.polygons(spark)
+    a = cut_lineage(joins.on_land(X.points(spark, sf), land).select("id", "lat", "lon"), "land")
     parts = []
     for tag, depth in (("deep", 3), ("shallow", 1)):
-        v = sweeps.variogram(a, X.demo_weights(depth=depth), widths=(8, 64), lags=[float(x) for x in np.geomspace(1, 4000, 12)], pairs_per_lag=512, dim=64, tag=tag)
+        v = sweeps.variogram(a, X.demo_weights(depth=depth), polygons=land, widths=X.WIDTHS, pairs_per_lag=None, dim=64, tag=tag)
         parts.append(v.groupBy("encoder", "width").agg(R(F.max("sill")).alias("sill"), R(F.max("half_sill_km"), 3).alias("half_sill_km"), F.sum("n_pairs").alias("n_pairs")))
     return sweeps.union(parts)
 
