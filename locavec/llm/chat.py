@@ -1,5 +1,6 @@
 """Chat formatting: a finite-state machine over roles checks the turn order, and a declarative template turns every
-conversation into text segments with a loss flag each. Everything is a DataFrame expression.
+conversation into text segments with a loss flag each. Turns are sorted by Spark, which spills, and streamed one by one: no
+conversation is held as a whole, however many turns it has.
 
 The template marks a turn as start + role + newline + text + end. Control strings inside texts are escaped reversibly: each run
 ``<``, backslashes, ``|`` gets one more backslash. Roles are percent-coded where they hold ``%``, a newline or ``<``.
@@ -7,9 +8,12 @@ The template marks a turn as start + role + newline + text + end. Control string
 
 from __future__ import annotations
 
+import hashlib
+import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed control strings.
@@ -33,77 +37,101 @@ class Template:
     final: tuple[str, ...] = ("answered",)
 
 
-def escape(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"<(\\*)\|", r"<$1\\|")
+def escape(text: str) -> str:
+    return re.sub(r"<(\\*)\|", r"<\1\\|", text)
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"<(\\*)\\\|", r"<$1|")
+def unescape(text: str) -> str:
+    return re.sub(r"<(\\*)\\\|", r"<\1|", text)
 
 
-def escape_role(role: Column) -> Column:
-    r = F.coalesce(role, F.lit(""))
-    for a, b in (("%", "%25"), ("\n", "%0A"), ("<", "%3C")):
-        r = F.replace(r, F.lit(a), F.lit(b))
-    return r
+def escape_role(role: str) -> str:
+    return role.replace("%", "%25").replace("\n", "%0A").replace("<", "%3C")
 
 
-def unescape_role(role: Column) -> Column:
-    for a, b in (("%3C", "<"), ("%0A", "\n"), ("%25", "%")):
-        role = F.replace(role, F.lit(a), F.lit(b))
-    return role
+def unescape_role(role: str) -> str:
+    return role.replace("%3C", "<").replace("%0A", "\n").replace("%25", "%")
 
 
-def turn_order(roles: Column, t: Template) -> Column:
-    """Whether the machine accepts the roles of a conversation: every move exists and the last state is final."""
-    states = list(t.moves)
-    states += sorted({s for m in t.moves.values() for s in m.values()} - set(states))
-    table = F.create_map(*[F.lit(x) for s, m in t.moves.items() for r, n in m.items() for x in (f"{states.index(s)} {r}", states.index(n))])
-    end = F.aggregate(roles, F.lit(states.index(t.initial)), lambda s, r: F.coalesce(table[F.concat(s.cast("string"), F.lit(" "), F.coalesce(r, F.lit("")))], F.lit(-1)))
-    return end.isin([states.index(f) for f in t.final])
+class Conversation:
+    """State of the machine, counters and hashes of the turns so far."""
+
+    def __init__(self, key, t: Template):
+        self.key, self.t, self.state = key, t, t.initial
+        self.turns = self.segments = self.formatted = self.loss_chars = 0
+        self.all, self.said = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, role: str, text: str) -> list[tuple[str, bool]]:
+        """The segments of the next turn; counts and hashes are read back from them."""
+        t = self.t
+        self.state = t.moves.get(self.state, {}).get(role)
+        out = [(f"{t.start}{escape_role(role)}\n", False), (escape(text), role in t.loss_roles), (t.end, False)]
+        body = unescape(out[1][0])
+        self.turns += 1
+        self.segments += len(out)
+        self.formatted += sum(len(s) for s, _ in out)
+        self.all.update(f"{unescape_role(out[0][0][len(t.start):-1])}\n{body}\n".encode())
+        if out[1][1]:
+            self.loss_chars += len(body)
+            self.said.update(body.encode())
+        return out
+
+    def close(self) -> tuple:
+        return self.turns, self.all.hexdigest(), self.loss_chars, self.said.hexdigest(), self.formatted, self.state in self.t.final
+
+
+#: Columns of the closing row of a conversation.
+CLOSING = ("n_turns long", "turns_sha256 string", "loss_chars long", "loss_sha256 string", "formatted_chars long", "valid boolean")
+_ROWS, _CHARS = 1 << 13, 1 << 22  # bounds of an output batch
 
 
 def format_chats(rows: DataFrame, template: Template | None = None, *, key: str = "conv_id", turn: str = "turn", role: str = "role",
                  text: str = "text") -> DataFrame:
-    """One row per conversation: key, valid, segments (text, loss) and formatted (the segments joined).
+    """One row per segment (key, position, segment, loss), and one closing row per conversation with the columns ``CLOSING`` and
+    a null position. The segments of a conversation, joined by position, are its formatted text.
 
     Turns stand in the order of ``turn`` (null first), equal ones by role and text; repeated rows are turns of their own. Null
     texts and roles are empty. Conversations that the machine refuses are formatted too, with valid = false. Rows with a null key are
-    one conversation. Other columns are not read.
+    one conversation. Other columns are not read. A conversation is streamed by one task, because its hashes run over its turns in order.
     """
     t = template or Template()
-    turns = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
-        F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")))).alias("turns"))
-
-    def segments(x: Column) -> Column:
-        loss = x["role"].isin(list(t.loss_roles))
-        part = lambda c, l: F.struct(c.alias("text"), l.alias("loss"))
-        return F.array(part(F.concat(F.lit(t.start), escape_role(x["role"]), F.lit("\n")), F.lit(False)), part(escape(x["text"]), loss), part(F.lit(t.end), F.lit(False)))
-
-    out = turns.select(key, turn_order(F.transform("turns", lambda x: x["role"]), t).alias("valid"),
-                       F.flatten(F.transform("turns", segments)).alias("segments"))
-    return out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
-
-
-def read_turns(formatted: Column, template: Template | None = None) -> Column:
-    """The turns (role, text) that a formatted conversation holds."""
-    t = template or Template()
-    parts = F.filter(F.split(formatted, rf"\Q{t.end}\E", -1), lambda p: p != "")
-
-    def one(p: Column) -> Column:
-        body = p.substr(F.lit(len(t.start) + 1), F.length(p))
-        head = F.substring_index(body, "\n", 1)
-        return F.struct(unescape_role(head).alias("role"), unescape(body.substr(F.length(head) + 2, F.length(body))).alias("text"))
-
-    return F.transform(parts, one)
-
-
-def digest(chats: DataFrame, template: Template | None = None, key: str = "conv_id") -> DataFrame:
-    """Counts and hashes read back from ``formatted`` and ``segments``."""
-    turns = chats.withColumn("turns", read_turns(F.col("formatted"), template))
-    said = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
-    return turns.select(
-        key, F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "").cast("binary"), 256).alias("turns_sha256"),
-        F.length(said).cast("long").alias("loss_chars"), F.sha2(said.cast("binary"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"), "valid")
+    turns = rows.select(F.col(key).alias("k"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
+                        F.coalesce(F.col(text), F.lit("")).alias("text"))
+    kind = turns.schema["k"].dataType.simpleString()
+    names = [key, "position", "segment", "loss", *[c.split()[0] for c in CLOSING]]
+    none = (None,) * len(CLOSING)
+
+    def run(batches):
+        chat, out, chars = None, [], 0
+
+        def batch(at):
+            kinds = [at, pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+            done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+            out.clear()
+            return done
+
+        for b in batches:
+            at = b.schema.field(0).type
+            for i in range(b.num_rows):
+                k, said = b.column(0)[i].as_py(), b.column(3)[i].as_py()
+                if chat is None or k != chat.key:
+                    if chat is not None:
+                        out.append((chat.key, None, None, None, *chat.close()))
+                    chat = Conversation(k, t)
+                n = chat.segments
+                out += [(k, n + j, s, loss, *none) for j, (s, loss) in enumerate(chat.add(b.column(2)[i].as_py(), said))]
+                chars += len(said)
+                if len(out) >= _ROWS or chars >= _CHARS:
+                    yield batch(at)
+                    chars = 0
+        if chat is not None:
+            out.append((chat.key, None, None, None, *chat.close()))
+            yield batch(at)
+
+    ddl = f"`{key}` {kind}, position long, segment string, loss boolean, " + ", ".join(CLOSING)
+    return turns.repartition("k").sortWithinPartitions("k", "turn", "role", "text").mapInArrow(run, ddl)
+
+
+def digest(chats: DataFrame, key: str = "conv_id") -> DataFrame:
+    """The closing rows: counts and hashes that were read back from the segments."""
+    return chats.where("position IS NULL").select(key, *[c.split()[0] for c in CLOSING])
