@@ -21,10 +21,15 @@ from .common import arrow_map
 
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img br label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never text of the page.
-HIDDEN = frozenset("script style template noscript iframe object svg math select textarea button canvas audio video head title".split())
+#: Elements whose content is raw text up to their closing tag, and never text of the page.
+RAW = frozenset("script style title textarea iframe noembed noframes".split())
+#: Elements inside a line that are nodes of their own: the block around them goes on after them.
+EMBEDDED = frozenset("button select svg math object canvas audio video noscript template".split())
+#: Elements whose unknown inner elements are no nodes, and which a block ends.
+FOREIGN = frozenset(("svg", "math", "select"))
 TAGS = ("body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "nav", "header", "footer", "aside",
-        "form", "table", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "dl", "dt", "dd", "fieldset", "address", "details")
+        "form", "table", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "dl", "dt", "dd", "fieldset", "address", "details",
+        "button", "select", "svg", "math", "object", "canvas", "audio", "video", "noscript", "template")
 #: Tokens of class, id and role that get a feature of their own.
 TOKENS = ("ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "banner", "nav", "navigation", "navbar", "menu", "breadcrumb", "breadcrumbs",
           "sidebar", "side", "aside", "complementary", "widget", "related", "recommended", "footer", "contentinfo", "copyright", "header", "masthead", "top", "cookie", "cookies",
@@ -34,8 +39,8 @@ _BIT = {t: i for i, t in enumerate(TOKENS)}
 _TAG = {t: i for i, t in enumerate(TAGS)}
 _MARKUP = re.compile(r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[!?/][^>]*+>?|/?[a-zA-Z][^>]*+(?:>|\Z))""")
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
-_SCOPE = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
+_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "button": ("button",), "select": ("select",)}
+_SCOPE = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "button": ("td", "th", "table", "object", "template"), "select": ("td", "th", "table", "object", "template")}
 _masks: dict[str, int] = {}
 
 
@@ -55,29 +60,40 @@ def _mask(attributes: str) -> int:
 
 
 class Page:
-    """Block nodes in page order and the text segments between block boundaries."""
+    """Nodes in page order and the text segments between their boundaries.
 
-    __slots__ = ("tag", "parent", "depth", "own", "above", "end", "segments", "links", "marked")
+    ``runs`` has for each segment the number of its block, the same before and after an embedded element, and whether white space is before it.
+    """
+
+    __slots__ = ("tag", "parent", "depth", "own", "above", "end", "segments", "runs", "links", "marked")
 
     def __init__(self, text: str):
         self.tag, self.parent, self.depth, self.own, self.above, self.end = ["body"], [-1], [0], [0], [0], [0]
         self.segments: list[tuple[int, str]] = []
+        self.runs: list[tuple[int, bool]] = []
         self.links, self.marked = [0], [False]
         self._parse(text)
 
     def _parse(self, text: str) -> None:
-        stack, parts, linked, hidden = [0], [], 0, ""
+        stack, parts, linked, run, gap = [0], [], 0, 0, False
         at, n = 0, len(text)
 
-        def flush():
+        def flush(block=True):
+            nonlocal run, gap
             if parts:
-                s = " ".join(html.unescape("".join(parts)).split())
+                raw = html.unescape("".join(parts))
+                s = " ".join(raw.split())
                 if s:
                     self.segments.append((stack[-1], s))
+                    self.runs.append((run, gap or raw[0].isspace()))
+                    gap = raw[-1].isspace()
+                else:
+                    gap = True
                 parts.clear()
+            run += block
 
         def close(k):  # all open nodes from stack position k on
-            flush()
+            flush(not all(self.tag[i] in EMBEDDED for i in stack[k:]))
             for i in stack[k:]:
                 self.end[i] = len(self.tag)
             del stack[k:]
@@ -85,7 +101,7 @@ class Page:
         while at < n:
             m = _MARKUP.search(text, at)
             stop = m.start() if m else n
-            if stop > at and not hidden:
+            if stop > at:
                 parts.append(text[at:stop])
                 if linked:
                     self.links[stack[-1]] += stop - at
@@ -100,20 +116,18 @@ class Page:
             if name is None:
                 continue
             name = name.lower()
-            if hidden:  # inside head: only its end or the body matters
-                if name == hidden and m.group(1) or hidden == "head" and name == "body":
-                    hidden = ""
-                elif name in ("script", "style") and not m.group(1):
-                    at = self._raw_end(text, name, at)
-                if name != "body" or hidden:
-                    continue
+            foreign = self.tag[stack[-1]] in FOREIGN
             if m.group(1):
                 if name == "a":
                     linked = 0
                 elif name not in INLINE and name not in ("body", "html"):
+                    if name in EMBEDDED and name != "math":
+                        parts.append(" ")
                     for k in range(len(stack) - 1, 0, -1):
                         if self.tag[stack[k]] == name:
                             close(k)
+                            if name in EMBEDDED and name != "math":
+                                parts.append(" ")
                             break
                 continue
             if name in INLINE:
@@ -122,27 +136,38 @@ class Page:
                 elif name == "br":
                     parts.append(" ")
                 continue
-            if name in HIDDEN:
+            if name in RAW:
                 parts.append(" ")
-                if m.group(3).endswith("/") and name in ("svg", "math"):
-                    continue
-                if name == "head":
-                    hidden = name
-                else:
+                if not (foreign and m.group(3).endswith("/")):
                     at = self._raw_end(text, name, at)
                 continue
             if name in VOID:
                 if name == "hr":
                     flush()
                 continue
-            if name in ("html", "body"):
+            if name in ("html", "head", "body"):  # head ends by itself: what it may hold has no text
                 if name == "body":
                     self.own[0] |= _mask(m.group(3))
                 continue
-            flush()
-            linked = 0
-            if self.tag[stack[-1]] == "p":
-                close(len(stack) - 1)
+            inside = name in EMBEDDED
+            if foreign and (name not in _TAG or m.group(3).endswith("/")) or name in ("option", "optgroup"):
+                if self.tag[stack[-1]] != "math":
+                    parts.append(" ")
+                continue
+            if name in ("svg", "math") and m.group(3).endswith("/"):
+                parts.append(" ")
+                continue
+            if not inside:
+                flush()
+                linked = 0
+                while self.tag[stack[-1]] in FOREIGN:
+                    close(len(stack) - 1)
+                for k in range(len(stack) - 1, 0, -1):
+                    t = self.tag[stack[k]]
+                    if t == "p":
+                        close(k)
+                    if t not in EMBEDDED or t in ("object", "template"):
+                        break
             if name in _CLOSES:
                 for k in range(len(stack) - 1, 0, -1):
                     t = self.tag[stack[k]]
@@ -151,6 +176,10 @@ class Page:
                         break
                     if t in _SCOPE[name]:
                         break
+            if inside:
+                if name != "math":
+                    parts.append(" ")
+                flush(False)
             up, i = stack[-1], len(self.tag)
             self.tag.append(name)
             self.parent.append(up)
@@ -300,7 +329,16 @@ def decode(page: Page, odds: np.ndarray) -> str:
     keep = [True] * n
     for i in range(1, n):
         keep[i] = keep[page.parent[i]] and yes[i] > no[i]
-    return "\n\n".join(s for i, s in page.segments if keep[i])
+    out, last, left = [], -1, False
+    for (i, s), (run, gap) in zip(page.segments, page.runs):
+        if not keep[i]:
+            left = True
+            continue
+        if out:
+            out.append("\n\n" if run != last else " " if gap or left else "")
+        out.append(s)
+        last, left = run, False
+    return "".join(out)
 
 
 # ---------------------------------------------------------------- training pages
@@ -426,14 +464,45 @@ def training_page(rng: np.random.Generator) -> str:
     return f"<!DOCTYPE html><html><head><title>{sentence()}</title><style>p{{}}</style></head><body>{page}</body></html>"
 
 
+def embedded(page: str, rng: np.random.Generator) -> str:
+    """A training page with elements of ``EMBEDDED`` in and between its paragraphs, some of them never closed."""
+    word = lambda: "".join("etaoinshrdlu"[c] for c in rng.integers(0, 12, int(rng.integers(2, 8))))
+    some = lambda a, b: " ".join(word() for _ in range(int(rng.integers(a, b))))
+
+    def inside(main):
+        kind = int(rng.integers(9))
+        mark = " data-main" if main else ""
+        if kind < 3:
+            return f"<button>{some(1, 4)}" + ("</button>" if rng.random() < 0.7 else "")
+        if kind == 3:
+            return "<select>" + "".join(f"<option>{word()}" for _ in range(int(rng.integers(2, 6)))) + ("</select>" if rng.random() < 0.8 else "")
+        if kind == 4:
+            return f"<svg><g><path/><text>{some(1, 3)}</text></g>" + ("</svg>" if rng.random() < 0.8 else "")
+        if kind < 7:
+            return f"<math{mark}><mi>{word()}</mi><mo>=</mo><mn>{int(rng.integers(100))}</mn></math>"
+        t = ("object", "canvas", "noscript", "audio", "video")[int(rng.integers(5))]
+        return f"<{t}{mark}>{some(2, 12)}</{t}>"
+
+    def put(m):
+        if rng.random() > 0.15:
+            return m.group()
+        w = m.group(3).split(" ")
+        w.insert(int(rng.integers(len(w) + 1)), inside("data-main" in m.group(2)))
+        return m.group(1) + " ".join(w) + m.group(4)
+
+    page = re.sub(r"(<p(?=[ >])([^>]*)>)([^<]*)(</p>|(?=<p))", put, page)
+    return re.sub(r"</p>(?=<)", lambda m: "</p>" + (f"<button>{some(1, 3)}</button>" if rng.random() < 0.03 else ""), page)
+
+
 _trained: dict[tuple, Trees] = {}
 
 
 def learn(pages: int = 500, seed: int = 11) -> Trees:
-    """Trees trained on ``pages`` made pages; kept for the process."""
+    """Trees trained on ``pages`` made pages, and a quarter more with embedded elements; kept for the process."""
     if (pages, seed) not in _trained:
-        rng = np.random.default_rng(seed)
+        rng, more = np.random.default_rng(seed), np.random.default_rng(seed + 1)
         made = [Page(training_page(rng)) for _ in range(pages)]
+        made += [Page(embedded(training_page(more), more)) for _ in range(pages // 4)]
         y, use = [], []
         for p in made:
             good = list(p.marked)
