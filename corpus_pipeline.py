@@ -16,6 +16,7 @@ from locavec.session import cut_lineage
 
 #: Columns that stages add and take out again.
 _ADDED = ("__lang", "__near", "__score", "__good")
+_ROW = "__row_number"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,17 +33,21 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one with the smallest doc_id; repeated rows count once."""
-    _, groups = jaccard.join(docs)
-    drop = groups.where("doc_id != component_id").select("doc_id")
-    kept = docs.join(cut_lineage(drop, "dropped"), "doc_id", "left_anti").select(*docs.columns)
-    # rows with one doc_id: a null doc_id is no repetition
-    once = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]) if _repeats(docs) else kept.where("doc_id IS NOT NULL")
-    return once.union(kept.where("doc_id IS NULL"))
-
-
-def _repeats(docs: DataFrame) -> bool:
-    return bool(docs.select("doc_id").where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count())
+    """Of every group of linked rows the one with the smallest doc_id (null last), the first such row; rows equal in doc_id and text count once.
+
+    Rows are told apart by a written row number, so that neither a repeated nor a null doc_id ties rows together. Rows with a null
+    doc_id and a text without words are no repetitions.
+    """
+    rows = cut_lineage(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    sizes, groups = jaccard.join(rows.select(_ROW, "text"), key=_ROW)
+    groups = cut_lineage(groups.join(rows.select(_ROW, "doc_id"), _ROW), "groups")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(_ROW).alias("row"))
+    first = groups.groupBy("component_id").agg(F.min(order).alias("m")).select(F.col("m.row").alias(_ROW))
+    # equal texts with words are linked; what is left are repetitions of texts without any
+    blank = rows.select(_ROW, "doc_id", "text").where("doc_id IS NOT NULL").join(sizes.where("n_shingles = 0").select(_ROW), _ROW, "left_semi")
+    once = blank.groupBy("doc_id", "text").agg(F.min(_ROW).alias(_ROW)).select(_ROW)
+    drop = groups.select(_ROW).join(first, _ROW, "left_anti").union(blank.select(_ROW).join(once, _ROW, "left_anti"))
+    return rows.join(cut_lineage(drop, "dropped"), _ROW, "left_anti").select(*docs.columns)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
