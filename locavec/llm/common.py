@@ -142,6 +142,18 @@ def word_chunks(col: pa.Array, inside: np.ndarray):
         yield i, hash_runs(b, starts, ends), first
 
 
+def word_arrays(col: pa.Array, inside: np.ndarray, fold: bool = False, size: int = 1 << 20) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """Per chunk of rows: first row, its words as a string array (``fold``: A-Z lower-cased), and the offset of each row's first word
+    (one more at the end)."""
+    data, off = bytes_of(col)
+    for i, j in chunks_of(off, size):
+        b = data[off[i]:off[j]]
+        starts, ends, first = word_bounds(b, off[i:j + 1] - off[i], inside)
+        bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+        kept = np.ascontiguousarray(b[inside[b]])
+        yield i, pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(LOWER[kept] if fold else kept)), first
+
+
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words that start at each position, for the positions that have n words after them."""
     m = len(h) - n + 1
