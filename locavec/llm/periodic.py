@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, arrow_map, word_arrays
+from .common import SPACED, arrow_map, fresh, word_arrays
 
 
 def codes_of(words: pa.Array) -> np.ndarray:
@@ -184,4 +184,4 @@ def plant(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     h = F.crc32(F.col(key).cast("string").cast("binary"))
-    return arrow_map(docs.select("*", h.alias("__h")), run, schema)
+    return arrow_map(docs.select("*", h.alias(fresh(docs, "__h"))), run, schema)
