@@ -80,7 +80,8 @@ def chunk(v, lo: int, hi: int, dim: int | None = None) -> Column:
 
 
 def constant_vector(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in values])
+    """One literal, whatever its length: the text of the values, which the optimizer folds into an array of doubles."""
+    return F.split(F.lit(",".join(repr(float(x)) for x in values)), ",").cast("array<double>")
 
 
 def standardize(v, mean: Sequence[float], std: Sequence[float], threshold: float = 1e-4) -> Column:

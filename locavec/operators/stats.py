@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -23,7 +24,9 @@ from ..session import cut_lineage
 from .primitives import fixed_sample, value_rank
 
 BLOCK = 256                       # edge of one emitted matrix block
-ACCUMULATOR_BYTES = 256 << 20     # per task, before partial sums are flushed
+EMITTED_BYTES = 64 << 20          # matrices that one task may emit for all groups: half of a usual input split
+ROWS = 2048                       # rows multiplied at once
+FAN_IN = 64                       # partial sums of a matrix that one task of the first level adds up
 DRIVER_MATRIX_BYTES = 512 << 20   # largest matrix brought to the driver
 
 
@@ -61,10 +64,8 @@ def standardized(df: DataFrame, vec: str, out: str, rule: str = "dataset") -> Da
     row = moments(df, vec, ddof=0).first()
     std = np.array(row["std"])
     inv = np.where(std > 1e-4, 1.0 / np.where(std > 1e-4, std, 1.0), 0.0) if rule == "dataset" else 1.0 / (std + 1e-8)
-    return apply_linear(df, vec, out, np.diag(inv), -np.array(row["mean"]) * inv) if len(std) > 512 else df.withColumn(
-        out, F.zip_with(F.zip_with(F.col(vec), V.constant_vector(row["mean"]), lambda x, m: x - m),
-                        V.constant_vector(inv), lambda x, k: x * k)
-    )
+    return df.withColumn(out, F.zip_with(F.zip_with(F.col(vec), V.constant_vector(row["mean"]), lambda x, m: x - m),
+                                         V.constant_vector(inv), lambda x, k: x * k))
 
 
 # --------------------------------------------------------------------------- cross products
@@ -112,66 +113,103 @@ def feature_shift(df: DataFrame, features: str, targets: Sequence[str]) -> np.nd
     return np.array([*row["m"].toArray(), *[row[f"t{i}"] or 0.0 for i in range(len(targets))]])
 
 
-def gram_stats(df: DataFrame, features: str, targets: Sequence[str] = (), group: Sequence[str] = (),
-               shift: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray]:
-    """Summed cross-product blocks per group: (group..., bi, bj, cells), plus the shift used.
+def group_cells(sizes: Sequence[int], p: int, partitions: int) -> list[int]:
+    """Number of cells of every group: about ``partitions`` in all, and at least 4 * p rows in a cell of more than one.
 
-    ``group`` columns are integers. Each task keeps one matrix per group it meets, flushes when
-    they outgrow the byte limit, and emits upper-triangle blocks that Spark adds up.
+    A cell of m float vectors has 4 * m * p bytes and emits a matrix of 4 * p * p, so the matrices of split groups stay below
+    a quarter of the vectors.
+    """
+    total = max(1, sum(sizes))
+    return [max(1, min(round(n / total * partitions), n // (4 * p))) for n in sizes]
+
+
+def _in_cells(part: DataFrame, group: Sequence[str], sizes: Sequence, p: int) -> tuple[DataFrame, int]:
+    """Rows placed so that a task holds one cell, which is one group or a share of one; and the most cells of a group.
+
+    Shares are drawn by the content of a row and the partition it comes from: repeated rows spread as far as their input does, and
+    a task that is run again puts every row where it was.
+    """
+    spark = part.sparkSession
+    cells = group_cells([r["n"] for r in sizes], p, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    at = np.concatenate([[0], np.cumsum(cells)])
+    plan = spark.createDataFrame([(*[r[g] for g in group], int(a), int(c)) for r, a, c in zip(sizes, at, cells)],
+                                 ", ".join([*[f"`{g}` long" for g in group], "__at int", "__cells int"]))
+    share = F.pmod(F.xxhash64(*[c for c in part.columns if c not in group], F.spark_partition_id()), F.col("__cells")).cast("int")
+    placed = part.join(F.broadcast(plan), list(group)).withColumn("__cell", F.col("__at") + share)  # one row a group
+    return placed.repartitionById(int(at[-1]), F.col("__cell")).select(part.columns), max(cells)
+
+
+def gram_blocks(df: DataFrame, features: str, targets: Sequence[str], group: Sequence[str], shift: np.ndarray) -> tuple[DataFrame, int]:
+    """Partial cross-product blocks (group..., bi, bj, part, cells), several of a key, and how many partial sums a key may have.
+
+    Where the matrices of all groups are small next to an input split, every task adds up all groups it meets, and no vector is
+    shuffled. Else the rows are first placed by group, so that a task holds the matrix of one group only, and each matrix is emitted
+    once a cell instead of once an input task. Both give the same sums.
     """
-    shift = feature_shift(df, features, targets) if shift is None else shift
     p, ng, nt = len(shift) + 1, len(group), len(targets)
-    limit = max(1, ACCUMULATOR_BYTES // (8 * p * p))
-    names = [*group, "bi", "bj", "cells"]
     edges = list(range(0, p, BLOCK))
+    part = df.select(*[F.col(g).cast("long").alias(g) for g in group], F.col(features),
+                     *[F.col(t).cast("double").alias(f"__t{i}") for i, t in enumerate(targets)])
+    sizes = part.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a group
+    if ng and len(sizes) * 4 * p * p > EMITTED_BYTES:
+        part, partial = _in_cells(part, group, sizes, p)
+    else:
+        partial = 1 + sum(r["n"] for r in sizes) * 8 * p // (128 << 20)
 
     def flush(acc: dict) -> Iterator[pa.RecordBatch]:
-        keys, bi, bj, cells = [], [], [], []
+        number = TaskContext.get().partitionId()
         for key, g in acc.items():
             for i, a in enumerate(edges):
-                for j in range(i, len(edges)):
-                    keys.append(key)
-                    bi.append(i)
-                    bj.append(j)
-                    cells.append(g[a : a + BLOCK, edges[j] : edges[j] + BLOCK].ravel())
-        if keys:
-            arrays = [pa.array([k[c] for k in keys], pa.int64()) for c in range(ng)]
-            sizes = np.concatenate([[0], np.cumsum([len(c) for c in cells])]).astype("i4")
-            arrays += [pa.array(bi, pa.int32()), pa.array(bj, pa.int32()),
-                       pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(cells)))]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                cells = [g[a : a + BLOCK, edges[j] : edges[j] + BLOCK].ravel() for j in range(i, len(edges))]
+                n = len(cells)
+                arrays = [pa.array(np.full(n, k), pa.int64()) for k in key]
+                arrays += [pa.array(np.full(n, i), pa.int32()), pa.array(np.arange(i, len(edges)), pa.int32()), pa.array(np.full(n, number), pa.int32()),
+                           pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(c) for c in cells])]), pa.int32()), pa.array(np.concatenate(cells)))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*group, "bi", "bj", "part", "cells"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[tuple, np.ndarray] = {}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _list_matrix(b.column(ng))
-            y = [b.column(ng + 1 + t).to_numpy(zero_copy_only=False).astype("f8")[:, None] for t in range(nt)]
-            z = np.hstack([np.ones((len(x), 1)), np.hstack([x, *y]) - shift])
-            if ng:
-                gk = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in range(ng)])
-                uniq, inv = np.unique(gk, axis=0, return_inverse=True)
-                inv = inv.ravel()
-            else:
-                uniq, inv = np.zeros((1, 0), "i8"), np.zeros(len(x), "i8")
-            for u, key in enumerate(uniq):
-                zu = z[inv == u]
-                k = tuple(int(v) for v in key)
-                if k in acc:
-                    acc[k] += zu.T @ zu
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                z = np.empty((b.num_rows, p))
+                z[:, 0] = 1.0
+                z[:, 1:p - nt] = _list_matrix(b.column(ng))
+                for t in range(nt):
+                    z[:, p - nt + t] = b.column(ng + 1 + t).to_numpy(zero_copy_only=False)
+                z[:, 1:] -= shift
+                if ng:
+                    gk = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in range(ng)])
+                    uniq, inv = np.unique(gk, axis=0, return_inverse=True)
+                    inv = inv.ravel()
                 else:
-                    acc[k] = zu.T @ zu
-            if len(acc) > limit:
-                yield from flush(acc)
-                acc = {}
+                    uniq, inv = np.zeros((1, 0), "i8"), np.zeros(len(z), "i8")
+                for u, key in enumerate(uniq):
+                    zu = z if len(uniq) == 1 else z[inv == u]
+                    k = tuple(int(v) for v in key)
+                    if k in acc:
+                        acc[k] += zu.T @ zu
+                    else:
+                        acc[k] = zu.T @ zu
         yield from flush(acc)
 
-    schema = T.StructType([*[T.StructField(g, T.LongType()) for g in group], T.StructField("bi", T.IntegerType()),
-                           T.StructField("bj", T.IntegerType()), T.StructField("cells", T.ArrayType(T.DoubleType()))])
-    part = df.select(*[F.col(g).cast("long").alias(g) for g in group], F.col(features),
-                     *[F.col(t).cast("double").alias(f"__t{i}") for i, t in enumerate(targets)]).mapInArrow(add_up, schema)
-    return sum_blocks(part, group), shift
+    schema = T.StructType([*[T.StructField(g, T.LongType()) for g in group], T.StructField("bi", T.IntegerType()), T.StructField("bj", T.IntegerType()),
+                           T.StructField("part", T.IntegerType()), T.StructField("cells", T.ArrayType(T.DoubleType()))])
+    return part.mapInArrow(add_up, schema), partial
+
+
+def gram_stats(df: DataFrame, features: str, targets: Sequence[str] = (), group: Sequence[str] = (),
+               shift: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray]:
+    """Summed cross-product blocks per group: (group..., bi, bj, cells), plus the shift used.
+
+    ``group`` columns are integers. Partial sums of many tasks are added in two levels, so that no task reads more than
+    FAN_IN of a key, or the root of their number.
+    """
+    shift = feature_shift(df, features, targets) if shift is None else shift
+    blocks, partial = gram_blocks(df, features, targets, group, shift)
+    if partial > FAN_IN:
+        blocks = sum_blocks(blocks.withColumn("part", F.col("part") % max(partial // FAN_IN, int(partial**0.5))), [*group, "part"])
+    return sum_blocks(blocks, group), shift
 
 
 def sum_blocks(blocks: DataFrame, group: Sequence[str]) -> DataFrame:
