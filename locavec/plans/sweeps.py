@@ -114,25 +114,40 @@ def _rows(scores: DataFrame, facts: tuple[int, float, int], benchmark: str, task
 
 def block_size_sweep(df: DataFrame, features: str, targets: Sequence[str], *, benchmark: str, widths: Sequence[int],
                      cells: Sequence[float] = CELL_SIZES, tag: str = "emb", seed: int = 0, alphas=models.RIDGE_ALPHAS,
-                     order: str = "hash", max_rows: int | None = None) -> DataFrame:
-    """Prefix widths by cell size. All widths of a cell size come from one set of cross products."""
+                     order: str = "hash", max_rows: int | None = None, task_type: str = "regression", test_flag: str | None = None) -> DataFrame:
+    """Prefix widths by cell size. All widths of a cell size come from one set of cross products.
+
+    ``targets`` are label columns of one ``task_type``. With ``test_flag`` the scores are those of the official test rows, whatever the
+    cell size, which then only sets the distances.
+    """
     parts = []
     for cell in cells:
         d = cut_lineage(with_folds(df, cell, seed=seed, order=order), "folds")
         facts = _facts(d, max_rows)
         profiles = [models.Profile(f"ridge_w{w}", w) for w in widths]
-        ch, means, _ = models.nested_score(d, features, targets=targets, profiles=profiles, alphas=alphas, rule="probe",
-                                           inner="spatial" if cell else "random")
+        how = dict(profiles=profiles, alphas=alphas, rule="probe")
+        if test_flag is None:
+            ch, means, _ = models.nested_tasks(d, features, targets, task_type, inner="spatial" if cell else "random", **how)
+        else:
+            ch, means = _official(df, features, targets, task_type, test_flag, seed, **how)
+        models.warn_at_edge(ch, alphas)
         lab = means.select(F.concat(F.lit(f"{tag}_"), F.substring("config", 8, 9)).alias("encoder"),
                            F.substring("config", 8, 9).cast("int").alias("width"), "target", F.round("score", 5).alias("score"))
-        parts.append(_rows(lab, facts, benchmark, targets, cell, task_type="regression"))
+        parts.append(_rows(lab, facts, benchmark, targets, cell, task_type=task_type))
     return union(parts).select("benchmark", "family", "task", "task_type", "n", "encoder", "width", "cell_deg",
                                "median_nn_train_km", "n_folds_nonempty", "score")
 
 
+def _official(df: DataFrame, features: str, targets: Sequence[str], task_type: str, test_flag: str, seed: int, **how) -> tuple[DataFrame, DataFrame]:
+    """(choices, means) of the official test rows; penalties are chosen inside the others."""
+    d = FO.inner_buckets(df.withColumn("fold", F.col(test_flag).cast("int")), "id", seed=seed)
+    ch = models.nested_tasks(d, features, targets, task_type, inner="random", **how)[0].where(F.col("outer") == 1)
+    return ch, ch.groupBy("config", "target").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n_folds"))
+
+
 def penalty_sweep(df: DataFrame, features: str, targets: Sequence[str], *, benchmark: str, widths: Sequence[int], starts: Sequence[int],
                   betas=models.CHUNK_BETAS, powers=models.POWER_EXPONENTS, cells: Sequence[float] = PENALTY_CELLS, seed: int = 0,
-                  alphas=models.RIDGE_ALPHAS, order: str = "hash", max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+                  alphas=models.RIDGE_ALPHAS, order: str = "hash", max_rows: int | None = None, task_type: str = "regression") -> tuple[DataFrame, DataFrame]:
     """(results, choices) for every profile and family under the rules selected, nested, nested_spatial."""
     dim = df.select(F.size(features)).first()[0]
     profiles = models.make_profiles(dim, widths, betas, powers, starts)
@@ -143,12 +158,12 @@ def penalty_sweep(df: DataFrame, features: str, targets: Sequence[str], *, bench
         d = cut_lineage(with_folds(df, cell, seed=seed, order=order), "folds")
         facts = _facts(d, max_rows)
         for rule, inner in [("nested", "random")] + ([("nested_spatial", "spatial")] if cell and facts[2] >= 3 else []):
-            ch, means, grid = models.nested_score(d, features, targets=targets, profiles=profiles, families=fams, alphas=alphas,
+            ch, means, grid = models.nested_tasks(d, features, targets, task_type, profiles=profiles, families=fams, alphas=alphas,
                                                   rule="clamp", inner=inner)
             picks = [(rule, means)] + ([("selected", models.selected(grid, pools))] if rule == "nested" else [])
             for name, m in picks:
                 results.append(_rows(m.select("config", "target", F.round("score", 5).alias("score")), facts, benchmark, targets, cell,
-                                     rule=name, task_type="regression"))
+                                     rule=name, task_type=task_type))
             prof, alph = F.array(*[F.lit(p.name) for p in profiles]), F.array(*[F.lit(float(a)) for a in alphas])
             choices.append(ch.select(
                 F.lit(benchmark).alias("benchmark"), F.get(F.array(*[F.lit(t) for t in targets]), F.col("target")).alias("task"),
@@ -196,24 +211,31 @@ def retention_levels(df: DataFrame, radii: Sequence[float], *, folds: int = 5, s
 
 def buffered_sweep(df: DataFrame, features: str, targets: Sequence[str], *, benchmark: str, radii: Sequence[float] = RADII_KM,
                    folds: int = 5, seed: int = 0, profiles: Sequence[models.Profile], families: dict[str, list[int]] | None = None,
-                   alphas=models.RIDGE_ALPHAS, idw_k: int | None = None, min_train: int = MIN_TRAIN_ROWS, tag: str = "emb") -> DataFrame:
+                   alphas=models.RIDGE_ALPHAS, idw_k: int | None = None, min_train: int = MIN_TRAIN_ROWS, tag: str = "emb",
+                   task_type: str = "regression") -> DataFrame:
     """Scores per radius, mode and config with fixed held-out folds and shrinking training sets.
 
-    Targets with the same valid rows share a run over these rows. Every radius, mode, config and task has a row; the score is null
+    Regression targets with the same valid rows share a run over these rows, a class target has a run of its own. Every radius, mode, config and task has a row; the score is null
     where some fold keeps fewer than ``min_train`` training rows, and a fold without any counts as 0 in the means.
     """
     n = df.count()
     parts = []
+    how = dict(benchmark=benchmark, radii=radii, folds=folds, seed=seed, profiles=profiles, families=families, alphas=alphas, idw_k=idw_k,
+               min_train=min_train, tag=tag)
+    placed = finite("lat") & finite("lon")
+    if task_type == "classification":
+        for name in targets:
+            coded, n_classes = models.class_codes(df.where(valid_rows(name, features, numeric=False) & placed), name, "__cls")
+            parts.append(_buffered(coded.withColumn(name, F.col("__cls")), features, [name], n, n_classes=n_classes, **how))
+        return union(parts)
     for at in models.target_groups(df, features, targets):
         names = [targets[i] for i in at]
-        d = df.where(valid_rows(names[0], features) & finite("lat") & finite("lon"))
-        parts.append(_buffered(d, features, names, n, benchmark=benchmark, radii=radii, folds=folds, seed=seed, profiles=profiles,
-                               families=families, alphas=alphas, idw_k=idw_k, min_train=min_train, tag=tag))
+        parts.append(_buffered(df.where(valid_rows(names[0], features) & placed), features, names, n, **how))
     return union(parts)
 
 
 def _buffered(df: DataFrame, features: str, targets: Sequence[str], n: int, *, benchmark: str, radii, folds: int, seed: int, profiles, families,
-              alphas, idw_k: int | None, min_train: int, tag: str) -> DataFrame:
+              alphas, idw_k: int | None, min_train: int, tag: str, n_classes: int = 0) -> DataFrame:
     """One run of the buffered sweep on valid rows.
 
     Each row enters the cross products once per held-out fold and mode, under its retention level;
@@ -229,9 +251,13 @@ def _buffered(df: DataFrame, features: str, targets: Sequence[str], n: int, *, b
         "array<struct<target:int,mode:string,level:int>>"), F.array().cast("array<struct<target:int,mode:string,level:int>>")))))
     placed = placed.select(features, *targets, "bucket", F.col("w.target").alias("target"),
                            F.when(F.col("w.mode") == "buffer", 0).otherwise(1).alias("mode"), F.col("w.level").alias("level"))
-    shift = stats.feature_shift(placed, features, targets)
-    dim = len(shift) - len(targets)
-    blocks, _ = stats.gram_stats(placed, features, targets, ["mode", "target", "level", "bucket"], shift)
+    task_type, labels = ("classification", []) if n_classes else ("regression", targets)
+    group = ["mode", "target", "level", "bucket"]
+    shift = stats.feature_shift(placed, features, labels)
+    dim = len(shift) - len(labels)
+    blocks, _ = stats.gram_stats(placed, features, labels, group, shift)
+    if n_classes:
+        blocks = blocks.unionByName(models.class_sums(placed, features, targets[0], shift, group))
     fits = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in range(len(rs)) for i in (-1, *range(folds))])).alias("f")
     x = blocks.select("*", fits).select("*", "f.j", F.col("f.i").alias("inner")).drop("f")
     x = x.where(~((F.col("mode") == 1) & F.lit(rs[0] == 0.0) & (F.col("j") == 0)))  # no control at radius zero
@@ -240,13 +266,21 @@ def _buffered(df: DataFrame, features: str, targets: Sequence[str], n: int, *, b
     role = F.when(F.col("inner") == -1, F.when(test, 1).when(kept, 0)).when(kept, F.when(F.col("bucket") == F.col("inner"), 1).otherwise(0))
     code = ((F.col("mode") * folds + F.col("target")) * len(rs) + F.col("j")).alias("outer")
     roles = x.select("*", role.alias("role"), code).where("role is not null").drop("mode", "target", "level", "bucket", "j")
-    grid = cut_lineage(models.solve_fits(roles, shift, dim, profiles, alphas, "clamp"), "grid")
+    grid = models.solve_fits(roles, shift, dim, profiles, alphas, "clamp", weights=n_classes > 0, n_classes=n_classes)
+    if n_classes:
+        def tests(values, outer, inner):
+            j, target, mode = outer % len(rs), outer // len(rs) % folds, outer // len(rs) // folds
+            mine = (values["mode"] == mode) & (values["target"] == target)
+            return mine & ((values["level"] == -1) if inner == -1 else (values["level"] > j) & (values["bucket"] == inner))
+
+        grid = models.accuracy_grid(placed, features, targets[0], n_classes, grid, group, tests)
+    grid = cut_lineage(grid, "grid")
     pools = {p.name: [i] for i, p in enumerate(profiles)} | (families or {})
     ch = models.choose(grid, pools)
     per = ch.select("outer", "config", "target", "score")
     hits, held = _kept_neighbours(d, lv, rs, targets, idw_k or 1, folds)
     if idw_k:
-        per = per.unionByName(_interpolated(hits, held, targets, idw_k).select("outer", "config", "target", "score"))
+        per = per.unionByName(_interpolated(hits, held, targets, idw_k, task_type).select("outer", "config", "target", "score"))
     j, m = (F.col("outer") % len(rs)).cast("int").alias("j"), F.floor(F.col("outer") / (len(rs) * folds)).cast("int").alias("m")
     scores = per.groupBy(j, m, "config", "target").agg(F.avg("score").alias("score"))
     near = hits.where("rank = 1").select(F.col("qid.outer").alias("outer"), F.col("qid.id").alias("id"), "km")
@@ -270,7 +304,7 @@ def _buffered(df: DataFrame, features: str, targets: Sequence[str], n: int, *, b
     every = d.sparkSession.createDataFrame(rows, "m int, j int, target int, task string, encoder string, config string, radius_km double, mode string, "
                                                  "n_folds int, n_train_kept long, frac_kept double, ok boolean")
     return every.join(scores, ["m", "j", "config", "target"], "left").join(med, ["m", "j"], "left").select(
-        F.lit(benchmark).alias("benchmark"), category(F.lit(benchmark)).alias("family"), "task", F.lit("regression").alias("task_type"),
+        F.lit(benchmark).alias("benchmark"), category(F.lit(benchmark)).alias("family"), "task", F.lit(task_type).alias("task_type"),
         F.lit(n).cast("long").alias("n"), F.lit(valid).cast("long").alias("n_valid"), "encoder", "config", "radius_km", "mode",
         F.lit(seed).alias("fold_seed"), "n_folds", "n_train_kept", "frac_kept", F.round("med", 2).alias("median_nn_km"),
         F.when(F.col("ok"), F.round("score", 5)).alias("score"))
@@ -290,30 +324,34 @@ def _kept_neighbours(d: DataFrame, lv: DataFrame, rs: Sequence[float], targets:
     return cut_lineage(hits, "kept"), held
 
 
-def _interpolated(hits: DataFrame, held: DataFrame, targets: Sequence[str], k: int) -> DataFrame:
+def _interpolated(hits: DataFrame, held: DataFrame, targets: Sequence[str], k: int, task_type: str) -> DataFrame:
     """Interpolation scores per (outer code, target)."""
     parts = []
     for t, name in enumerate(targets):
-        pred = metrics.idw(hits, [k], name).withColumn("id", F.col("qid.id")).withColumn("outer", F.col("qid.outer"))
+        pred = metrics.idw(hits, [k], name, task_type).withColumn("id", F.col("qid.id")).withColumn("outer", F.col("qid.outer"))
         j = pred.join(held.select("id", "outer", F.col(name).alias("truth")), ["id", "outer"])
-        parts.append(metrics.r2_by(j, ["outer"]).select("outer", F.lit(f"idw_k{k}").alias("config"), F.lit(t).alias("target"), "score"))
+        score = metrics.r2_by(j, ["outer"]) if task_type == "regression" else metrics.accuracy_by(j, ["outer"])
+        parts.append(score.select("outer", F.lit(f"idw_k{k}").alias("config"), F.lit(t).alias("target"), "score"))
     return union(parts)
 
 
 def distance_error_sweep(df: DataFrame, encoders_: dict[str, str], target: str, *, cells: Sequence[float] = DISTANCE_CELLS,
-                         seed: int = 0, alphas=models.RIDGE_ALPHAS, order: str = "hash") -> DataFrame:
-    """Distance-binned skill per encoder (label -> vector column) and cell size."""
-    parts = []
+                         seed: int = 0, alphas=models.RIDGE_ALPHAS, order: str = "hash", task_type: str = "regression") -> DataFrame:
+    """Distance-binned skill per encoder (label -> vector column) and cell size; the skill of a class target is accuracy."""
+    parts, numeric, label = [], task_type == "regression", dict(target=target)
+    if not numeric:
+        df, n_classes = models.class_codes(df, target, "__cls")
+        label = dict(cls="__cls", n_classes=n_classes)
     for cell in cells:
         d = cut_lineage(with_folds(df, cell, seed=seed, order=order), "folds")
-        ok = [valid_rows(target, vec) for vec in encoders_.values()]
+        ok = [valid_rows(target, vec, numeric=numeric) for vec in encoders_.values()]
         differ = d.agg(*[F.count_if(~x.eqNullSafe(ok[0])) for x in ok]).first()
         km = None
-        for i, (label, vec) in enumerate(encoders_.items()):
+        for i, (name, vec) in enumerate(encoders_.items()):
             if km is None or differ[i] or differ[i - 1]:  # distances among the valid rows; equal masks share them
                 km = cut_lineage(NB.nearest_train_km(d.where(ok[i])).select("id", "km"), "km")
-            p = models.fold_predictions(d, vec, "id", target=target, alphas=alphas).join(km, "id")
-            parts.append(metrics.binned_skill(p).select(F.lit(label).alias("encoder"), F.lit(float(cell)).alias("cell_deg"),
+            p = models.fold_predictions(d, vec, "id", alphas=alphas, **label).join(km, "id")
+            parts.append(metrics.binned_skill(p, task_type=task_type).select(F.lit(name).alias("encoder"), F.lit(float(cell)).alias("cell_deg"),
                                                         "bin", "lo_km", "hi_km", "n", F.round("skill", 5).alias("skill")))
     return union(parts)
 
