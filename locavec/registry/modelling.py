@@ -9,7 +9,7 @@ from ..operators import folds, joins, metrics, models, stats
 from ..plans import normalize, sweeps
 from ..session import cut_lineage, shared_dir
 from ..sources import files
-from .core import PTS, R, W, query, r
+from .core import PTS, R, VECS, W, query, r
 
 PROFILES = models.make_profiles(X.DIM, X.WIDTHS, models.CHUNK_BETAS, models.POWER_EXPONENTS, X.STARTS)
 FAMILIES = models.make_families(PROFILES, X.DIM)
@@ -29,6 +29,99 @@ def _profile(profiles=PROFILES):
     return F.get(F.array(*[F.lit(p.name) for p in profiles]), F.col("profile")).alias("profile")
 
 
+# --------------------------------------------------------------------------- ridge on one channel, in SQL
+# r (id, fold, x, y or c) -> every fit (outer o, inner i, -1 the outer fit itself) at every penalty
+
+_MOD = "r AS (SELECT id, (row_number() OVER (ORDER BY id)-1)%5 AS fold, v[1] AS x, y, cls AS c, lat, lon FROM vecs)"
+_LEX = ("cl AS (SELECT a, b, (row_number() OVER (ORDER BY a, b)-1)%5 AS fold FROM (SELECT DISTINCT floor(lat/10) AS a, floor(lon/10) AS b FROM vecs)), "
+        "r AS (SELECT id, fold, v[1] AS x, y, cls AS c, lat, lon FROM vecs JOIN cl ON floor(lat/10)=a AND floor(lon/10)=b)")
+_FITS = ("ft AS (SELECT o, i FROM (SELECT DISTINCT fold AS o FROM r), (SELECT -1 AS i UNION SELECT DISTINCT fold FROM r) WHERE i<>o), "
+         "al AS (SELECT range::INT AS ai, pow(10.0,(range-8)/2.0) AS alpha FROM range(21)), "
+         "tr AS (SELECT o, i, r.* FROM ft JOIN r ON fold<>o AND fold<>i), te AS (SELECT o, i, r.* FROM ft JOIN r ON fold=CASE WHEN i=-1 THEN o ELSE i END), "
+         "st AS (SELECT o, i, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x)*count(*) AS sxx, covar_pop(x,y)*count(*) AS sxy, stddev_samp(x) AS sd FROM tr GROUP BY 1,2)")
+_CLASSES = ("cs AS (SELECT o, i, c, count(*) AS nc, sum(x) AS sx FROM tr GROUP BY 1,2,3), "
+            "pr AS (SELECT te.o, te.i, ai, te.id, te.fold, any_value(te.c) AS c, arg_max(cs.c, (nc/n::DOUBLE+(x-mx)*(sx-nc*mx)/(sd*sd)/(sxx/(sd*sd)+alpha), -cs.c)) AS p "
+            "FROM te JOIN st USING (o,i) JOIN cs USING (o,i), al GROUP BY 1,2,3,4,5), "
+            "g AS (SELECT o, i, ai, avg(CASE WHEN p=c THEN 1.0::DOUBLE ELSE 0 END) AS score, count(*) AS n FROM pr GROUP BY 1,2,3)")
+_NUMBERS = ("g AS (SELECT rule, o, i, ai, 1-sum((te.y-my-(x-mx)*b)*(te.y-my-(x-mx)*b))/greatest(var_pop(te.y)*count(*),1e-12) AS score, count(*) AS n FROM te JOIN "
+            "(SELECT st.*, ai, rule, CASE WHEN rule='none' THEN sxy/(sxx+alpha) ELSE sxy/(sd*sd)/(sxx/(sd*sd)+alpha) END AS b FROM st, al, (VALUES ('none'),('probe')) t(rule)) USING (o,i) GROUP BY 1,2,3,4)")
+_PICK = ("m AS (SELECT o, ai, round(avg(score),12) AS s FROM g WHERE i>=0 GROUP BY 1,2), pk AS (SELECT o, arg_max(ai, (s,-ai)) AS ai FROM m GROUP BY 1), "
+         "ch AS (SELECT pk.o, pk.ai, g.score FROM pk JOIN g ON g.o=pk.o AND g.ai=pk.ai AND g.i=-1)")
+
+
+def _channel(spark, sf, cell=0.0, n=1):
+    """The first channels of the vectors, folds by row order or cell order."""
+    d = X.vectors(spark, sf).withColumn("v", F.slice("v", 1, n))
+    return cut_lineage(sweeps.with_folds(d, cell, order="lex"), "folds")
+
+
+@query("mdl1_ridge_grid", W(VECS, _MOD, _FITS, _NUMBERS) + f"SELECT rule, o::INT AS outer_fold, i::INT AS inner_fold, ai AS alpha, n::DOUBLE AS n_test, {r('score')} AS score FROM g")
+def mdl1_grid(spark, sf):
+    """Held-out R^2 of every fit at every penalty, with and without standardization."""
+    d, parts = _channel(spark, sf), []
+    for rule in ("probe", "none"):
+        g, _ = models.score_grid(d, "v", targets=["y"], rule=rule, inner="spatial")
+        parts.append(g.select(F.lit(rule).alias("rule"), F.col("outer").cast("int").alias("outer_fold"), F.col("inner").cast("int").alias("inner_fold"), "alpha", "n_test", R("score").alias("score")))
+    return sweeps.union(parts)
+
+
+@query("mdl3_alpha_choice", W(VECS, _LEX, _FITS, _NUMBERS.replace(", (VALUES ('none'),('probe')) t(rule)", ", (VALUES ('probe')) t(rule)"), _PICK) + f"SELECT o::INT AS fold, ai AS alpha, {r('score')} AS score FROM ch")
+def mdl3_choice(spark, sf):
+    """Penalty of every spatial fold by spatial inner folds, and its held-out R^2."""
+    ch, _, _ = models.nested_score(_channel(spark, sf, 10.0), "v", targets=["y"], inner="spatial")
+    return ch.select(F.col("outer").cast("int").alias("fold"), "alpha", R("score").alias("score"))
+
+
+@query("mdl5_classification_grid", W(VECS, _MOD, _FITS, _CLASSES) + f"SELECT o::INT AS outer_fold, i::INT AS inner_fold, ai AS alpha, n::DOUBLE AS n_test, {r('score')} AS score FROM g")
+def mdl5_grid(spark, sf):
+    """Accuracy of the arg-max class of every fit at every penalty."""
+    d, n = models.class_codes(_channel(spark, sf), "cls")
+    g, _ = models.score_grid(d, "v", cls="cls_code", n_classes=n, inner="spatial")
+    return g.select(F.col("outer").cast("int").alias("outer_fold"), F.col("inner").cast("int").alias("inner_fold"), "alpha", "n_test", R("score").alias("score"))
+
+
+@query("mdl12_classification", W(VECS, _LEX, _FITS, _CLASSES, _PICK) + f"SELECT 'emb_1' AS encoder, 10.0::DOUBLE AS cell_deg, 'cls' AS task, 'classification' AS task_type, (SELECT count(*) FROM r) AS n, {r('avg(score)', 5)} AS score FROM ch")
+def mdl12_classes(spark, sf):
+    d = X.vectors(spark, sf)
+    out = sweeps.block_size_sweep(d, "v", ["cls"], benchmark="vectors", widths=(1,), cells=(10.0,), order="lex", task_type="classification")
+    return out.select("encoder", "cell_deg", "task", "task_type", "n", "score")
+
+
+@query("mdl13_classification", W(VECS, _LEX, _FITS, _CLASSES, _PICK) + f"SELECT config, 'nested_spatial' AS rule, {r('s', 5)} AS score FROM (SELECT avg(score) AS s FROM ch), (VALUES ('ridge_w1'),('cv_width'),('cv_all'),('cv_chunk'),('cv_pow')) t(config) "
+       f"UNION ALL SELECT config, 'selected', {r('s', 5)} FROM (SELECT max(s) AS s FROM (SELECT avg(score) AS s FROM g WHERE i=-1 GROUP BY ai)), (VALUES ('ridge_w1'),('cv_width'),('cv_all'),('cv_chunk'),('cv_pow')) t(config)")
+def mdl13_classes(spark, sf):
+    """The rules with spatial inner folds and with the best outer mean, on one channel (where every pool is the plain profile)."""
+    d = X.vectors(spark, sf).withColumn("v", F.slice("v", 1, 1))
+    res, _ = sweeps.penalty_sweep(d, "v", ["cls"], benchmark="vectors", widths=(1,), starts=(), betas=(), powers=(), cells=(10.0,), order="lex", task_type="classification")
+    return res.where("rule <> 'nested'").select("config", "rule", "score")
+
+
+@query("mdl15_classification")
+def mdl15_classes(spark, sf):
+    """Every radius and mode on the class labels; inner buckets follow hashes, which SQL does not have."""
+    pr = [models.Profile(f"ridge_w{w}", w) for w in X.WIDTHS]
+    return sweeps.buffered_sweep(X.vectors(spark, sf), "v", ["cls"], benchmark="vectors", profiles=pr, families={"cv_width": list(range(len(pr)))}, idw_k=5,
+                                 task_type="classification")
+
+
+_FAR = ("xy AS (SELECT *, cos(radians(lat))*cos(radians(lon)) AS a, cos(radians(lat))*sin(radians(lon)) AS b, sin(radians(lat)) AS z FROM r), "
+        "nn AS (SELECT p.id, min(2*6371.0*asin(least(1.0,sqrt((p.a-q.a)*(p.a-q.a)+(p.b-q.b)*(p.b-q.b)+(p.z-q.z)*(p.z-q.z))/2))) AS km FROM xy p JOIN xy q ON p.fold<>q.fold GROUP BY 1)")
+
+
+_BINS = ", ".join(f"count(*) FILTER ({w}) AS n_{k}, CASE WHEN count(*) FILTER ({w})>={metrics.MIN_BIN_ROWS} THEN {r(f'avg(CASE WHEN p=c THEN 1.0::DOUBLE ELSE 0 END) FILTER ({w})', 5)} END AS skill_{k}"
+                  for k, w in enumerate(f"km>={lo} AND km<{hi}" for lo, hi in zip(metrics.BIN_EDGES_KM, (*metrics.BIN_EDGES_KM[1:-1], 1e12))))
+
+
+@query("mdl16_classification", W(VECS, _MOD, _FITS, _CLASSES, _FAR) + f"SELECT {_BINS} FROM pr JOIN nn USING (id) WHERE i=-1 AND ai=8")
+def mdl16_classes(spark, sf):
+    """Accuracy by distance to the nearest training row at one penalty, one column a distance bin."""
+    d = X.vectors(spark, sf).withColumn("v1", F.slice("v", 1, 1))
+    out = sweeps.distance_error_sweep(d, {"emb_1": "v1"}, "cls", cells=(0.0,), alphas=(1.0,), task_type="classification")
+    bins = range(len(metrics.BIN_EDGES_KM) - 1)
+    at = lambda k, c: F.max(F.when(F.col("bin") == k, F.col(c)))
+    return out.agg(*[x for k in bins for x in (at(k, "n").alias(f"n_{k}"), (at(k, "skill") + F.lit(0.0)).alias(f"skill_{k}"))])
+
+
 @query("mdl1_ridge_eval")
 def mdl1(spark, sf):
     """Held-out R^2 per spatial fold at one penalty, with and without standardization."""
@@ -134,6 +227,14 @@ def mdl11(spark, sf):
     return sweeps.evaluate_tasks(d, "v", ["y", "lat_task"], spatial=True).select("task", R("score").alias("score"))
 
 
+@query("mdl11_class_probes")
+def mdl11_classes(spark, sf):
+    """The class task under the three probes (random folds) and under ridge with spatial folds and with an official split."""
+    d = X.vectors(spark, sf).withColumn("official", F.col("id") % 4 == 0)
+    run = lambda name, **kw: sweeps.evaluate_tasks(d, "v", ["cls"], task_type="classification", **kw).where("task <> 'MEAN'").select(F.lit(name).alias("probe"), R("score").alias("score"))
+    return sweeps.union([run("ridge"), run("knn", probe="knn"), run("logistic", probe="logistic"), run("ridge_spatial", spatial=True), run("ridge_official", test_flag="official")])
+
+
 @query("mdl12_block_size_sweep")
 def mdl12(spark, sf):
     return sweeps.block_size_sweep(X.vectors(spark, sf), "v", ["y"], benchmark="vectors", widths=X.WIDTHS, order="lex")
