@@ -1,7 +1,7 @@
 """Exact nearest-neighbour joins on the sphere and in feature space.
 
 Training rows are cut into leaves of similar size by a k-d split of a bounded sample; leaves that
-turn out large are divided into sub-units, so no task ever holds an unbounded group. A query visits
+turn out large are split again by place, on the executors, so no task ever holds an unbounded group. A query visits
 one unit first, which bounds its k-th distance, then only the units whose boxes reach inside that
 bound. Pairs never leave a task: each visit returns at most k candidates per query.
 
@@ -26,9 +26,10 @@ from ..session import cut_lineage, spread
 from .primitives import hash_uniform
 
 LEAF_ROWS = 512        # aimed-at training rows per leaf
-UNIT_ROWS = 4096       # a leaf above this is divided
+UNIT_ROWS = 4096       # a leaf above this is split again
 BLOCK_ROWS = 4096      # query rows per task group
-MAX_LEAVES = 65536     # bounds the split tree and the box table held by every task
+MAX_LEAVES = 65536     # cells of the first level, split on the driver
+ROUTED = 1 << 21       # cells of a query by leaf matrix
 SAMPLE_PER_LEAF = 16   # bounds the sample the splits are chosen from
 
 
@@ -75,11 +76,24 @@ class LeafIndex:
         return np.sqrt((d * d).sum(axis=1))
 
     def reach(self, x: np.ndarray) -> np.ndarray:
-        """Largest possible distance from ``x`` to a row of each leaf."""
-        d = np.maximum(np.abs(x - self.lo), np.abs(self.hi - x))
-        if self.residual:
-            d[:, -1] = x[-1] + self.hi[:, -1]
-        return np.sqrt((d * d).sum(axis=1))
+        """Largest possible distance from each row of ``x`` to a row of each leaf, [rows, leaves]."""
+        total = np.zeros((len(x), len(self.lo)))
+        for j in range(x.shape[1]):
+            if self.residual and j == x.shape[1] - 1:
+                d = x[:, j, None] + self.hi[:, j]
+            else:
+                d = np.maximum(np.abs(x[:, j, None] - self.lo[:, j]), np.abs(self.hi[:, j] - x[:, j, None]))
+            total += d * d
+        return np.sqrt(total)
+
+    def inside(self, x: np.ndarray, limit: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) for every box of ``leaves`` that a row of ``x`` reaches within its limit, by row."""
+        total = np.zeros((len(x), len(leaves)))
+        for j in range(x.shape[1]):
+            d = np.maximum(0.0, np.maximum(self.lo[leaves, j] - x[:, j, None], x[:, j, None] - self.hi[leaves, j]))
+            total += d * d
+        row, at = np.nonzero(total <= (limit * limit)[:, None])
+        return row, leaves[at]
 
 
 def _split_tree(sample: np.ndarray, leaves: int):
@@ -111,7 +125,7 @@ def _split_tree(sample: np.ndarray, leaves: int):
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
-    return np.array(series.tolist(), dtype="f8").reshape(len(series), -1) if len(series) else np.zeros((0, 1))
+    return np.concatenate(series.to_numpy()).astype("f8").reshape(len(series), -1) if len(series) else np.zeros((0, 1))
 
 
 def _with_leaf(df: DataFrame, bc) -> DataFrame:
@@ -122,23 +136,72 @@ def _with_leaf(df: DataFrame, bc) -> DataFrame:
     return df.withColumn("leaf", leaf_of("ix"))
 
 
+def _grafted(tree: tuple, n_leaf: int, parts: list) -> tuple[tuple, int]:
+    """The tree with a subtree in the place of some of its leaves; ``parts`` holds (leaf, axis, cut, left, right, leaf numbers)."""
+    axis, cut, left, right, leaf = tree
+    node_of = np.zeros(n_leaf, np.int64)
+    node_of[leaf[axis < 0]] = np.flatnonzero(axis < 0)
+    grown = [[a] for a in (axis, cut, left, right, leaf)]
+    size = len(axis)
+    for at, *sub in parts:
+        s_axis, s_cut, s_left, s_right, s_leaf = (np.asarray(v) for v in sub)
+        # node 0 of the subtree takes the leaf's node, leaf 0 its number; all others come after those there are
+        moved = lambda child: np.where(child > 0, child + size - 1, child)
+        numbers = np.where(s_leaf == 0, at, s_leaf + n_leaf - 1)
+        values = (s_axis, s_cut, moved(s_left), moved(s_right), np.where(s_axis < 0, numbers, -1))
+        for old, v in zip((axis, cut, left, right, leaf), values):
+            old[node_of[at]] = v[0]
+        for g, v in zip(grown, values):
+            g.append(v[1:])
+        size += len(s_axis) - 1
+        n_leaf += int((s_axis < 0).sum()) - 1
+    return tuple(np.concatenate(g) for g in grown), n_leaf
+
+
+def _split_big(placed: DataFrame, big: DataFrame, leaf_rows: int, level: int) -> list:
+    """Subtrees of the leaves in ``big`` (leaf, n), each split in a task of its own from a share of the leaf's rows."""
+    def split(key, rows: pd.DataFrame) -> pd.DataFrame:
+        want = -(-int(rows["n"].iloc[0]) // leaf_rows)
+        axis, cut, left, right, leaf, _ = _split_tree(_matrix(rows["ix"]), want)
+        return pd.DataFrame({"leaf": [key[0]], "axis": [axis], "cut": [cut], "left": [left], "right": [right], "numbers": [leaf]})
+
+    share = float(SAMPLE_PER_LEAF) / leaf_rows
+    few = placed.join(F.broadcast(big), "leaf").where(hash_uniform("tid", "grp", seed=21 + level) < share)  # at most MAX_LEAVES at first
+    got = few.select("leaf", "n", "ix").groupBy("leaf").applyInPandas(
+        split, "leaf int, axis array<int>, cut array<double>, left array<int>, right array<int>, numbers array<int>")
+    return [tuple(r) for r in got.orderBy("leaf").collect() if len(r["axis"]) > 1]  # trees only
+
+
 def _build_index(train: DataFrame, leaf_rows: int, residual: bool):
-    """``train`` has ix, grp, tid. One count, one bounded sample, one aggregate per leaf."""
+    """``train`` has ix, grp, tid. Cells are split on the driver from a bounded sample; cells that hold more than a unit are then split
+    by place on the executors, as often as it takes. Rows that no split can part (one place in many groups) share a leaf whose units are cut by hash.
+    """
     spark = train.sparkSession
     n = train.count()
     leaves = int(min(MAX_LEAVES, max(1, -(-n // leaf_rows))))
     want = leaves * SAMPLE_PER_LEAF
     take = train if n <= want else train.where(hash_uniform("tid", "grp", seed=11) < float(want) / n)
     sample = _matrix(take.select("ix").limit(2 * want).toPandas()["ix"]) if n else np.zeros((0, 1))
-    axis, cut, left, right, leaf, n_leaf = _split_tree(sample, leaves)
-    blank = np.zeros((n_leaf, 1))
-    draft = LeafIndex(axis, cut, left, right, leaf, blank, blank, np.zeros(0), blank, np.zeros(0), residual)
-    placed = _with_leaf(train, spark.sparkContext.broadcast(draft))
-    dims = sample.shape[1]
+    *tree, n_leaf = _split_tree(sample, leaves)
+    tree, dims, level = tuple(tree), sample.shape[1], 0
+    blank = np.zeros((1, 1))
+    draft = lambda: LeafIndex(*tree, blank, blank, np.zeros(0), blank, np.zeros(0), residual)
     aggs = [F.count(F.lit(1)).alias("n")]
     for j in range(dims):
         aggs += [F.min(F.col("ix")[j]).alias(f"lo{j}"), F.max(F.col("ix")[j]).alias(f"hi{j}")]
-    box = placed.groupBy("leaf", "grp").agg(*aggs).toPandas() if n else pd.DataFrame(columns=["leaf", "grp", "n"])
+    while True:
+        placed = _with_leaf(train, spark.sparkContext.broadcast(draft()))
+        boxes = cut_lineage(placed.groupBy("leaf", "grp").agg(*aggs), "boxes") if n else None
+        if not n:
+            break
+        span = F.greatest(*[F.max(f"hi{j}") - F.min(f"lo{j}") for j in range(dims)], F.lit(0.0))
+        big = boxes.groupBy("leaf").agg(F.sum("n").alias("n"), span.alias("span")).where((F.col("n") > UNIT_ROWS) & (F.col("span") > 0)).select("leaf", "n")
+        parts = _split_big(placed, big, leaf_rows, level) if big.limit(1).count() else []
+        if not parts:
+            break
+        tree, n_leaf = _grafted(tree, n_leaf, parts)
+        level += 1
+    box = boxes.toPandas() if n else pd.DataFrame(columns=["leaf", "grp", "n"])
     groups = np.unique(box["grp"].to_numpy("i8")) if len(box) else np.zeros(0, "i8")
     counts = np.zeros((n_leaf, max(1, len(groups))), dtype=np.int64)
     lo, hi = np.full((n_leaf, dims), np.inf), np.full((n_leaf, dims), -np.inf)
@@ -150,7 +213,7 @@ def _build_index(train: DataFrame, leaf_rows: int, residual: bool):
     empty = counts.sum(axis=1) == 0
     lo[empty] = hi[empty] = 1e300  # never inside any bound
     subs = np.maximum(1, -(-counts.sum(axis=1) // UNIT_ROWS))
-    index = LeafIndex(axis, cut, left, right, leaf, lo, hi, groups, counts, subs, residual)
+    index = LeafIndex(*tree, lo, hi, groups, counts, subs, residual)
     return index, spark.sparkContext.broadcast(index)
 
 
@@ -202,9 +265,10 @@ def _top(q: np.ndarray, qg: np.ndarray, t: np.ndarray, tg: np.ndarray, k: int, m
         dc = np.take_along_axis(d2, cand, axis=1)
         if wide:  # exact distances for the survivors only
             fin = np.isfinite(dc)
-            for r in range(len(a)):
-                diff = t[cand[r]] - a[r]
-                dc[r] = np.where(fin[r], (diff * diff).sum(axis=1), np.inf)
+            few = max(1, 2_000_000 // max(1, cand.shape[1] * q.shape[1]))
+            for u in range(0, len(a), few):
+                diff = t[cand[u : u + few]] - a[u : u + few, None]
+                dc[u : u + few] = np.where(fin[u : u + few], (diff * diff).sum(axis=2), np.inf)
         order = np.argsort(dc, axis=1, kind="stable")[:, :kk]
         idx_out.append(np.take_along_axis(cand, order, axis=1))
         d_out.append(np.sqrt(np.take_along_axis(dc, order, axis=1)))
@@ -234,33 +298,42 @@ def _lists(values, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), values if isinstance(values, pa.Array) else pa.array(values))
 
 
-def _onward(index: LeafIndex, ix: np.ndarray, group: np.ndarray, bound: np.ndarray, unit: int, k: int, mode) -> list:
-    """Units, other than ``unit``, that may hold a row inside each query's bound."""
-    more: list = [None] * len(ix)
+def _onward(index: LeafIndex, ix: np.ndarray, group: np.ndarray, bound: np.ndarray, unit: int, k: int, mode) -> tuple[np.ndarray, np.ndarray]:
+    """Units, other than ``unit``, that may hold a row inside each query's bound: all units by query, and their number per query.
+
+    Queries of a block meet the boxes near the whole block in matrices of at most ROUTED cells. ``bound`` is filled in place for queries
+    without one: the distance that is sure to hold k rows.
+    """
     starts = np.concatenate([[0], np.cumsum(index.subs)])
+    rows_out, units_out = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
     for g in np.unique(group):
         rows = np.flatnonzero(group == g)
         can = index.eligible(g, mode)
-        for r in rows[~np.isfinite(bound[rows])]:
-            far = index.reach(ix[r])
-            order = np.argsort(far)
-            hit = np.flatnonzero(np.cumsum(can[order]) >= k)
-            bound[r] = far[order[hit[0]]] if len(hit) else np.inf
-        # leaves near the whole block first, then per query among those only
-        reach = bound[rows] * (1 + 1e-12)
-        near = np.flatnonzero(
-            (can > 0) & (index.gap(ix[rows].min(axis=0), ix[rows].max(axis=0)) <= reach.max())
-        )
-        lo, hi = index.lo[near], index.hi[near]
-        for r, limit in zip(rows, reach):
-            d = np.maximum(0.0, np.maximum(lo - ix[r], ix[r] - hi))
-            hit = near[(d * d).sum(axis=1) <= limit * limit]
-            if index.subs[hit].max(initial=1) > 1:
-                units = np.concatenate([np.arange(starts[h], starts[h + 1]) for h in hit])
-            else:
-                units = starts[hit]
-            more[r] = units[units != unit]
-    return more
+        free = rows[~np.isfinite(bound[rows])]
+        for part in _slices(free, len(can)):
+            far = index.reach(ix[part])
+            order = np.argsort(far, axis=1)
+            enough = np.cumsum(can[order], axis=1) >= k
+            at = np.take_along_axis(order, enough.argmax(axis=1)[:, None], axis=1)[:, 0]
+            bound[part] = np.where(enough.any(axis=1), far[np.arange(len(part)), at], np.inf)
+        limit = bound[rows] * (1 + 1e-12)
+        near = np.flatnonzero((can > 0) & (index.gap(ix[rows].min(axis=0), ix[rows].max(axis=0)) <= limit.max()))
+        for at in _slices(np.arange(len(rows)), len(near)):
+            row, leaf = index.inside(ix[rows[at]], limit[at], near)
+            n = index.subs[leaf]
+            first = np.cumsum(n) - n
+            units_out.append(np.repeat(starts[leaf] - first, n) + np.arange(n.sum()))
+            rows_out.append(np.repeat(rows[at][row], n))
+    row, to = np.concatenate(rows_out), np.concatenate(units_out)
+    row, to = row[to != unit], to[to != unit]
+    return to[np.argsort(row, kind="stable")].astype("i8"), np.bincount(row, minlength=len(ix))
+
+
+def _slices(rows: np.ndarray, width: int):
+    """Parts of ``rows`` whose matrices with ``width`` columns stay below ROUTED cells."""
+    step = max(1, ROUTED // max(1, width))
+    for a in range(0, len(rows), step):
+        yield rows[a:a + step]
 
 
 def _visit_fn(bc, k: int, mode, max_dist: float, payload: list[str], route: bool, columns: list[str]):
@@ -275,11 +348,11 @@ def _visit_fn(bc, k: int, mode, max_dist: float, payload: list[str], route: bool
             pos, dist = np.zeros((len(q), 0), "i8"), np.zeros((len(q), 0))
         kth = dist[:, k - 1] if dist.shape[1] >= k else np.full(len(q), np.inf)
         bound = np.minimum(kth, max_dist)
+        more, steps = np.zeros(0, "i8"), np.zeros(len(q), "i8")
         if route:
-            more = _onward(bc.value, _cells(queries["ix"]), qg, bound,
-                           queries["unit"][0].as_py(), k, mode) if len(q) else []
+            if len(q):
+                more, steps = _onward(bc.value, _cells(queries["ix"]), qg, bound, queries["unit"][0].as_py(), k, mode)
         else:
-            more = [np.zeros(0, "i8")] * len(q)
             bound = np.minimum(bound, queries["cap"].to_numpy())
         keep = np.isfinite(dist) & (dist <= bound[:, None])
         sizes = keep.sum(axis=1)
@@ -288,7 +361,7 @@ def _visit_fn(bc, k: int, mode, max_dist: float, payload: list[str], route: bool
             "qid": queries["qid"], "grp": queries["grp"], "vec": queries["vec"],
             "dist": _lists(dist[keep], sizes),
             "tid": _lists(hits["tid"].combine_chunks(), sizes),
-            "more": _lists(np.concatenate([*more, np.zeros(0, "i8")]).astype("i8"), np.array([len(m) for m in more], "i8")),
+            "more": _lists(more, steps),
         }
         for name in payload:
             out[name] = _lists(hits[name].combine_chunks(), sizes)

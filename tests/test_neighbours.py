@@ -144,3 +144,46 @@ def test_uniformity_beyond_one_block(spark):
     want = np.log(np.exp(-2 * d2[np.triu_indices(700, 1)]).mean())
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
     assert abs(stats.uniformity(df, "v", "id", block_rows=64).first()[0] - want) < 1e-9
+
+
+@pytest.mark.parametrize("first, hot", [(1, 0), (4, 2500)])
+def test_large_leaves_are_split_by_place(spark, monkeypatch, first, hot):
+    """First-level cells far above a unit, with and without one place that holds half of the rows in many groups."""
+    monkeypatch.setattr(NB, "MAX_LEAVES", first)
+    monkeypatch.setattr(NB, "UNIT_ROWS", 64)
+    g = np.random.default_rng(first)
+    x = np.concatenate([g.normal(size=(2500, 3)) * 0.01, np.zeros((hot, 3)) + 0.5])
+    grp = np.concatenate([np.arange(2500) % 3, np.arange(hot)])
+    t = spark.createDataFrame([(i, v.tolist(), v.tolist(), int(a)) for i, (v, a) in enumerate(zip(x, grp))], "tid long, vec array<double>, ix array<double>, grp long")
+    index, _ = NB._build_index(t, 32, False)
+    size, wide = index.counts.sum(axis=1), (index.hi - index.lo).max(axis=1) > 0
+    assert size.sum() == len(x) and (size[wide] <= 64).all() and len(size) > 40
+    assert (index.subs[wide & (size > 0)] == 1).all() and index.subs.max() == max(1, -(-hot // 64))
+    assert (np.bincount(index.locate(x), minlength=len(size)) == size).all()
+    q = spark.createDataFrame([(i, x[i].tolist(), x[i].tolist(), 0) for i in range(0, 2500, 25)], "qid long, vec array<double>, ix array<double>, grp long")
+    got = {(r["qid"], r["rank"]): r["tid"] for r in NB.nearest(q, t, k=5, leaf_rows=32).collect()}
+    for i in range(0, 2500, 25):
+        d = ((x - x[i]) ** 2).sum(1)
+        assert [got[i, r] for r in range(1, 6)] == np.lexsort((np.arange(len(x)), d))[:5].tolist()
+
+
+def test_routing_of_a_block_equals_a_loop_over_its_queries():
+    g = np.random.default_rng(0)
+    lo = g.uniform(0, 1, (300, 3))
+    index = NB.LeafIndex(*[np.zeros(1)] * 5, lo, lo + g.uniform(0, 0.1, (300, 3)), np.arange(2), g.integers(0, 9, (300, 2)), g.integers(1, 4, 300), False)
+    x, group, bound = g.uniform(0, 1, (90, 3)), g.integers(0, 2, 90), g.uniform(0, 0.4, 90)
+    bound[::7] = np.inf
+    starts = np.concatenate([[0], np.cumsum(index.subs)])
+    filled = bound.copy()
+    units, n = NB._onward(index, x, group, filled, 5, 3, "other")
+    at = 0
+    for i in range(90):
+        can = index.counts[:, 1 - group[i]]
+        far = np.sqrt((np.maximum(abs(x[i] - index.lo), abs(index.hi - x[i])) ** 2).sum(1))
+        if np.isinf(bound[i]):
+            order = np.argsort(far)
+            bound[i] = far[order[np.flatnonzero(np.cumsum(can[order]) >= 3)[0]]]
+        gap = np.sqrt((np.maximum(0, np.maximum(index.lo - x[i], x[i] - index.hi)) ** 2).sum(1))
+        want = [u for leaf in np.flatnonzero((gap <= bound[i] * (1 + 1e-12)) & (can > 0)) for u in range(starts[leaf], starts[leaf + 1]) if u != 5]
+        assert units[at:at + n[i]].tolist() == want and filled[i] == pytest.approx(bound[i])
+        at += n[i]
