@@ -56,7 +56,14 @@ def half_precision(vec: str):
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def half(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else np.asarray(v, "f2").astype("f8"))
+        have = s.notna().to_numpy()
+        if not have.any():
+            return s
+        rows = s.to_numpy()[have]
+        flat = np.concatenate(rows).astype("f2").astype("f8")  # all values of the batch at once
+        out = np.full(len(s), None, object)
+        out[have] = pd.Series(np.split(flat, np.cumsum([len(r) for r in rows])[:-1])).to_numpy()
+        return pd.Series(out)
 
     return half(F.col(vec))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars", "sources", "relational", "statistics", "sampling", "modelling")
+MODULES = ("scalars", "sources", "relational", "statistics", "sampling", "modelling", "suite")
 
 
 def load():
