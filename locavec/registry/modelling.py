@@ -215,6 +215,19 @@ def mdl9(spark, sf):
     return out
 
 
+_LOO = ("ft AS (SELECT DISTINCT fold AS o FROM r), al AS (SELECT range::INT AS ai, pow(10.0,(range-8)/2.0) AS alpha FROM range(21)), tr AS (SELECT o, r.* FROM ft JOIN r ON fold<>o), "
+        "st AS (SELECT o, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x)*count(*) AS sxx, covar_pop(x,y)*count(*) AS sxy, var_pop(x) AS v FROM tr GROUP BY 1), "
+        "b AS (SELECT o, ai, alpha, n, mx, my, v, sxy/v/(sxx/v+alpha) AS b, sxx/v+alpha AS d FROM st, al), "
+        "s AS (SELECT o, ai, any_value(alpha) AS alpha, any_value(b) AS b, any_value(mx) AS mx, any_value(my) AS my, sum(pow((y-my-(x-mx)*b)/(1-1.0/n-(x-mx)*(x-mx)/v/d),2)) AS sse FROM tr JOIN b USING (o) GROUP BY 1,2), "
+        "c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY o ORDER BY sse, ai)=1)")
+
+
+@query("mdl10_leave_one_out_choice", W(VECS, _MOD, _LOO) + f"SELECT o::BIGINT AS fold, {r('any_value(alpha)')} AS alpha, {r('1-sum(pow(r.y-my-(x-c.mx)*b,2))/(var_pop(r.y)*count(*))')} AS r2 FROM c JOIN r ON r.fold=o GROUP BY 1")
+def mdl10_choice(spark, sf):
+    """Leave-one-out choice and held-out R^2 on one channel."""
+    return models.loo_ridge_r2(_channel(spark, sf), "v", "y").select("fold", R("alpha").alias("alpha"), R("r2").alias("r2"))
+
+
 @query("mdl10_leave_one_out_ridge")
 def mdl10(spark, sf):
     return models.loo_ridge_r2(blocked(spark, sf, 0.0), "v", "y").select("fold", "alpha", R("r2").alias("r2"))
