@@ -304,6 +304,8 @@ def _onward(index: LeafIndex, ix: np.ndarray, group: np.ndarray, bound: np.ndarr
     Queries of a block meet the boxes near the whole block in matrices of at most ROUTED cells. ``bound`` is filled in place for queries
     without one: the distance that is sure to hold k rows.
     """
+    if not index.counts.any():  # no training rows at all
+        return np.zeros(0, "i8"), np.zeros(len(ix), "i8")
     starts = np.concatenate([[0], np.cumsum(index.subs)])
     rows_out, units_out = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
     for g in np.unique(group):

@@ -312,16 +312,58 @@ def _buffered(df: DataFrame, features: str, targets: Sequence[str], n: int, *, b
 
 def _kept_neighbours(d: DataFrame, lv: DataFrame, rs: Sequence[float], targets: Sequence[str], k: int, folds: int) -> tuple[DataFrame, DataFrame]:
     """Nearest retained training rows of every held-out row under every radius and mode, and those rows."""
-    code = lambda j: (F.when(F.col("mode") == "buffer", 0).otherwise(1) * folds + F.col("target")) * len(rs) + j
-    kept = lv.where("level > 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("level") - 1)))
-    train = d.select("id", "lat", "lon", *targets).join(kept.select("id", code(F.col("j")).alias("outer")), "id")
-    held = d.withColumn("mode", F.explode(F.array(F.lit("buffer"), F.lit("random_drop")))).withColumnRenamed("fold", "target").withColumn(
-        "j", F.explode(F.sequence(F.lit(0), F.lit(len(rs) - 1)))).select("id", "lat", "lon", *targets, code(F.col("j")).alias("outer"))
-    held = held.withColumn("key", F.struct("id", "outer"))
-    hits = NB.nearest(NB._sphere(held, "key", "qid", "lat", "lon", F.col("outer")),
-                      NB._sphere(train, "id", "tid", "lat", "lon", F.col("outer"), tuple(targets)),
-                      k=k, mode="same", payload=tuple(targets)).withColumn("km", geo.chord_to_km("dist"))
-    return cut_lineage(hits, "kept"), held
+    held = d.withColumn("m", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(len(rs) - 1)))).select(
+        "id", "lat", "lon", *targets, _code("m", "fold", "j", rs, folds).alias("outer"))
+    return neighbour_ladder(d, lv, rs, targets, k, folds)[0], held
+
+
+def _code(mode: str, target: str, j: str, rs: Sequence[float], folds: int):
+    return ((F.col(mode) * folds + F.col(target)) * len(rs) + F.col(j)).cast("int")
+
+
+def neighbour_ladder(d: DataFrame, lv: DataFrame, rs: Sequence[float], payload: Sequence[str], k: int, folds: int) -> tuple[DataFrame, list[int]]:
+    """(hits, searched queries of every round): the ``k`` nearest retained rows of every held-out row, radius and mode.
+
+    Retained rows only become fewer as the radius grows. So each query keeps a list of its nearest rows, a few more than k, with
+    their retention levels: the list serves every radius at which k of its members are left, and only a query whose list has run short is
+    searched again, among the rows retained at that radius. The first search serves both modes.
+    """
+    long, n_radii = 2 * k + 8, len(rs)
+    rows = d.select("id", "lat", "lon", F.col("fold").alias("target"), *payload)
+    levels = lv.select(F.col("id").alias("tid"), "target", F.when(F.col("mode") == "buffer", 0).otherwise(1).alias("m"), "level")
+    top = levels.groupBy("target", "m").agg(F.max("level").alias("top"))  # no row is left from this radius on; folds x modes rows
+    member = F.struct("dist", "tid", "level", *payload)
+
+    def lists(hits: DataFrame) -> DataFrame:
+        """Hits (id, target, m, start, tid, dist) as one sorted list a query, and the first radius at which it is short."""
+        got = hits.join(levels, ["tid", "target", "m"]).groupBy("id", "target", "m", "start").agg(F.sort_array(F.collect_list(member)).alias("list"))
+        kth = F.element_at(F.sort_array(F.transform("list", lambda x: x["level"]), False), k)
+        return cut_lineage(got.withColumn("short", F.when(F.size("list") < long, n_radii).otherwise(kth)), "lists")
+
+    first = NB.nearest(NB._sphere(rows.withColumn("qid", F.struct("id", "target")), "qid", "qid", "lat", "lon", F.col("target")),
+                       NB._sphere(rows, "id", "tid", "lat", "lon", F.col("target"), tuple(payload)), k=long, mode="other", payload=tuple(payload))
+    both = first.select("qid.id", "qid.target", "tid", "dist", *payload, F.explode(F.array(F.lit(0), F.lit(1))).alias("m"), F.lit(0).alias("start"))
+    parts, searched = [lists(both)], [d.count()]
+    while True:
+        ask = parts[-1].where(F.col("short") < n_radii).join(F.broadcast(top), ["target", "m"]).where(F.col("short") < F.col("top")).select(
+            "id", "target", "m", F.col("short").alias("start"))
+        count = ask.count()
+        if not count:
+            break
+        searched.append(count)
+        groups = ask.select("target", "m", "start").distinct()  # at most folds x modes x radii
+        left = levels.join(F.broadcast(groups), ["target", "m"]).where(F.col("level") > F.col("start")).select(
+            F.col("tid").alias("id"), _code("m", "target", "start", rs, folds).alias("outer"))
+        train = rows.drop("target").join(left, "id")
+        q = ask.join(rows.select("id", "lat", "lon"), "id").withColumn("qid", F.struct("id", "target", "m", "start"))
+        again = NB.nearest(NB._sphere(q, "qid", "qid", "lat", "lon", _code("m", "target", "start", rs, folds)),
+                           NB._sphere(train, "id", "tid", "lat", "lon", F.col("outer"), tuple(payload)), k=long, mode="same", payload=tuple(payload))
+        parts.append(lists(again.select("qid.*", "tid", "dist", *payload)))
+    served = union(parts).where(F.col("short") > F.col("start")).withColumn("j", F.explode(F.sequence(F.col("start"), F.col("short") - 1)))
+    near = F.slice(F.filter("list", lambda x: x["level"] > F.col("j")), 1, k)
+    hits = served.select(F.struct("id", _code("m", "target", "j", rs, folds).alias("outer")).alias("qid"), F.posexplode(near).alias("at", "x")).select(
+        "qid", "x.tid", (F.col("at") + 1).alias("rank"), geo.chord_to_km("x.dist").alias("km"), *[F.col(f"x.{c}").alias(c) for c in payload])
+    return cut_lineage(hits, "kept"), searched
 
 
 def _interpolated(hits: DataFrame, held: DataFrame, targets: Sequence[str], k: int, task_type: str) -> DataFrame:

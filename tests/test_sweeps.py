@@ -81,3 +81,26 @@ def test_cached_vectors_keep_rows_without_coordinates(spark, points):
     for _ in range(2):
         got = encoders.embed_cached(d, path, "t", "1", encode).collect()
         assert len(got) == 240 and sum(r["vec"] is None for r in got) == 24
+
+
+@pytest.mark.parametrize("k, radii", [(3, (0.0, 100.0, 400.0, 900.0)), (1, (100.0, 20000.0))])
+def test_neighbour_ladder_equals_a_search_per_radius(points, k, radii):
+    d = sweeps.with_folds(points, 0.0).select("id", "lat", "lon", "fold", "y")
+    lv = sweeps.retention_levels(d, radii)
+    hits, searched = sweeps.neighbour_ladder(d, lv, radii, ["y"], k, 5)
+    p = d.orderBy("id").toPandas()
+    level = {(r["mode"], r["target"], r["id"]): r["level"] for r in lv.collect()}
+    la, lo = np.radians(p.lat.to_numpy()), np.radians(p.lon.to_numpy())
+    xyz = np.column_stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)])
+    dist = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2))
+    want = set()
+    for m, mode in enumerate(("buffer", "random_drop")):
+        for i in range(len(p)):
+            f = int(p.fold[i])
+            for j in range(len(radii)):
+                left = [t for t in range(len(p)) if level.get((mode, f, t), -1) > j]
+                want |= {(i, (m * 5 + f) * len(radii) + j, r + 1, t) for r, t in enumerate(sorted(left, key=lambda t: (dist[i, t], t))[:k])}
+    got = hits.collect()
+    assert {(r["qid"]["id"], r["qid"]["outer"], r["rank"], r["tid"]) for r in got} == want and len(got) == len(want)
+    assert all(r["y"] == p.y[r["tid"]] for r in got)
+    assert searched[0] == len(p) and sum(searched) < 2 * len(p)
