@@ -60,9 +60,9 @@ def median_train_km(df: DataFrame, id_col: str = "id", max_rows: int | None = No
 
 def evaluate_tasks(df: DataFrame, features: str, tasks: Sequence[str], *, task_type: str = "regression", probe: str = "ridge",
                    spatial: bool = False, test_flag: str | None = None, id_col: str = "id", seed: int = 0, folds: int = 5,
-                   cell_deg: float = 10.0, alphas=models.RIDGE_ALPHAS) -> DataFrame:
+                   cell_deg: float = 10.0, alphas=models.RIDGE_ALPHAS, select: str = "inner") -> DataFrame:
     """(task, score) and the MEAN row. Logistic and neighbour probes apply to random classification
-    folds only; every other case falls back to ridge. An official test flag overrides folds. Spatial folds are drawn
+    folds only (``select`` says how the logistic one chooses its penalty); every other case falls back to ridge. An official test flag overrides folds. Spatial folds are drawn
     once over all rows, so that every task has the same ones; a task then uses its valid rows."""
     plain_class = task_type == "classification" and probe in ("logistic", "knn") and test_flag is None and not spatial
     parts = []
@@ -76,8 +76,11 @@ def evaluate_tasks(df: DataFrame, features: str, tasks: Sequence[str], *, task_t
             coded, n = models.class_codes(valid, task, "__cls")
         if plain_class:
             d = FO.stratified_folds(coded, id_col, "__cls", folds=folds, seed=seed)
-            s = models.knn_scores(d, features, id_col, "__cls") if probe == "knn" else models.logistic_scores(
-                d, features, "__cls", cs=models.LOGISTIC_CS).groupBy("fold").agg(F.max("accuracy").alias("accuracy"))
+            if probe == "knn":
+                s = models.knn_scores(d, features, id_col, "__cls")
+            else:
+                d = FO.random_folds(d, id_col, folds=folds, seed=seed, stream=7, group=["fold", "__cls"], out="bucket")
+                s = models.logistic_path(d, features, "__cls", n, buckets=folds, select=select)
             parts.append(s.agg(F.avg("accuracy").alias("score")).select(F.lit(task).alias("task"), "score"))
             continue
         if test_flag is not None:  # outer fold 1 is the official test set; only that fit counts

@@ -188,12 +188,25 @@ def mdl7(spark, sf):
     return models.logistic_scores(cut_lineage(d, "folds"), "v", "cls").select("fold", "c", R("accuracy").alias("accuracy"))
 
 
+def _stratified(spark, sf):
+    """Vectors with class-stratified folds, and inner folds stratified by class inside each."""
+    d = folds.stratified_folds(X.vectors(spark, sf), "id", "cls", seed=0)
+    d = folds.random_folds(d, "id", seed=0, stream=7, group=["fold", "cls"], out="bucket")
+    return models.class_codes(cut_lineage(d, "folds"), "cls")
+
+
+@query("mdl7_logistic_inner_choice")
+def mdl7_inner(spark, sf):
+    """Penalty of every fold by inner cross-validation, and the held-out accuracy at it."""
+    d, n = _stratified(spark, sf)
+    return models.logistic_path(d, "v", "cls_code", n).select("fold", R("c").alias("c"), R("accuracy").alias("accuracy"))
+
+
 @query("mdl7_logistic_c_sweep")
 def mdl7b(spark, sf):
     """Best accuracy over the penalty grid, chosen on the held-out fold as the original does."""
-    d = folds.stratified_folds(X.vectors(spark, sf), "id", "cls", seed=0)
-    s = models.logistic_scores(cut_lineage(d, "folds"), "v", "cls", cs=models.LOGISTIC_CS, max_iter=500)
-    return s.groupBy("fold").agg(R(F.max("accuracy")).alias("accuracy"))
+    d, n = _stratified(spark, sf)
+    return models.logistic_path(d, "v", "cls_code", n, select="test").select("fold", R("accuracy").alias("accuracy"))
 
 
 @query("mdl8_knn_probe")

@@ -41,7 +41,8 @@ def arguments(monkeypatch, spark, sf, name, module, operator):
     ("mdl15_buffered_exclusion", sweeps, "buffered_sweep", {"alphas": models.RIDGE_ALPHAS, "radii": sweeps.RADII_KM}),
     ("mdl16_distance_error", sweeps, "distance_error_sweep", {"alphas": models.RIDGE_ALPHAS, "cells": sweeps.DISTANCE_CELLS}),
     ("mdl17_variogram_sweep", sweeps, "variogram", {"lags": sweeps.LAGS_KM, "pairs_per_lag": None, "widths": X.WIDTHS}),
-    ("mdl7_logistic_c_sweep", models, "logistic_scores", {"cs": models.LOGISTIC_CS, "max_iter": 500}),
+    ("mdl7_logistic_c_sweep", models, "logistic_path", {"cs": models.LOGISTIC_CS, "max_iter": 500, "select": "test"}),
+    ("mdl7_logistic_inner_choice", models, "logistic_path", {"cs": models.LOGISTIC_CS, "max_iter": 500, "select": "inner", "buckets": 5}),
 ])
 def test_whole_grid(monkeypatch, spark, sf, name, module, operator, want):
     got = arguments(monkeypatch, spark, sf, name, module, operator)
@@ -49,5 +50,5 @@ def test_whole_grid(monkeypatch, spark, sf, name, module, operator, want):
     assert tuple(got.get("alphas", models.RIDGE_ALPHAS)) == models.RIDGE_ALPHAS
     if operator == "variogram":
         assert got["polygons"] is not None
-    if operator == "logistic_scores":
+    if operator == "logistic_path":
         assert got["df"].select("fold").distinct().count() == 5
