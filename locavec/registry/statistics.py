@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
-from ..functions import encoders
+from ..functions import encoders, geo
 from ..functions import vectors as V
 from ..operators import metrics, models, stats
 from ..operators import neighbours as NB
+from ..operators.primitives import value_rank
 from ..session import shared_dir
 from .core import ANN, PTS, R, UNIT, VECS, W, XYZ, query, r
 from .relational import _KM, errors, folded
@@ -127,8 +128,11 @@ def agg14(spark, sf):
     return metrics.fold_median_km(NB.nearest_train_km(folded(spark, sf))).select(R("median_nn_km", 4).alias("median_nn_km"), "n_folds")
 
 
-_CURVE = ("c AS (SELECT width, exp(i*0.3) AS lag_km, (width/64.0::DOUBLE)*(1-exp(-exp(i*0.3)/(w*100.0::DOUBLE)))*cnt AS gamma FROM (SELECT cnt::DOUBLE/10000 AS cnt FROM (SELECT count(*) AS cnt FROM lineitem)), "
-          "(VALUES (8,1),(64,9)) t(width,w), range(0,40) r(i))")
+#: Every row is paired with the rows this many places on (by id, round the end), and pairs are binned by distance.
+_SHIFTS = (1, 2, 3, 5, 8, 13, 21, 34)
+_CURVE = ("e AS (SELECT *, cos(radians(lat))*cos(radians(lon)) AS a, cos(radians(lat))*sin(radians(lon)) AS b, sin(radians(lat)) AS z, row_number() OVER (ORDER BY id)-1 AS k, count(*) OVER () AS n FROM vecs), "
+          f"pr AS (SELECT p.v AS u, q.v AS w, 2*6371.0*asin(least(1.0,sqrt((p.a-q.a)*(p.a-q.a)+(p.b-q.b)*(p.b-q.b)+(p.z-q.z)*(p.z-q.z))/2)) AS km FROM e p, (SELECT unnest({list(_SHIFTS)}) AS s) JOIN e q ON q.k=(p.k+s)%p.n), "
+          "c AS (SELECT width, exp((floor(ln(km)/0.4)+0.5)*0.4) AS lag_km, 0.5*avg(list_sum(list_transform(range(1,width+1), lambda i: (u[i]-w[i])*(u[i]-w[i])))) AS gamma FROM pr, (VALUES (8),(64)) t(width) WHERE km>1 GROUP BY 1,2)")
 
 
 @query("agg15_variogram")
@@ -151,15 +155,19 @@ _SILL = "q AS (SELECT width, quantile_cont(gamma,0.5) AS sill FROM s WHERE k>gre
 _HIT = "h AS (SELECT s.width, min(k) AS i, any_value(sill) AS sill FROM s JOIN q USING (width) WHERE gamma>=0.5*sill GROUP BY 1)"
 
 
-@query("agg16_half_sill", W(_CURVE, _S, _SILL, _HIT) + f"SELECT h.width, {r('sill')} AS sill, " + r(
+@query("agg16_half_sill", W(VECS, _CURVE, _S, _SILL, _HIT) + f"SELECT h.width, {r('sill')} AS sill, " + r(
     "CASE WHEN i=1 THEN b.lag_km ELSE exp(ln(a.lag_km)+(0.5*sill-a.gamma)/(b.gamma-a.gamma)*(ln(b.lag_km)-ln(a.lag_km))) END", 4) +
     " AS half_sill_km FROM h JOIN s b ON b.width=h.width AND b.k=i LEFT JOIN s a ON a.width=h.width AND a.k=i-1")
 def agg16(spark, sf):
-    n = X.table(spark, sf, "lineitem").agg((F.count(F.lit(1)) / 10000).alias("cnt"))
-    i = n.select("cnt", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("i")).select("cnt", "i", F.explode(F.array(
-        F.struct(F.lit(8).alias("width"), F.lit(1).alias("w")), F.struct(F.lit(64).alias("width"), F.lit(9).alias("w")))).alias("t")).select("cnt", "i", "t.*")
-    c = i.select("width", F.exp(F.col("i") * 0.3).alias("lag_km"), ((F.col("width") / 64.0) * (1 - F.exp(-F.exp(F.col("i") * 0.3) / (F.col("w") * 100.0))) * F.col("cnt")).alias("gamma"))
-    return metrics.half_sill(c).select("width", R("sill").alias("sill"), R("half_sill_km", 4).alias("half_sill_km"))
+    """Half-sill of the semivariance over pairs of table rows, by their distance."""
+    e = value_rank(X.vectors(spark, sf).select("id", "lat", "lon", "v"), "id", "id", out="k")
+    n = e.count()
+    p = e.withColumn("to", F.explode(F.array(*[F.lit(s) for s in _SHIFTS]))).withColumn("to", (F.col("k") + F.col("to")) % n)
+    q = e.select(F.col("k").alias("to"), F.col("v").alias("vb"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    pairs = p.join(q, "to").withColumn("km", geo.chord_to_km(V.norm(F.zip_with(geo.unit_xyz("lat", "lon"), geo.unit_xyz("lat2", "lon2"), lambda a, b: a - b)))).where("km > 1")
+    lag = F.exp((F.floor(F.log("km") / 0.4) + 0.5) * 0.4)
+    curve = metrics.semivariance(pairs.select(lag.alias("lag_km"), F.col("v").alias("va"), "vb"), (8, 64))
+    return metrics.half_sill(curve).select("width", R("sill").alias("sill"), R("half_sill_km", 4).alias("half_sill_km"))
 
 
 _NN = ("n AS (SELECT a.id AS qid, b.y, b.cls, km, rank FROM (SELECT a.id AS qid, b.id AS tid, " + _KM + " AS km, row_number() OVER (PARTITION BY a.id ORDER BY "
