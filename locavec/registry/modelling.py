@@ -258,7 +258,7 @@ def mdl11_classes(spark, sf):
     """The class task under the three probes (random folds) and under ridge with spatial folds and with an official split."""
     d = X.vectors(spark, sf).withColumn("official", F.col("id") % 4 == 0)
     run = lambda name, **kw: sweeps.evaluate_tasks(d, "v", ["cls"], task_type="classification", **kw).where("task <> 'MEAN'").select(F.lit(name).alias("probe"), R("score").alias("score"))
-    return sweeps.union([run("ridge"), run("knn", probe="knn"), run("logistic", probe="logistic"), run("ridge_spatial", spatial=True), run("ridge_official", test_flag="official")])
+    return sweeps.union([run("ridge"), run("knn", probe="knn"), run("logistic", probe="logistic", select="test"), run("ridge_spatial", spatial=True), run("ridge_official", test_flag="official")])
 
 
 @query("mdl12_block_size_sweep")

@@ -46,6 +46,30 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+class scratch:
+    """``with scratch(spark):`` removes, at its end, what ``shared_dir`` and ``cut_lineage`` wrote inside it.
+
+    Take results out (write, collect) before the end. Nested blocks remove their own paths. Without a block nothing is removed.
+    """
+
+    _open: list[list[str]] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> list[str]:
+        self.paths: list[str] = []
+        scratch._open.append(self.paths)
+        return self.paths
+
+    def __exit__(self, *exc) -> None:
+        scratch._open.remove(self.paths)
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that every executor can reach.
 
@@ -57,7 +81,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if scratch._open:
+        scratch._open[-1].append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
