@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import arrow_map
+from .common import arrow_map, fresh
 
 #: Bits per dimension.
 BITS = 8
@@ -83,7 +83,8 @@ def assign(df: DataFrame, dims: Sequence[Column], shards: int, tie: Sequence[str
     these names are replaced.
     """
     keep = [c for c in df.columns if c not in ("curve", "shard", "slot")]
-    cells = df.select(*keep, F.struct(*[c.alias(f"c{i}") for i, c in enumerate(quantised(df, dims, bits))]).alias("__cells"))
+    at, spot, held, front, rank = (fresh(df, c) for c in ("__at", "__cells", "__part", "__before", "__rank"))
+    cells = df.select(*keep, F.struct(*[c.alias(f"c{i}") for i, c in enumerate(quantised(df, dims, bits))]).alias(spot))
 
     width = len(dims)
 
@@ -95,19 +96,19 @@ def assign(df: DataFrame, dims: Sequence[Column], shards: int, tie: Sequence[str
     order = ["curve", *tie]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = arrow_map(cells, run, f"{ddl}, curve long").repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    placed = cut_lineage(placed.withColumn("__at", F.monotonically_increasing_id()), "curve")
-    part, local = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut_lineage(placed.withColumn(at, F.monotonically_increasing_id()), "curve")
+    part, local = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
     sizes = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # one row per part
     total = sum(n for _, n in sizes)
     before, starts = 0, []
     for p, n in sizes:
         starts.append((p, before))
         before += n
-    offsets = df.sparkSession.createDataFrame(starts or [(0, 0)], "p long, before long")
-    ranked = placed.join(F.broadcast(offsets), part == F.col("p")).withColumn("__r", F.col("before") + local)
+    offsets = df.sparkSession.createDataFrame(starts or [(0, 0)], f"`{held}` long, `{front}` long")
+    ranked = placed.join(F.broadcast(offsets), part == F.col(held)).withColumn(rank, F.col(front) + local)
     least, more = divmod(total, shards)  # the first ``more`` shards hold one row more
     edge = more * (least + 1)
-    r = F.col("__r")
+    r = F.col(rank)
     small = F.lit(more) + F.floor((r - edge) / F.lit(max(least, 1)))
     shard = F.when(r < edge, F.floor(r / F.lit(least + 1))).otherwise(small).cast("int")
     slot = F.when(r < edge, r % F.lit(least + 1)).otherwise((r - edge) % F.lit(max(least, 1)))
