@@ -182,6 +182,13 @@ def mdl6(spark, sf):
     return p.select("id", "fold", R("truth").alias("truth"), R("pred").alias("pred"))
 
 
+@query("mdl6_channel_predictions", W(VECS, _MOD, _FITS) + f"SELECT te.id, te.fold::INT AS fold, {r('te.y')} AS truth, {r('my+(x-mx)*sxy/(sd*sd)/(sxx/(sd*sd)+1)')} AS pred FROM te JOIN st USING (o,i) WHERE i=-1")
+def mdl6_channel(spark, sf):
+    """Out-of-fold predictions on one channel at one penalty."""
+    p = models.fold_predictions(_channel(spark, sf), "v", "id", target="y", alphas=(1.0,))
+    return p.select("id", F.col("fold").cast("int").alias("fold"), R("truth").alias("truth"), R("pred").alias("pred"))
+
+
 @query("mdl7_logistic")
 def mdl7(spark, sf):
     d = folds.stratified_folds(X.vectors(spark, sf), "id", "cls", seed=0)
@@ -215,6 +222,18 @@ def mdl8(spark, sf):
     return models.knn_scores(cut_lineage(d, "folds"), "v", "id", "cls").select("fold", R("accuracy").alias("accuracy"), "n")
 
 
+_VOTES = ("w AS (SELECT id, (row_number() OVER (ORDER BY id)-1)%5 AS fold, v[1] AS a, v[2] AS b, cls AS c FROM vecs), "
+          "s AS (SELECT f.fold AS o, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb FROM w JOIN (SELECT DISTINCT fold FROM w) f ON w.fold<>f.fold GROUP BY 1), "
+          "n AS (SELECT q.id, q.fold, q.c AS truth, t.c, row_number() OVER (PARTITION BY q.id ORDER BY pow((q.a-t.a)/sa,2)+pow((q.b-t.b)/sb,2), t.id) AS k FROM w q JOIN s ON q.fold=o JOIN w t ON t.fold<>q.fold), "
+          "v AS (SELECT id, fold, truth, c, count(*) AS v FROM n WHERE k<=10 GROUP BY 1,2,3,4), p AS (SELECT id, fold, truth, arg_max(c,(v,-c)) AS p FROM v GROUP BY 1,2,3)")
+
+
+@query("mdl8_knn_two_channels", W(VECS, _VOTES) + f"SELECT fold::BIGINT AS fold, {r('avg(CASE WHEN p=truth THEN 1.0::DOUBLE ELSE 0 END)')} AS accuracy, count(*)::BIGINT AS n FROM p GROUP BY 1")
+def mdl8_channels(spark, sf):
+    """The ten-neighbour vote on two standardized channels."""
+    return models.knn_scores(_channel(spark, sf, n=2), "v", "id", "cls").select("fold", R("accuracy").alias("accuracy"), "n")
+
+
 @query("mdl9_principal_scores")
 def mdl9(spark, sf):
     """Three scores of the full vector, a prefix on its own basis, and a band on the shared one."""

@@ -62,7 +62,13 @@ def agg5(spark, sf):
     return a.join(metrics.accuracy_by(c, ["k"]).select("k", R("score").alias("accuracy")), "k")
 
 
-@query("agg7_participation_ratio")
+_PARTS = [*((f"prefix_{w}", 0, w) for w in X.WIDTHS), *((f"band_{a}_{b}", a, b) for a, b in ((0, 8), (8, 16), (16, 32), (32, 64)))]
+
+
+@query("agg7_participation_ratio", W(VECS, _LONG, "m AS (SELECT j, avg(x) AS m, stddev_pop(x)+1e-8 AS s FROM l GROUP BY 1), "
+       "z AS (SELECT id, j, (x-m)/s AS z FROM l JOIN m USING (j)), c AS (SELECT a.j AS i, b.j AS j, avg(a.z*b.z) AS c FROM z a JOIN z b USING (id) GROUP BY 1,2)") +
+       f"SELECT part, {r('pow(sum(c) FILTER (i=j),2)/(sum(c*c)+1e-12)')} AS ratio FROM c, (VALUES " + ", ".join(f"('{n}',{a},{b})" for n, a, b in _PARTS) +
+       ") t(part,lo,hi) WHERE i>lo AND i<=hi AND j>lo AND j<=hi GROUP BY 1")
 def agg7(spark, sf):
     rows = stats.spectrum_report(X.vectors(spark, sf), "v", X.WIDTHS, [(0, 8), (8, 16), (16, 32), (32, 64)])
     return spark.createDataFrame([(n, round(v, 6)) for n, v in rows], "part string, ratio double")
