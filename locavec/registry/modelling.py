@@ -318,6 +318,21 @@ def _interpolation(spark, sf, cells):
     return out.select("cell_deg", "k", R("score", 4).alias("score"))
 
 
+_KEPT = ("xy AS (SELECT *, cos(radians(lat))*cos(radians(lon)) AS a, cos(radians(lat))*sin(radians(lon)) AS b, sin(radians(lat)) AS z FROM r), "
+         "nn AS (SELECT p.id, q.fold AS target, min(2*6371.0*asin(least(1.0,sqrt((p.a-q.a)*(p.a-q.a)+(p.b-q.b)*(p.b-q.b)+(p.z-q.z)*(p.z-q.z))/2))) AS km FROM xy p JOIN xy q ON p.fold<>q.fold GROUP BY 1,2)")
+
+
+@query("mdl15_retained_rows", W(VECS, _MOD, _KEPT) + "SELECT mode, target::INT AS target, radius::DOUBLE AS radius_km, count(*) FILTER (NOT km<radius)::BIGINT AS n_kept FROM nn, (VALUES "
+       + ", ".join(f"({x})" for x in sweeps.RADII_KM) + ") t(radius), (VALUES ('buffer'),('random_drop')) m(mode) GROUP BY 1,2,3")
+def mdl15_kept(spark, sf):
+    """Training rows left of every held-out fold at every radius, under the buffer and its random control."""
+    d = cut_lineage(sweeps.with_folds(X.vectors(spark, sf).select("id", "lat", "lon"), 0.0), "folds")
+    lv = sweeps.retention_levels(d, sweeps.RADII_KM)
+    at = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(x).alias("radius_km")) for j, x in enumerate(sweeps.RADII_KM)])).alias("r")
+    return lv.select("mode", F.col("target").cast("int").alias("target"), "level", at).groupBy("mode", "target", F.col("r.radius_km").alias("radius_km")).agg(
+        F.count_if(F.col("level") > F.col("r.j")).alias("n_kept"))
+
+
 @query("mdl15_buffered_exclusion")
 def mdl15(spark, sf):
     pr = [models.Profile(f"ridge_w{w}", w) for w in X.WIDTHS]
