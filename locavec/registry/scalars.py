@@ -165,7 +165,13 @@ def prj18(spark, sf):
         "id", R("c.r", 5).alias("r"), R("c.g", 5).alias("g"), R("c.b", 5).alias("b"))
 
 
-@query("prj18_ramp_color")
+_RAMP = ", ".join(f"({k},{a},{b},{c})" for k, (a, b, c) in enumerate(color.MAGMA))
+_SHADE = lambda c: f"floor(a.{c}+(b.{c}-a.{c})*(x-j)+0.5)::INT AS {c}"
+
+
+@query("prj18_ramp_color", W(CELLROWS, f"ramp(k,r,g,b) AS (VALUES {_RAMP})", "top AS (SELECT max(n) FILTER (o=floor(0.98*(c-1))) AS top FROM (SELECT n, row_number() OVER (ORDER BY n, row*360+col)-1 AS o, count(*) OVER () AS c FROM cells)), "
+       f"i AS (SELECT row, col, floor(least(1.0,sqrt(n/top::DOUBLE))*255)/255.0::DOUBLE*{len(color.MAGMA) - 1} AS x FROM cells, top), j AS (SELECT *, least(floor(x),{len(color.MAGMA) - 2})::INT AS j FROM i)") +
+       f"SELECT row, col, {_SHADE('r')}, {_SHADE('g')}, {_SHADE('b')} FROM j JOIN ramp a ON a.k=j JOIN ramp b ON b.k=j+1")
 def prj18_ramp(spark, sf):
     """Density colouring: root of the count over its 98th percentile, on the dark ramp."""
     c = X.cell_rows(spark, sf).withColumn("key", F.col("row") * 360 + F.col("col"))
@@ -224,7 +230,12 @@ def geo6(spark, sf):
     return X.points(spark, sf).select("id", a.alias("cell_lat"), b.alias("cell_lon"))
 
 
-@query("geo7_hilbert_key")
+_CURVE = ("h AS (SELECT id, floor((lon+180.0)/360.0*65535)::BIGINT AS x, floor((lat+90.0)/180.0*65535)::BIGINT AS y, 0::BIGINT AS d, 32768::BIGINT AS s FROM pts UNION ALL "
+          "SELECT id, CASE WHEN top THEN mx ELSE my END, CASE WHEN top THEN my ELSE mx END, d+s*s*q, s//2 FROM (SELECT id, d, s, top, q, CASE WHEN q=3 THEN s-1-lx ELSE lx END AS mx, CASE WHEN q=3 THEN s-1-ly ELSE ly END AS my FROM "
+          "(SELECT id, d, s, (y&s)>0 AS top, x&(s-1) AS lx, y&(s-1) AS ly, CASE WHEN (x&s)>0 AND (y&s)=0 THEN 3 WHEN (x&s)>0 THEN 2 WHEN (y&s)>0 THEN 1 ELSE 0 END AS q FROM h WHERE s>0)))")
+
+
+@query("geo7_hilbert_key", "WITH RECURSIVE " + PTS + ", " + _CURVE + " SELECT id, d AS hilbert FROM h WHERE s=0")
 def geo7(spark, sf):
     return X.points(spark, sf).select("id", geo.hilbert_key("lat", "lon").alias("hilbert"))
 
