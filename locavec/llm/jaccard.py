@@ -2,16 +2,18 @@
 
 Two sets are linked when 100 * |A and B| >= percent * |A or B|; the result is exact.
 
-1. Equal sets are one set from here on (a copy is linked with its representative).
-2. *Leaders.* Sets that share a min-hash are compared with the least of them; pairs that are linked make the first groups,
-   and keep their overlap with the leader.
-3. *Index.* Each set's n-grams are put in one order (frequency estimate, then hash, rare first), and only a prefix
+1. Equal sets are one set from here on; copies take the group of their representative at the very end.
+2. *Index.* Each set's n-grams are put in one order (frequency estimate, then hash, rare first), and only a prefix
    is indexed, since linked sets share an n-gram there. The lists are cut into blocks of set sizes. An entry at
    position i of a set of n can be the first common n-gram only with partners of at most
    (n - i) * (100 + percent) / percent - n elements, so that its probe visits just the blocks up to this size, and none from about
-   the middle of the prefix on. Entries of one first group do not meet.
-4. *Answers.* Of the pairs found, those of the leaders are counted first. The overlap of a member with a partner then lies
-   between o(leader, partner) - |leader - member| and o(leader, partner) + |member - leader|; only pairs that these
+   the middle of the prefix on. Lists of a single set are dropped.
+3. *Leaders.* In rounds, each block of a list names a leader (the least by a hash of the round), and each set is compared with the leader
+   that it meets in most lists. Linked sets become one class and keep their overlap with the leader; members of a class do not meet
+   again, and lists of a single class are dropped. A round forms at most one pair a set, so a large group of near copies closes in
+   linear work. Rounds go on while they link at least one in fifty of the sets still listed; what they miss is found in the next step.
+4. *Answers.* The index gives all pairs of sets of different classes. Those of the leaders are counted first. The overlap of a member with
+   a partner then lies between o(leader, partner) - |leader - member| and o(leader, partner) + |member - leader|; only pairs that these
    bounds leave open are counted themselves.
 
 The order needs no exact frequencies: any order gives the same links, a good one short lists. The estimate is a hashed count
@@ -20,6 +22,7 @@ over all documents. Sets are rebuilt from the texts of the documents in some pai
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 
@@ -28,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch, shared_dir
 from .common import SPACED, arrow_map, components, mix, ngram_hashes, word_chunks
 
 #: Words in an n-gram, and counters of the frequency estimate.
 WORDS, SKETCH_BITS = 4, 24
-#: Min-hashes for the leaders.
-SEEDS = 4
+#: A round of leaders is followed by another if it links at least one in so many of the listed sets.
+SETTLED = 50
 #: Bits of the bitmap of the documents in some pair; more bits let fewer other texts into the shuffle.
 MARK_BITS = 24
 
@@ -108,24 +111,21 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def _summaries(rows: DataFrame, estimate: np.ndarray, words: int, percent: int, bits: int) -> DataFrame:
-    """Per text: size and digest of the set, min-hashes, and the ordered prefix."""
+    """Per text: size and digest of the set, and the ordered prefix."""
     shared = rows.sparkSession.sparkContext.broadcast(estimate)
-    odd = mix(np.arange(1, SEEDS + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(b):
-        n, d, low, prefix = [], [], [], []
-        with np.errstate(over="ignore"):
-            for s in sets_of(b.column(1), words):
-                n.append(len(s))
-                d.append(_digest(s))
-                low.append([int(mix(s * o).min().astype(np.int64)) for o in odd] if len(s) else [])
-                order = np.lexsort((s, shared.value[(s >> np.uint64(64 - bits)).astype(np.int64)]))
-                prefix.append(s[order[:len(s) - (percent * len(s) + 99) // 100 + 1]].view(np.int64))
+        n, d, prefix = [], [], []
+        for s in sets_of(b.column(1), words):
+            n.append(len(s))
+            d.append(_digest(s))
+            order = np.lexsort((s, shared.value[(s >> np.uint64(64 - bits)).astype(np.int64)]))
+            prefix.append(s[order[:len(s) - (percent * len(s) + 99) // 100 + 1]].view(np.int64))
         return pa.RecordBatch.from_arrays(
             [b.column(0), pa.array(n, pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()),
-             pa.array(low, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "low", "prefix"])
+             pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "prefix"])
 
-    return arrow_map(rows, run, "id long, n long, d1 long, d2 long, low array<long>, prefix array<long>")
+    return arrow_map(rows, run, "id long, n long, d1 long, d2 long, prefix array<long>")
 
 
 def linked(overlap: Column, n1: Column, n2: Column, percent: int) -> Column:
@@ -174,66 +174,86 @@ def _overlaps(rows: DataFrame, same: DataFrame, pairs: DataFrame, words: int, na
                     F.size(F.array_intersect("sx", "sy")).cast("long").alias("o")))
 
 
-def leader_pairs(kept: DataFrame, percent: int) -> DataFrame:
-    """Pairs (least set with a min-hash, other set with it) of comparable sizes that share two min-hashes or more.
+def _block(n: Column, percent: int) -> Column:
+    return F.floor(F.log(n.cast("double")) / float(np.log(100 / percent))).cast("int")
 
-    What this leaves out is found by the index.
+
+def _size(at: Column) -> Column:  # size and position of an entry are in one number
+    return F.shiftright(at, 31)
+
+
+def _most(at: Column, percent: int) -> Column:
+    """Largest partner for which an entry can be the first common n-gram."""
+    i = at.bitwiseAND(F.lit((1 << 31) - 1))
+    return F.floor((_size(at) - i) * F.lit(100 + percent) / F.lit(percent)).cast("long") - _size(at)
+
+
+def listed(entries: DataFrame, by: str) -> DataFrame:
+    """The entries (g, ...) of lists that hold two values of ``by`` or more."""
+    several = entries.groupBy("g").agg(F.min(by).alias("a"), F.max(by).alias("z")).where("a != z").select("g")
+    return entries.join(several, "g")
+
+
+def leader_pairs(entries: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (leader, set) from ``entries`` (g, sid, c, at): for each set the leader of another class it meets in most lists.
+
+    A list's block names the set that is least by a hash of (set, turn). Leaders are taken by an aggregate that Spark combines before the
+    shuffle, so a list of any length gives as many rows as it has entries.
     """
-    low = kept.select("sid", "n", F.posexplode("low").alias("k", "v"))
-    lead = low.groupBy("k", "v").agg(F.min(F.struct("sid", "n")).alias("l"), F.count("*").alias("m")).where("m > 1")
-    near = low.join(lead, ["k", "v"]).where((F.col("l.sid") != F.col("sid")) & (100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")))
-    return near.groupBy(F.col("l.sid").alias("x"), F.col("sid").alias("y")).agg(F.count("*").alias("k")).where("k > 1").select("x", "y")
+    e = entries.where(_most(F.col("at"), percent) >= _size(F.col("at")))
+    e = e.select(F.xxhash64("g", _block(_size(F.col("at")), percent)).alias("k"), "sid", "c", "at")
+    lead = e.groupBy("k").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "c", "at")).alias("l"), F.count("*").alias("m"))
+    lead = lead.where("m > 1").select("k", F.col("l.sid").alias("x"), F.col("l.c").alias("cx"), F.col("l.at").alias("atx"))
+    n, nx = _size(F.col("at")), _size(F.col("atx"))
+    met = e.join(lead, "k").where((F.col("c") != F.col("cx")) & (n <= _most(F.col("atx"), percent)) & (nx <= _most(F.col("at"), percent)))
+    met = met.groupBy("sid", "x").agg(F.count("*").alias("m"))
+    return met.groupBy("sid").agg(F.max(F.struct("m", "x")).alias("b")).select(F.col("b.x").alias("x"), F.col("sid").alias("y"))
 
 
 def index_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs from the blocked index over ``entries`` (sid, n, c, prefix): see step 3 of the module text."""
-    def block(n: Column) -> Column:
-        return F.floor(F.log(n.cast("double")) / float(np.log(100 / percent))).cast("int")
-
-    def most(at: Column) -> Column:  # from size and position in one number
-        n, i = F.shiftright(at, 31), at.bitwiseAND(F.lit((1 << 31) - 1))
-        return F.floor((n - i) * F.lit(100 + percent) / F.lit(percent)).cast("long") - n
-
-    # narrow rows, since they are shuffled: the list's and block's key, the set, its group, and its size with the position
-    flat = entries.select("sid", "n", "c", F.posexplode("prefix").alias("i", "g")).withColumn("at", F.shiftleft("n", 31).bitwiseOR(F.col("i").cast("long")))
-    index = flat.select(F.xxhash64("g", block(F.col("n"))).alias("k"), "sid", "c", "at")
-    probe = flat.where(most(F.col("at")) >= F.col("n")).select("g", "sid", "c", "at", F.explode(F.sequence(block(F.col("n")), block(most(F.col("at"))))).alias("b"))
+    """Pairs of different classes from the blocked index over ``entries`` (g, sid, c, at): see step 2 of the module text."""
+    # narrow rows, since they are shuffled: the list's and block's key, the set, its class, and its size with the position
+    index = entries.select(F.xxhash64("g", _block(_size(F.col("at")), percent)).alias("k"), "sid", "c", "at")
+    most = _most(F.col("at"), percent)
+    probe = entries.where(most >= _size(F.col("at"))).select(
+        "g", "sid", "c", "at", F.explode(F.sequence(_block(_size(F.col("at")), percent), _block(most, percent))).alias("b"))
     probe = probe.select(F.xxhash64("g", "b").alias("k"), F.col("sid").alias("x"), F.col("c").alias("cx"), F.col("at").alias("atx"))
-    n, nx = F.shiftright("at", 31), F.shiftright("atx", 31)
+    n, nx = _size(F.col("at")), _size(F.col("atx"))
     after = (n > nx) | ((n == nx) & (F.col("sid") > F.col("x")))
-    hit = probe.join(index, "k").where(after & (F.col("c") != F.col("cx")) & (n <= most(F.col("atx"))) & (nx <= most(F.col("at"))))
+    hit = probe.join(index, "k").where(after & (F.col("c") != F.col("cx")) & (n <= _most(F.col("atx"), percent)) & (nx <= _most(F.col("at"), percent)))
     return hit.select("x", F.col("sid").alias("y")).distinct()
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = WORDS, percent: int = 85,
-         bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
-    """(sizes, groups): key and n_shingles of every row; key and component_id of every key with a link.
-
-    Null, empty and blank texts have the empty set, which links with nothing. Rows with one key are one node: each
-    keeps its own size, and the links of all of them count for the key; a null key belongs to no group.
-    ``component_id`` is the smallest key that links reach; keys without a link are not in ``groups``.
-    """
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    made = _summaries(rows, _sketch(rows, words, bits), words, percent, bits)
-    made = cut_lineage(made.withColumn("sid", F.monotonically_increasing_id()), "sets")
-    sizes = made.select(F.col("id").alias(key), F.col("n").alias("n_shingles"))
-
-    full = made.where("n > 0 AND id IS NOT NULL")
-    same = full.groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "sid")).alias("r"), F.count("*").alias("m"))
-    same = cut_lineage(same.select("n", "d1", "d2", F.col("r.id").alias("rep"), F.col("r.sid").alias("sid"), "m"), "same")
-    copies = (full.select("id", "n", "d1", "d2").join(same.where("m > 1"), ["n", "d1", "d2"])
-              .where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
-
-    stars = _overlaps(rows, same, leader_pairs(full.select("sid", "n", "low").join(same.select("sid"), "sid"), percent), words, "leaders")
-    stars = cut_lineage(stars.where(linked(F.col("o"), F.col("nx"), F.col("ny"), percent)), "stars")
-    first = components(stars.select(F.col("x").alias("a"), F.col("y").alias("b")), "first")
-    owners = same.join(first, same.sid == first.node, "left").select("sid", F.coalesce("component", "sid").alias("c"))
-    entries = full.select("sid", "n", "prefix").join(owners, "sid")
-    found = cut_lineage(index_pairs(entries, percent), "found")
-
-    # each set's best leader: of the sets linked with it in the first step, the one that shares most
+def _classes(rows: DataFrame, same: DataFrame, entries: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(entries of lists with several classes, counted links of the leaders): see step 3 of the module text."""
+    live = cut_lineage(listed(entries, "sid").withColumn("c", F.col("sid")), "live")
+    stars = None
+    for turn in itertools.count():
+        open_sets = live.select("sid").distinct().count()
+        pairs = _overlaps(rows, same, leader_pairs(live, percent, turn), words, "leaders")
+        new = cut_lineage(pairs.where(linked(F.col("o"), F.col("nx"), F.col("ny"), percent)), "stars")
+        stars = new if stars is None else stars.union(new)
+        links = new.count()
+        if links:
+            own = live.select("sid", "c").distinct()
+            edges = (new.join(own.select(F.col("sid").alias("x"), F.col("c").alias("a")), "x")
+                     .join(own.select(F.col("sid").alias("y"), F.col("c").alias("b")), "y").select("a", "b"))
+            merged = components(edges, "merged").select(F.col("node").alias("c"), "component")
+            live = live.join(merged, "c", "left").withColumn("c", F.coalesce("component", "c")).select("g", "sid", "at", "c")
+            live = cut_lineage(listed(live, "c"), "live")
+        if SETTLED * links <= open_sets:
+            return live, stars
+
+
+def _links(rows: DataFrame, same: DataFrame, entries: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (x, y) between sets, enough of them for the groups: one class of leaders, and all pairs between classes."""
+    live, stars = _classes(rows, same, entries, words, percent)
+    found = cut_lineage(index_pairs(live, percent), "found")
+
+    # each set's best leader: of those it was linked with, the one that shares most
     best = stars.groupBy(F.col("y").alias("s")).agg(F.max(F.struct("o", "x", "nx", "ny")).alias("m")).select(
         "s", F.col("m.x").alias("lead"), (F.col("m.ny") - F.col("m.o")).alias("extra"), (F.col("m.nx") - F.col("m.o")).alias("short"))
+    best = cut_lineage(best, "best")
     led = found
     for side in ("x", "y"):
         b = best.select(F.col("s").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("lead", "extra", "short")])
@@ -254,12 +274,45 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int
                       .where(linked(most, F.col("nx"), F.col("ny"), percent)), "ask")
     counted = _overlaps(rows, same, ask.where("NOT sure").select("x", "y"), words, "rest")
     ok = lambda d: d.where(linked(F.col("o"), F.col("nx"), F.col("ny"), percent)).select("x", "y")
-    links = stars.select("x", "y").union(ok(bases)).union(ask.where("sure").select("x", "y")).union(ok(counted))
-    rep = same.select("sid", "rep")
-    links = (links.join(rep.select(F.col("sid").alias("x"), F.col("rep").alias("a")), "x")
-             .join(rep.select(F.col("sid").alias("y"), F.col("rep").alias("b")), "y").select("a", "b"))
-    groups = components(links.union(copies), "groups")
-    return sizes, groups.select(F.col("node").alias(key), F.col("component").alias("component_id"))
+    return stars.select("x", "y").union(ok(bases)).union(ask.where("sure").select("x", "y")).union(ok(counted))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = WORDS, percent: int = 85,
+         bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
+    """(sizes, groups): key and n_shingles of every row; key and component_id of every key with a link.
+
+    Null, empty and blank texts have the empty set, which links with nothing. Rows with one key are one node: each
+    keeps its own size, and the links of all of them count for the key; a null key belongs to no group.
+    ``component_id`` is the smallest key that links reach; keys without a link are not in ``groups`` (a key repeated with equal texts is
+    there with itself). Both results are written; all other cuts are removed before the call returns.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    kept = [shared_dir(spark, name) for name in ("sizes", "groups")]
+    with scratch(spark):
+        made = _summaries(rows, _sketch(rows, words, bits), words, percent, bits)
+        made = cut_lineage(made.withColumn("sid", F.monotonically_increasing_id()), "sets")
+        made.select("id", "n").write.parquet(kept[0])
+
+        full = made.where("n > 0 AND id IS NOT NULL")
+        same = full.groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "sid")).alias("r"), F.count("*").alias("m"))
+        same = cut_lineage(same.select("n", "d1", "d2", F.col("r.id").alias("rep"), F.col("r.sid").alias("sid"), "m"), "same")
+        entries = full.select("sid", "n", "prefix").join(same.select("sid"), "sid").select("sid", "n", F.posexplode("prefix").alias("i", "g"))
+        entries = entries.select("g", "sid", F.shiftleft("n", 31).bitwiseOR(F.col("i").cast("long")).alias("at"))
+        links = _links(rows, same, entries, words, percent)
+        rep = same.select("sid", "rep")
+        links = (links.join(rep.select(F.col("sid").alias("x"), F.col("rep").alias("a")), "x")
+                 .join(rep.select(F.col("sid").alias("y"), F.col("rep").alias("b")), "y").select("a", "b"))
+
+        # a key is a node of its own beside its representative only if it stands for several sets
+        owned = cut_lineage(full.select("id", "n", "d1", "d2").join(same, ["n", "d1", "d2"]).select("id", "rep", "m"), "owned")
+        several = owned.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("id")
+        links = links.union(owned.join(several, "id").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+        groups = components(links, "groups").select(F.col("node").alias("rep"), "component")
+        groups = owned.join(groups, "rep", "left").where("m > 1 OR component IS NOT NULL")
+        groups.select("id", F.coalesce("component", "rep").alias("component_id")).distinct().write.parquet(kept[1])
+    sizes, groups = (spark.read.parquet(p).withColumnRenamed("id", key) for p in kept)
+    return sizes.withColumnRenamed("n", "n_shingles"), groups
 
 
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
