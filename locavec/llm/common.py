@@ -32,12 +32,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list], schema: str) -> DataFrame:
-    """``fn`` on every Arrow batch; the result may be one batch or several."""
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list], schema: str, rows: int | None = None) -> DataFrame:
+    """``fn`` on every Arrow batch, or on its slices of ``rows`` rows; the result may be one batch or several."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = fn(b)
-            yield from out if isinstance(out, list) else [out]
+        for whole in batches:
+            for b in [whole] if rows is None else (whole.slice(i, rows) for i in range(0, whole.num_rows, rows)):
+                out = fn(b)
+                yield from out if isinstance(out, list) else [out]
 
     return df.mapInArrow(run, schema)
 
@@ -141,10 +142,10 @@ def word_bounds(b: np.ndarray, rows: np.ndarray, inside: np.ndarray):
     return starts, ends, np.searchsorted(starts, rows)
 
 
-def word_chunks(col: pa.Array, inside: np.ndarray):
+def word_chunks(col: pa.Array, inside: np.ndarray, size: int = 1 << 20):
     """Per chunk of rows: first row, word hashes, and the offset of each row's first word (one more at the end)."""
     data, off = bytes_of(col)
-    for i, j in chunks_of(off):
+    for i, j in chunks_of(off, size):
         b = LOWER[data[off[i]:off[j]]]
         starts, ends, first = word_bounds(b, off[i:j + 1] - off[i], inside)
         yield i, hash_runs(b, starts, ends), first

@@ -25,10 +25,11 @@ from __future__ import annotations
 import itertools
 import math
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch, shared_dir
@@ -40,12 +41,14 @@ WORDS, SKETCH_BITS = 4, 24
 SETTLED = 50
 #: Bits of the bitmap of the documents in some pair; more bits let fewer other texts into the shuffle.
 MARK_BITS = 24
+#: Bytes of text that are hashed at once, and rows whose sets a worker holds at once: they bound its memory, not the result.
+CHUNK_BYTES, HELD_ROWS = 1 << 18, 1024
 
 
 def sets_of(col: pa.Array, words: int):
     """Sorted distinct n-gram hashes of each text: n-grams of ``words`` words, or the whole shorter text as one."""
     with np.errstate(over="ignore"):
-        for _, h, first in word_chunks(col, SPACED):
+        for _, h, first in word_chunks(col, SPACED, CHUNK_BYTES):
             g = ngram_hashes(h, words)
             for a, z in zip(first[:-1], first[1:]):
                 if z - a >= words:
@@ -69,7 +72,7 @@ def _sketch(docs: DataFrame, words: int, bits: int) -> np.ndarray:
             for s in sets_of(b.column(0), words):
                 held.append((s >> np.uint64(64 - bits)).astype(np.int64))
                 n += len(s)
-                if n > 1 << 20:
+                if n > 1 << 18:
                     np.add.at(c, np.concatenate(held), 1)
                     held, n = [], 0
             if held:
@@ -125,7 +128,16 @@ def _summaries(rows: DataFrame, estimate: np.ndarray, words: int, percent: int,
             [b.column(0), pa.array(n, pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()),
              pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "prefix"])
 
-    return arrow_map(rows, run, "id long, n long, d1 long, d2 long, prefix array<long>")
+    return arrow_map(rows, run, "id long, n long, d1 long, d2 long, prefix array<long>", HELD_ROWS)
+
+
+def _written(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` gives, written; the cuts that it makes on the way are removed at once."""
+    path = shared_dir(spark, name)
+    with scratch(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def linked(overlap: Column, n1: Column, n2: Column, percent: int) -> Column:
@@ -165,7 +177,7 @@ def _overlaps(rows: DataFrame, same: DataFrame, pairs: DataFrame, words: int, na
     need = cut_lineage(need, name)
     texts = _likely(rows, need).join(need.select("id").distinct(), "id").select("id", "text")
     # repeated rows fall together before the shuffle, and the join keeps its partitioning
-    sets = (arrow_map(texts, run, "id long, d1 long, d2 long, s array<long>").dropDuplicates(["id", "d1", "d2"])
+    sets = (arrow_map(texts, run, "id long, d1 long, d2 long, s array<long>", HELD_ROWS).dropDuplicates(["id", "d1", "d2"])
             .join(need, ["id", "d1", "d2"]).select("sid", "s"))
     sets = cut_lineage(sets, name)
     return (pairs.join(sets.select(F.col("sid").alias("x"), F.col("s").alias("sx")), "x")
@@ -226,21 +238,26 @@ def index_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 def _classes(rows: DataFrame, same: DataFrame, entries: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(entries of lists with several classes, counted links of the leaders): see step 3 of the module text."""
+    spark = rows.sparkSession
+    ok = linked(F.col("o"), F.col("nx"), F.col("ny"), percent)
     live = cut_lineage(listed(entries, "sid").withColumn("c", F.col("sid")), "live")
     stars = None
+
+    def merge(live: DataFrame, new: DataFrame) -> DataFrame:
+        own = live.select("sid", "c").distinct()
+        edges = (new.join(own.select(F.col("sid").alias("x"), F.col("c").alias("a")), "x")
+                 .join(own.select(F.col("sid").alias("y"), F.col("c").alias("b")), "y").select("a", "b"))
+        merged = components(edges, "merged").select(F.col("node").alias("c"), "component")
+        live = live.join(merged, "c", "left").withColumn("c", F.coalesce("component", "c")).select("g", "sid", "at", "c")
+        return listed(live, "c")
+
     for turn in itertools.count():
         open_sets = live.select("sid").distinct().count()
-        pairs = _overlaps(rows, same, leader_pairs(live, percent, turn), words, "leaders")
-        new = cut_lineage(pairs.where(linked(F.col("o"), F.col("nx"), F.col("ny"), percent)), "stars")
+        new = _written(spark, "stars", lambda: _overlaps(rows, same, leader_pairs(live, percent, turn), words, "leaders").where(ok))
         stars = new if stars is None else stars.union(new)
         links = new.count()
         if links:
-            own = live.select("sid", "c").distinct()
-            edges = (new.join(own.select(F.col("sid").alias("x"), F.col("c").alias("a")), "x")
-                     .join(own.select(F.col("sid").alias("y"), F.col("c").alias("b")), "y").select("a", "b"))
-            merged = components(edges, "merged").select(F.col("node").alias("c"), "component")
-            live = live.join(merged, "c", "left").withColumn("c", F.coalesce("component", "c")).select("g", "sid", "at", "c")
-            live = cut_lineage(listed(live, "c"), "live")
+            live = _written(spark, "live", lambda: merge(live, new))
         if SETTLED * links <= open_sets:
             return live, stars
 
@@ -262,8 +279,8 @@ def _links(rows: DataFrame, same: DataFrame, entries: DataFrame, words: int, per
     led = cut_lineage(led.withColumns({"p": F.least("lead_x", "lead_y"), "q": F.greatest("lead_x", "lead_y"),
                                        "extra": F.col("extra_x") + F.col("extra_y"), "short": F.col("short_x") + F.col("short_y")})
                       .select("x", "y", "p", "q", "extra", "short"), "led")
-    bases = _overlaps(rows, same, led.select(F.col("p").alias("x"), F.col("q").alias("y")).where("x != y").distinct(), words, "bases")
-    bases = cut_lineage(bases, "base_answers")
+    asked = led.select(F.col("p").alias("x"), F.col("q").alias("y")).where("x != y").distinct()
+    bases = _written(rows.sparkSession, "base_answers", lambda: _overlaps(rows, same, asked, words, "bases"))
     n = same.select("sid", "n")
     ask = (led.where("extra + short > 0")
            .join(bases.select(F.col("x").alias("p"), F.col("y").alias("q"), "nx", "ny", "o"), ["p", "q"])
