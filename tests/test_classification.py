@@ -148,3 +148,14 @@ def test_many_labels_get_codes(spark):
     d = spark.range(25_000).select("id", F.format_string("k%05d", F.col("id")).alias("k"))
     coded, n = M.class_codes(d, "k")
     assert n == 25_000 and coded.where("cls_code != id").count() == 0
+
+
+def test_a_grid_of_many_fits(spark):
+    """4000 fits with weights of their own: a condition with a term for each would be too deep for the planner."""
+    n = 4000
+    rows = spark.range(2 * n).select((F.col("id") % n).alias("fold"), F.lit(0).alias("bucket"), F.array(F.lit(1.0)).alias("v"), (F.col("id") % 2).alias("c"))
+    weight = F.when(F.col("target") == F.col("outer") % 2, 1.0).otherwise(0.0)  # the class is that of the fold
+    grid = spark.range(n).select(F.col("id").alias("outer"), F.lit(-1).cast("long").alias("inner"), F.lit(0).alias("profile"), F.lit(0).alias("alpha"),
+                                 F.explode(F.array(F.lit(0), F.lit(1))).alias("target")).withColumn("coef", F.array(weight, F.lit(0.0)))
+    got = M.accuracy_grid(rows, "v", "c", 2, grid, ("fold", "bucket"), M.fold_tests("random")).collect()
+    assert len(got) == n and all(r["score"] == 1.0 and r["n_test"] == 2 for r in got)
