@@ -5,6 +5,10 @@ turn out large are split again by place, on the executors, so no task ever holds
 one unit first, which bounds its k-th distance, then only the units whose boxes reach inside that
 bound. Pairs never leave a task: each visit returns at most k candidates per query.
 
+A query that few units can still serve goes to each of them. One that many can serve (in many dimensions boxes prune little) is not
+copied to each: such queries form at most SWEEP_BLOCKS blocks that meet at most SWEEP_CHUNKS parts of the training rows, so that
+what is shuffled grows with the rows and not with their pairs. Inside a meeting the boxes prune as before.
+
 Identical coordinates are reduced first to their k lowest ids, which cannot change any top-k.
 """
 
@@ -29,7 +33,11 @@ LEAF_ROWS = 512        # aimed-at training rows per leaf
 UNIT_ROWS = 4096       # a leaf above this is split again
 BLOCK_ROWS = 4096      # query rows per task group
 MAX_LEAVES = 65536     # cells of the first level, split on the driver
-ROUTED = 1 << 21       # cells of a query by leaf matrix
+ROUTED = 1 << 18       # cells of a query by leaf matrix, and of a query by training row matrix
+SHORT = 16             # units that a query is sent to one by one
+SWEEP_BLOCKS, SWEEP_CHUNKS = 32, 16         # most blocks of the other queries, and most parts of the training rows they meet
+SWEEP_QUERIES, SWEEP_ROWS = 16384, 16384    # rows of these as long as that gives no more of them
+TILE_QUERIES, TILE_ROWS = 512, 512          # rows of a matrix inside a meeting
 SAMPLE_PER_LEAF = 16   # bounds the sample the splits are chosen from
 
 
@@ -238,7 +246,7 @@ def _top(q: np.ndarray, qg: np.ndarray, t: np.ndarray, tg: np.ndarray, k: int, m
     """Row-wise k smallest distances; ties by position, which is id order. inf marks ineligible."""
     wide = q.shape[1] > 8
     idx_out, d_out = [], []
-    step = max(1, 2_000_000 // max(1, len(t)))
+    step = max(1, ROUTED // max(1, len(t)))
     tn = (t * t).sum(axis=1)
     for s in range(0, len(q), step):
         a = q[s : s + step]
@@ -265,7 +273,7 @@ def _top(q: np.ndarray, qg: np.ndarray, t: np.ndarray, tg: np.ndarray, k: int, m
         dc = np.take_along_axis(d2, cand, axis=1)
         if wide:  # exact distances for the survivors only
             fin = np.isfinite(dc)
-            few = max(1, 2_000_000 // max(1, cand.shape[1] * q.shape[1]))
+            few = max(1, ROUTED // max(1, cand.shape[1] * q.shape[1]))
             for u in range(0, len(a), few):
                 diff = t[cand[u : u + few]] - a[u : u + few, None]
                 dc[u : u + few] = np.where(fin[u : u + few], (diff * diff).sum(axis=2), np.inf)
@@ -275,6 +283,53 @@ def _top(q: np.ndarray, qg: np.ndarray, t: np.ndarray, tg: np.ndarray, k: int, m
     return np.concatenate(idx_out), np.concatenate(d_out)
 
 
+def _within(q: np.ndarray, qg: np.ndarray, cap: np.ndarray, home: np.ndarray, t: np.ndarray, tn: np.ndarray, tg: np.ndarray, unit: np.ndarray,
+            at: np.ndarray, k: int, mode):
+    """(row of ``q``, row of ``t``, distance): for each query its k nearest rows among ``at`` (ascending) that lie within its cap and
+    outside its first unit.
+
+    Training rows come in tiles, and each tile lowers the caps; ties by position, as in ``_top``. ``tn`` has the squared norms of ``t``.
+    """
+    wide, limit, few = q.shape[1] > 8, cap.copy(), max(1, ROUTED // q.shape[1])
+    row, pos, dist = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0)
+    qn, half = (q * q).sum(axis=1), -2.0 * q
+    for s in range(0, len(at), TILE_ROWS):
+        p = at[s:s + TILE_ROWS]
+        u, slack = t[p], 0.0
+        if wide:
+            un = tn[p]
+            d2 = half @ u.T
+            d2 += un
+            slack = 1e-9 * (1.0 + un.max() + qn.max()) - qn  # d2 lacks the query's norm
+        else:
+            d2 = np.zeros((len(q), len(u)))
+            for j in range(q.shape[1]):
+                diff = q[:, j, None] - u[None, :, j]
+                d2 += diff * diff
+        near = d2 <= (limit * limit * (1 + 1e-12) + slack)[:, None]
+        r, c = np.divmod(np.flatnonzero(near), len(p))
+        can = home[r] != unit[p[c]]
+        if mode is not None:
+            can &= (qg[r] != tg[p[c]]) if mode == "other" else (qg[r] == tg[p[c]])
+        r, c = r[can], c[can]
+        if not len(r):
+            continue
+        if wide:  # exact distances for the few that are near
+            d = np.concatenate([((u[c[i:i + few]] - q[r[i:i + few]]) ** 2).sum(axis=1) for i in range(0, len(r), few)])
+        else:
+            d = d2[r, c]
+        d = np.sqrt(d)
+        ok = d <= limit[r]
+        row, pos, dist = np.append(row, r[ok]), np.append(pos, p[c[ok]]), np.append(dist, d[ok])
+        order = np.lexsort((pos, dist, row))
+        row, pos, dist = row[order], pos[order], dist[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        last = rank == k - 1
+        limit[row[last]] = np.minimum(limit[row[last]], dist[last])
+        row, pos, dist = row[rank < k], pos[rank < k], dist[rank < k]
+    return row, pos, dist
+
+
 def _visit_schema(payload: T.StructType, qid_type: T.DataType) -> T.StructType:
     return T.StructType([
         T.StructField("qid", qid_type),
@@ -284,6 +339,10 @@ def _visit_schema(payload: T.StructType, qid_type: T.DataType) -> T.StructType:
         T.StructField("tid", T.ArrayType(T.LongType())),
         *[T.StructField(f.name, T.ArrayType(f.dataType)) for f in payload],
         T.StructField("more", T.ArrayType(T.LongType())),
+        T.StructField("many", T.BooleanType()),
+        T.StructField("cap", T.DoubleType()),
+        T.StructField("ix", T.ArrayType(T.DoubleType())),
+        T.StructField("unit", T.LongType()),
     ])
 
 
@@ -298,16 +357,19 @@ def _lists(values, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), values if isinstance(values, pa.Array) else pa.array(values))
 
 
-def _onward(index: LeafIndex, ix: np.ndarray, group: np.ndarray, bound: np.ndarray, unit: int, k: int, mode) -> tuple[np.ndarray, np.ndarray]:
-    """Units, other than ``unit``, that may hold a row inside each query's bound: all units by query, and their number per query.
+def _onward(index: LeafIndex, ix: np.ndarray, group: np.ndarray, bound: np.ndarray, unit: int, k: int, mode, most: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Units, other than ``unit``, that may hold a row inside each query's bound: all units by query, their number per query. Those of a
+    query that has more than ``most`` are only counted.
 
     Queries of a block meet the boxes near the whole block in matrices of at most ROUTED cells. ``bound`` is filled in place for queries
     without one: the distance that is sure to hold k rows.
     """
+    number = np.zeros(len(ix), "i8")
     if not index.counts.any():  # no training rows at all
-        return np.zeros(0, "i8"), np.zeros(len(ix), "i8")
+        return np.zeros(0, "i8"), number
     starts = np.concatenate([[0], np.cumsum(index.subs)])
     rows_out, units_out = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
+    home = np.searchsorted(starts, unit, "right") - 1  # the leaf that holds the unit
     for g in np.unique(group):
         rows = np.flatnonzero(group == g)
         can = index.eligible(g, mode)
@@ -323,12 +385,16 @@ def _onward(index: LeafIndex, ix: np.ndarray, group: np.ndarray, bound: np.ndarr
         for at in _slices(np.arange(len(rows)), len(near)):
             row, leaf = index.inside(ix[rows[at]], limit[at], near)
             n = index.subs[leaf]
+            to = np.bincount(row, n - (leaf == home), minlength=len(at))
+            number[rows[at]] = to
+            few = to[row] <= most
+            row, leaf, n = row[few], leaf[few], n[few]
             first = np.cumsum(n) - n
             units_out.append(np.repeat(starts[leaf] - first, n) + np.arange(n.sum()))
             rows_out.append(np.repeat(rows[at][row], n))
     row, to = np.concatenate(rows_out), np.concatenate(units_out)
     row, to = row[to != unit], to[to != unit]
-    return to[np.argsort(row, kind="stable")].astype("i8"), np.bincount(row, minlength=len(ix))
+    return to[np.argsort(row, kind="stable")].astype("i8"), number
 
 
 def _slices(rows: np.ndarray, width: int):
@@ -353,7 +419,8 @@ def _visit_fn(bc, k: int, mode, max_dist: float, payload: list[str], route: bool
         more, steps = np.zeros(0, "i8"), np.zeros(len(q), "i8")
         if route:
             if len(q):
-                more, steps = _onward(bc.value, _cells(queries["ix"]), qg, bound, queries["unit"][0].as_py(), k, mode)
+                more, steps = _onward(bc.value, _cells(queries["ix"]), qg, bound, queries["unit"][0].as_py(), k, mode, SHORT)
+                bound = np.minimum(np.where(np.isfinite(kth), bound, bound * (1 + 1e-12)), max_dist)  # that of whole boxes is rounded
         else:
             bound = np.minimum(bound, queries["cap"].to_numpy())
         keep = np.isfinite(dist) & (dist <= bound[:, None])
@@ -363,8 +430,10 @@ def _visit_fn(bc, k: int, mode, max_dist: float, payload: list[str], route: bool
             "qid": queries["qid"], "grp": queries["grp"], "vec": queries["vec"],
             "dist": _lists(dist[keep], sizes),
             "tid": _lists(hits["tid"].combine_chunks(), sizes),
-            "more": _lists(more, steps),
+            "more": _lists(more, np.where(steps > SHORT, 0, steps)), "many": pa.array(steps > SHORT), "cap": pa.array(bound), "unit": queries["unit"],
         }
+        if route:
+            out["ix"] = queries["ix"]
         for name in payload:
             out[name] = _lists(hits[name].combine_chunks(), sizes)
         return pa.table({c: out[c] for c in columns})
@@ -372,6 +441,74 @@ def _visit_fn(bc, k: int, mode, max_dist: float, payload: list[str], route: bool
     return visit
 
 
+def _sweep_fn(bc, k: int, mode, payload: list[str], columns: list[str]):
+    """Group function of a meeting of many queries with many training rows: (queries, training rows) -> candidates.
+
+    Queries go in the order of their first units, some hundred together, against the rows of the leaves that reach inside their caps.
+    """
+    def sweep(queries: pa.Table, train: pa.Table) -> pa.Table:
+        train, queries = train.take(pc.sort_indices(train["tid"])), queries.take(pc.sort_indices(queries["unit"]))
+        index, hits = bc.value, [(np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0))]
+        if len(queries) and len(train):
+            q, ix, t = _cells(queries["vec"]), _cells(queries["ix"]), _cells(train["vec"])
+            qg, cap, home = (queries[c].to_numpy() for c in ("grp", "cap", "unit"))
+            tg, unit = train["grp"].to_numpy(), train["unit"].to_numpy()
+            starts = np.concatenate([[0], np.cumsum(index.subs)])
+            leaves, leaf = np.unique(np.searchsorted(starts, unit, "right") - 1, return_inverse=True)
+            tn = (t * t).sum(axis=1)
+            for a in range(0, len(q), TILE_QUERIES):
+                z = min(len(q), a + TILE_QUERIES)
+                need = np.zeros(len(leaves), bool)
+                for i in _slices(np.arange(a, z), len(leaves)):
+                    need |= np.isin(leaves, index.inside(ix[i], cap[i] * (1 + 1e-12), leaves)[1])
+                row, pos, dist = _within(q[a:z], qg[a:z], cap[a:z], home[a:z], t, tn, tg, unit, np.flatnonzero(need[leaf]), k, mode)
+                hits.append((row + a, pos, dist))
+        row, pos, dist = (np.concatenate(x) for x in zip(*hits))
+        sizes, got = np.bincount(row, minlength=len(queries)), train.take(pa.array(pos))
+        out = {"qid": queries["qid"], "dist": _lists(dist, sizes), "tid": _lists(got["tid"].combine_chunks(), sizes)}
+        for name in payload:
+            out[name] = _lists(got[name].combine_chunks(), sizes)
+        return pa.table({c: out[c] for c in columns})
+
+    return sweep
+
+
+def _meetings(many: DataFrame, index: LeafIndex, mode) -> tuple[DataFrame, pd.DataFrame, np.ndarray] | None:
+    """(queries with their block, meetings (side, block, chunk), chunk of every unit), or None without queries.
+
+    Blocks follow the order of the units and chunks too, so both are compact; a meeting takes place where the box of a block, widened by its
+    largest cap, reaches a leaf of the chunk with rows for it. A unit with many queries is spread over blocks by a draw. In mode "same" a block
+    meets rows of its own group only (its side).
+    """
+    side = F.col("grp") if mode == "same" else F.lit(0).cast("long")
+    many = many.withColumn("side", side)
+    loads = many.groupBy("side", "unit").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["side", "unit"])  # one row a unit and group, as the boxes
+    if not len(loads):
+        return None
+    n, spark = loads["n"].to_numpy("i8"), many.sparkSession
+    size = max(SWEEP_QUERIES, -(-int(n.sum()) // SWEEP_BLOCKS))
+    at = spark.createDataFrame(pd.DataFrame({"side": loads["side"].to_numpy("i8"), "unit": loads["unit"].to_numpy("i8"), "first": n.cumsum() - n, "load": n}),
+                               "side long, unit long, first long, load long")
+    draw = F.floor((F.col("first") + hash_uniform("qid", "grp", seed=31) * F.col("load")) / size).cast("int")
+    many = many.join(at, ["side", "unit"]).withColumn("block", draw).drop("first", "load")
+    dims = index.lo.shape[1]
+    ends = [f(F.col("ix")[j]).alias(f"{name}{j}") for j in range(dims) for name, f in (("lo", F.min), ("hi", F.max))]
+    boxes = many.groupBy("side", "block").agg(F.max("cap").alias("cap"), *ends).toPandas()  # at most SWEEP_BLOCKS and one more a group
+    totals = index.counts.sum(axis=1)
+    rows = index.counts.sum(axis=0).max() if mode == "same" else totals.sum()
+    chunks = int(min(SWEEP_CHUNKS, max(1, -(-int(rows) // SWEEP_ROWS))))
+    per_unit = np.repeat(totals / index.subs, index.subs)
+    chunk = np.minimum((np.cumsum(per_unit) - per_unit) * chunks // max(1.0, totals.sum()), chunks - 1).astype("i8")
+    leaf = np.repeat(np.arange(len(totals)), index.subs)
+    met = []
+    for r in boxes.itertuples():
+        can = index.eligible(r.side, "same" if mode == "same" else None)
+        lo, hi = (np.array([getattr(r, f"{e}{j}") for j in range(dims)]) for e in ("lo", "hi"))
+        reached = (can > 0) & (index.gap(lo, hi) <= r.cap * (1 + 1e-12))
+        met += [(int(r.side), int(r.block), int(c)) for c in np.unique(chunk[reached[leaf]])]
+    return many, pd.DataFrame(met, columns=["side", "block", "chunk"]), chunk
+
+
 def nearest(
     queries: DataFrame,
     train: DataFrame,
@@ -430,11 +567,29 @@ def nearest(
     first = cut_lineage(first, "nearest")
     cand = F.arrays_zip("dist", "tid", *payload)
     own = first.select("qid", cand.alias("cand"))
-    # kth distance so far, so that a later unit returns only candidates that can still matter
-    cap = F.when(F.size("dist") >= k, F.element_at("dist", k)).otherwise(F.lit(float(max_dist)))
-    onward = first.select("qid", "grp", "vec", cap.alias("cap"), F.explode("more").alias("unit"))
-    later = _co_visit(onward, placed, _visit_fn(bc, k, mode, max_dist, list(payload), False, names), schema)
+    # cap: kth distance so far, so that a later unit returns only candidates that can still matter
+    onward = first.select("qid", "grp", "vec", "cap", F.explode("more").alias("unit"))
+    shape = T.StructType([f for f in schema if f.name in ("qid", "dist", "tid", *payload)])
+    later = _co_visit(onward, placed, _visit_fn(bc, k, mode, max_dist, list(payload), False, shape.names), shape)
     merged = own.unionByName(later.select("qid", cand.alias("cand")))
+    met = _meetings(first.where("many").select("qid", "grp", "vec", "ix", "cap", "unit"), index, mode)
+    if met is not None:
+        many, pairs, chunk = met
+        spark = train.sparkSession
+        pairs = F.broadcast(spark.createDataFrame(pairs, "side long, block int, chunk int"))
+        shared = spark.sparkContext.broadcast(chunk)
+
+        @F.pandas_udf("int")
+        def chunk_of(unit: pd.Series) -> pd.Series:
+            return pd.Series(shared.value[unit.to_numpy("i8")].astype("i4"))
+
+        side = F.col("grp") if mode == "same" else F.lit(0).cast("long")
+        keys = ["side", "block", "chunk"]
+        asked = spread(many.join(pairs, ["side", "block"]), *keys).groupBy(*keys)
+        given = spread(placed.drop("leaf").withColumn("side", side).withColumn("chunk", chunk_of("unit")).join(pairs, ["side", "chunk"]), *keys).groupBy(*keys)
+        meet = _sweep_fn(bc, k, mode, list(payload), shape.names)
+        swept = asked.cogroup(given).applyInArrow(lambda a, b: meet(a, b), shape)
+        merged = merged.unionByName(swept.select("qid", cand.alias("cand")))
     best = merged.groupBy("qid").agg(F.slice(F.sort_array(F.flatten(F.collect_list("cand"))), 1, k).alias("cand"))
     return best.select("qid", F.posexplode("cand").alias("rank", "c")).select(
         "qid", "c.tid", "c.dist", (F.col("rank") + 1).alias("rank"), *[F.col(f"c.{p}") for p in payload]

@@ -187,3 +187,31 @@ def test_routing_of_a_block_equals_a_loop_over_its_queries():
         want = [u for leaf in np.flatnonzero((gap <= bound[i] * (1 + 1e-12)) & (can > 0)) for u in range(starts[leaf], starts[leaf + 1]) if u != 5]
         assert units[at:at + n[i]].tolist() == want and filled[i] == pytest.approx(bound[i])
         at += n[i]
+
+
+def _vectors(spark, n, seed):
+    x = np.random.default_rng(seed).normal(size=(n, 24))
+    x[n // 2:n // 2 + 20] = x[0]  # more equal rows than neighbours asked for
+    rows = [(i, x[i].tolist(), x[i, :6].tolist() + [float(np.sqrt((x[i, 6:] ** 2).sum()))], i % 3) for i in range(n)]
+    return x, spark.createDataFrame(rows, "id long, vec array<double>, ix array<double>, grp long")
+
+
+@pytest.mark.parametrize("mode", [None, "other", "same"])
+def test_queries_that_boxes_do_not_help_are_not_copied_to_every_unit(spark, monkeypatch, mode):
+    n, k, sent = 1500, 5, []
+    monkeypatch.setattr(NB, "SWEEP_QUERIES", 200)
+    monkeypatch.setattr(NB, "SWEEP_ROWS", 400)
+    monkeypatch.setattr(NB, "TILE_ROWS", 64)
+    visit = NB._co_visit
+    monkeypatch.setattr(NB, "_co_visit", lambda q, *a: sent.append(q.count()) or visit(q, *a))
+    x, d = _vectors(spark, n, 4)
+    got = NB.nearest(d.withColumnRenamed("id", "qid"), d.withColumnRenamed("id", "tid"), k=k, mode=mode, residual=True, leaf_rows=32)
+    got = got.toPandas().sort_values(["qid", "rank"])
+    assert sent[0] == n and sent[1] <= NB.SHORT * n  # before: every query went to nearly each of the 47 units
+    g = np.arange(n) % 3
+    for q in range(0, n, 7):
+        dist = np.sqrt(((x - x[q]) ** 2).sum(1))
+        can = np.flatnonzero(np.ones(n, bool) if mode is None else (g != g[q]) if mode == "other" else (g == g[q]))
+        want = can[np.lexsort((can, np.round(dist[can], 12)))][:k]
+        part = got[got.qid == q]
+        assert part.tid.tolist() == want.tolist() and np.allclose(part.dist, dist[want], atol=1e-12)
