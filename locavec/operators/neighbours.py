@@ -551,12 +551,12 @@ def nearest(
         return pd.DataFrame({"leaf": leaf.astype("i4"), "unit": starts[leaf]})
 
     @F.pandas_udf("long")
-    def unit_of(leaf: pd.Series, draw: pd.Series) -> pd.Series:
-        lf = leaf.to_numpy("i8")
+    def unit_of(x: pd.Series, draw: pd.Series) -> pd.Series:  # leaf and unit in one function: one Python worker a task
+        lf = bc.value.locate(_matrix(x))
         n = np.array([subs_of.get(int(i), 1) for i in lf])
         return pd.Series(starts[lf] + np.minimum((draw.to_numpy() * n).astype("i8"), n - 1))
 
-    placed = _with_leaf(train, bc).withColumn("unit", unit_of("leaf", hash_uniform("tid", "grp", seed=5))).drop("ix")
+    placed = train.withColumn("unit", unit_of("ix", hash_uniform("tid", "grp", seed=5))).drop("ix")
     schema = _visit_schema(fields, qid_type)
     names = [f.name for f in schema]
 
@@ -586,7 +586,7 @@ def nearest(
         side = F.col("grp") if mode == "same" else F.lit(0).cast("long")
         keys = ["side", "block", "chunk"]
         asked = spread(many.join(pairs, ["side", "block"]), *keys).groupBy(*keys)
-        given = spread(placed.drop("leaf").withColumn("side", side).withColumn("chunk", chunk_of("unit")).join(pairs, ["side", "chunk"]), *keys).groupBy(*keys)
+        given = spread(placed.withColumn("side", side).withColumn("chunk", chunk_of("unit")).join(pairs, ["side", "chunk"]), *keys).groupBy(*keys)
         meet = _sweep_fn(bc, k, mode, list(payload), shape.names)
         swept = asked.cogroup(given).applyInArrow(lambda a, b: meet(a, b), shape)
         merged = merged.unionByName(swept.select("qid", cand.alias("cand")))

@@ -215,3 +215,16 @@ def test_queries_that_boxes_do_not_help_are_not_copied_to_every_unit(spark, monk
         want = can[np.lexsort((can, np.round(dist[can], 12)))][:k]
         part = got[got.qid == q]
         assert part.tid.tolist() == want.tolist() and np.allclose(part.dist, dist[want], atol=1e-12)
+
+
+def test_a_visit_holds_small_matrices():
+    import tracemalloc
+
+    g = np.random.default_rng(6)
+    x, group = g.normal(size=(4096, 3)), g.integers(0, 5, 4096)
+    NB._top(x[:9], group[:9], x, group, 5, "other")
+    tracemalloc.start()
+    NB._top(x, group, x, group, 5, "other")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20  # with matrices of two million cells: above 50 MB
