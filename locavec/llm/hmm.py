@@ -42,8 +42,8 @@ SEGMENT = 512
 SCALED = 4
 #: Tokens worked on at once, and codes whose counts travel in one row.
 BATCH, BLOCK = 1 << 18, 1 << 10
-#: Rounds of Baum-Welch over all training documents, and before them over about START_TOKENS tokens, for a first model.
-ROUNDS, START_ROUNDS, START_TOKENS = 4, 10, 1 << 20
+#: Rounds of Baum-Welch over all training documents, and before them over one in START_SHARE of them, for a first model.
+ROUNDS, START_ROUNDS, START_SHARE = 4, 10, 64
 #: Weight, in tokens, of the corpus-wide probabilities in those of a state, and of the uniform in moves and first states.
 PRIOR, PRIOR_MOVE = 64.0, 1.0
 
@@ -374,20 +374,20 @@ def baum_welch(encoded: DataFrame, model: Model, codes: str = "codes") -> Stats:
 def train(encoded: DataFrame, vocab: Vocabulary, key: str, *, states: int = STATES, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over all rows of ``encoded`` (the training documents), ``rounds`` times.
 
-    The model that the first round starts from comes from a few cheap rounds over about START_TOKENS tokens, drawn by a hash of
-    ``key``; the counts of every round over the corpus replace all of it. Without training rows every token
-    is the one unseen word, with probability 1.
+    The model that the first round starts from comes from a few cheap rounds over one in START_SHARE rows, drawn by a hash of
+    ``key`` by the same rule at every size (where it draws none, the counts of no row leave the model as it is); the counts of every
+    round over the corpus replace all of it. Without training rows every token is the one unseen word, with probability 1.
     """
     share = vocab.share
     model = start_model(share, states)
     if not vocab.total:
         return Model(model.first, model.move, np.repeat(share[:, None], states, 1))
-    few = encoded
-    if vocab.total > START_TOKENS:
-        few = encoded.where(F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1_000_000)) < F.lit(1 + int(1e6 * START_TOKENS / vocab.total)))
+    few = encoded.where(F.pmod(F.xxhash64(key, F.lit(5)), F.lit(START_SHARE)) == 0)
     few = cut_lineage(few.select("codes").repartition(16), "start")
     for _ in range(START_ROUNDS):
-        model = maximized(baum_welch(few, model), share)
+        counts = baum_welch(few, model)
+        if counts.first.any():
+            model = maximized(counts, share)
     for _ in range(rounds):
         model = maximized(baum_welch(encoded, model), share)
     return model

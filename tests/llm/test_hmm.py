@@ -156,3 +156,14 @@ def test_empty_tables_nulls_repeats_and_clashing_names(spark):
     assert len(got) == 6 and all(math.isfinite(r["score"]) for r in got)
     assert_base([r for r in got if r["doc_id"] is not None], rows)
     assert {"codes", "other"} <= set(got[0].asDict())
+
+
+def test_the_start_is_drawn_by_one_rule_at_every_size(spark, monkeypatch):
+    """Rows of the first rounds: the same share by hash of a small corpus and of one with many more tokens."""
+    seen, run = [], hmm.baum_welch
+    monkeypatch.setattr(hmm, "baum_welch", lambda e, m, *a: seen.append(e.count()) or run(e, m, *a))
+    monkeypatch.setattr(hmm, "START_ROUNDS", 1)
+    for words in (3, 3000):  # 3000 and 3 million tokens
+        docs = spark.range(1000).select("id", F.repeat(F.lit("a b "), words // 2).alias("text"), F.lit(True).alias("t"))
+        hmm.score(docs.repartition(1).sortWithinPartitions("id"), F.col("t"), states=2, rounds=1).count()
+    assert seen[0] == seen[2] < 60 and seen[1] == seen[3] == 1000  # before: 1000 rows of the small one
