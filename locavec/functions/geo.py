@@ -101,30 +101,27 @@ def grid_cell(lat, lon, cell_deg: float) -> tuple[Column, Column]:
 def hilbert_key(lat, lon, bits: int = 16) -> Column:
     """Position along a Hilbert curve over a 2^bits by 2^bits grid.
 
-    The loop over bits is a fold over a constant array, which keeps the expression small.
+    Whole batches go through the loop over bits together; a fold over an array would be interpreted row by row.
     """
-    side = (1 << bits) - 1
-    gx = F.greatest(F.lit(0.0), F.least(F.lit(float(side)), (_c(lon) + 180.0) / 360.0 * side)).cast("long")
-    gy = F.greatest(F.lit(0.0), F.least(F.lit(float(side)), (_c(lat) + 90.0) / 180.0 * side)).cast("long")
-    levels = F.array(*[F.lit(1 << b).cast("long") for b in reversed(range(bits))])
-    start = F.struct(gx.alias("x"), gy.alias("y"), F.lit(0).cast("long").alias("d"))
-
-    def descend(state, s):
-        x, y = state["x"], state["y"]
-        hi_x, hi_y = x.bitwiseAND(s) != 0, y.bitwiseAND(s) != 0
-        # quadrant number along the curve: (0,0)=0, (0,1)=1, (1,1)=2, (1,0)=3
-        quadrant = F.when(hi_x & ~hi_y, 3).when(hi_x, 2).when(hi_y, 1).otherwise(0).cast("long")
-        # keep only the bits below s, mirroring in quadrant 3
-        lx, ly = x.bitwiseAND(s - 1), y.bitwiseAND(s - 1)
-        mx = F.when(quadrant == 3, s - 1 - lx).otherwise(lx)
-        my = F.when(quadrant == 3, s - 1 - ly).otherwise(ly)
-        return F.struct(
-            F.when(hi_y, mx).otherwise(my).alias("x"),
-            F.when(hi_y, my).otherwise(mx).alias("y"),
-            (state["d"] + s * s * quadrant).alias("d"),
-        )
-
-    return F.aggregate(levels, start, descend, lambda state: state["d"])
+    @F.pandas_udf("long")
+    def key(lat: pd.Series, lon: pd.Series) -> pd.Series:
+        side = (1 << bits) - 1
+        at = lambda v: np.fmax(0.0, np.fmin(float(side), v)).astype("i8")  # a missing value counts as the end of the grid
+        x, y = at((lon.to_numpy("f8") + 180.0) / 360.0 * side), at((lat.to_numpy("f8") + 90.0) / 180.0 * side)
+        d = np.zeros(len(x), "i8")
+        for bit in reversed(range(bits)):
+            s = 1 << bit
+            hi_x, hi_y = (x & s) != 0, (y & s) != 0
+            # quadrant number along the curve: (0,0)=0, (0,1)=1, (1,1)=2, (1,0)=3
+            quadrant = np.where(hi_x, np.where(hi_y, 2, 3), np.where(hi_y, 1, 0))
+            # keep only the bits below s, mirroring in quadrant 3
+            x, y = x & (s - 1), y & (s - 1)
+            x, y = np.where(quadrant == 3, s - 1 - x, x), np.where(quadrant == 3, s - 1 - y, y)
+            x, y = np.where(hi_y, x, y), np.where(hi_y, y, x)
+            d += s * s * quadrant
+        return pd.Series(d)
+
+    return key(_c(lat).cast("double"), _c(lon).cast("double"))
 
 
 @F.pandas_udf(T.BinaryType())

@@ -128,3 +128,27 @@ def test_tail_stretch_turns_the_longer_tail_up(spark):
     d = spark.range(101).select("id", (-F.col("id").cast("double")).alias("a"), (F.col("id") - 50.0).alias("b"), (F.col("id") * 1.0).alias("c"))
     stretch, sign = color.stretch_of(d, "a", "b", "c", "id", rule="tails")
     assert sign == [-1.0, 1.0, 1.0] and stretch == [2.0, 98.0, 48.0, 98.0]
+
+
+def test_hilbert_key_is_computed_on_batches(spark):
+    """Values against the loop for one point, missing ones included; no fold that is interpreted row by row."""
+    from locavec.functions import geo
+
+    def one(lat, lon, side=(1 << 16) - 1):
+        x, y = (side if v is None else int(max(0.0, min(float(side), (v + h) / (2 * h) * side))) for v, h in ((lon, 180.0), (lat, 90.0)))
+        d = 0
+        for s in (1 << b for b in reversed(range(16))):
+            hx, hy = bool(x & s), bool(y & s)
+            quad = (2 if hy else 3) if hx else (1 if hy else 0)
+            x, y, d = x & (s - 1), y & (s - 1), d + s * s * quad
+            if quad == 3:
+                x, y = s - 1 - x, s - 1 - y
+            if not hy:
+                x, y = y, x
+        return d
+
+    g = np.random.default_rng(2)
+    rows = [(float(a), float(b)) for a, b in zip(g.uniform(-95, 95, 200), g.uniform(-185, 185, 200))] + [(None, 1.0), (1.0, None), (-90.0, -180.0), (90.0, 180.0)]
+    d = spark.createDataFrame(rows, "lat double, lon double").coalesce(1).select("lat", "lon", geo.hilbert_key("lat", "lon").alias("h"))
+    assert "aggregate(" not in d._jdf.queryExecution().toString()
+    assert all(r["h"] == one(r["lat"], r["lon"]) for r in d.collect())
