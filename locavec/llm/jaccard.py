@@ -8,7 +8,7 @@ Two sets are linked when 100 * |A and B| >= percent * |A or B|; the result is ex
    position i of a set of n can be the first common n-gram only with partners of at most
    (n - i) * (100 + percent) / percent - n elements, so that its probe visits just the blocks up to this size, and none from about
    the middle of the prefix on. Lists of a single set are dropped.
-3. *Leaders.* In rounds, each block of a list names a leader (the least by a hash of the round), and each set is compared with the leader
+3. *Leaders.* In rounds, each block of a list names a leader (first the set with the fewest rarer n-grams, then the least by a hash), and each set is compared with the leader
    that it meets in most lists. Linked sets become one class and keep their overlap with the leader; members of a class do not meet
    again, and lists of a single class are dropped. A round forms at most one pair a set, so a large group of near copies closes in
    linear work. Rounds go on while they link at least one in fifty of the sets still listed; what they miss is found in the next step.
@@ -194,10 +194,13 @@ def _size(at: Column) -> Column:  # size and position of an entry are in one num
     return F.shiftright(at, 31)
 
 
+def _place(at: Column) -> Column:
+    return at.bitwiseAND(F.lit((1 << 31) - 1))
+
+
 def _most(at: Column, percent: int) -> Column:
     """Largest partner for which an entry can be the first common n-gram."""
-    i = at.bitwiseAND(F.lit((1 << 31) - 1))
-    return F.floor((_size(at) - i) * F.lit(100 + percent) / F.lit(percent)).cast("long") - _size(at)
+    return F.floor((_size(at) - _place(at)) * F.lit(100 + percent) / F.lit(percent)).cast("long") - _size(at)
 
 
 def listed(entries: DataFrame, by: str) -> DataFrame:
@@ -209,12 +212,14 @@ def listed(entries: DataFrame, by: str) -> DataFrame:
 def leader_pairs(entries: DataFrame, percent: int, turn: int) -> DataFrame:
     """Pairs (leader, set) from ``entries`` (g, sid, c, at): for each set the leader of another class it meets in most lists.
 
-    A list's block names the set that is least by a hash of (set, turn). Leaders are taken by an aggregate that Spark combines before the
-    shuffle, so a list of any length gives as many rows as it has entries.
+    A list's block names, in the first turn, the set that has the list's n-gram earliest, later and in ties the least by a hash of (set, turn).
+    Copies with changes have rare n-grams of their own before it, the text in their middle has none and is linked with most of them. Leaders are
+    taken by an aggregate that Spark combines before the shuffle, so a list of any length gives as many rows as it has entries.
     """
     e = entries.where(_most(F.col("at"), percent) >= _size(F.col("at")))
-    e = e.select(F.xxhash64("g", _block(_size(F.col("at")), percent)).alias("k"), "sid", "c", "at")
-    lead = e.groupBy("k").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "c", "at")).alias("l"), F.count("*").alias("m"))
+    rank = _place(F.col("at")) if turn == 0 else F.lit(0)
+    e = e.select(F.xxhash64("g", _block(_size(F.col("at")), percent)).alias("k"), "sid", "c", "at", rank.alias("rank"))
+    lead = e.groupBy("k").agg(F.min(F.struct("rank", F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "c", "at")).alias("l"), F.count("*").alias("m"))
     lead = lead.where("m > 1").select("k", F.col("l.sid").alias("x"), F.col("l.c").alias("cx"), F.col("l.at").alias("atx"))
     n, nx = _size(F.col("at")), _size(F.col("atx"))
     met = e.join(lead, "k").where((F.col("c") != F.col("cx")) & (n <= _most(F.col("atx"), percent)) & (nx <= _most(F.col("at"), percent)))
