@@ -158,20 +158,21 @@ def first_on_land(df: DataFrame, key: str, polygons: DataFrame, draw, tries: int
     ``draw(attempt)`` gives (lat, lon) columns. A short first stage settles most rows; only the rest
     is expanded to the remaining attempts.
     """
-    from .joins import on_land
+    from .joins import point_in_polygon
 
     def stage(rows: DataFrame, lo: int, hi: int) -> DataFrame:
         a = rows.withColumn("attempt", F.explode(F.sequence(F.lit(lo), F.lit(hi))))
         la, lo_ = draw(F.col("attempt"))
-        moved = a.select(key, "attempt", la.alias("lat"), lo_.alias("lon")).withColumn("__k", F.struct(key, "attempt"))
-        ok = on_land(moved, polygons, "__k")
-        best = ok.groupBy(key).agg(F.min(F.struct("attempt", "lat", "lon")).alias("b"))
+        moved = a.select(key, "attempt", la.alias("lat"), lo_.alias("lon"))
+        # a draw inside several polygons comes several times, which the minimum does not see
+        best = point_in_polygon(moved, polygons).groupBy(key).agg(F.min(F.struct("attempt", "lat", "lon")).alias("b"))
         return best.select(key, "b.attempt", "b.lat", "b.lon")
 
     one = stage(df, 1, min(first_stage, tries))
     if tries <= first_stage:
         return one
-    return one.unionByName(stage(df.join(one, key, "left_anti"), first_stage + 1, tries))
+    one = cut_lineage(one, "first_stage")
+    return one.unionByName(stage(df.join(one.select(key), key, "left_anti"), first_stage + 1, tries))
 
 
 def land_anchors(ids: DataFrame, key: str, polygons: DataFrame, *, lat_min: float = -56.0, lat_max: float = 70.0, seed: int = 0,

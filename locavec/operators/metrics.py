@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import geo
@@ -103,15 +106,53 @@ def idw(neighbours: DataFrame, ks: Sequence[int], value: str, task_type: str = "
 
 # --------------------------------------------------------------------------- variogram
 
-def semivariance(pairs: DataFrame, widths: Sequence[int], a: str = "va", b: str = "vb", lag: str = "lag_km") -> DataFrame:
-    """Half the mean squared prefix distance by lag and width, with the mean relative change."""
-    from ..functions import vectors as V
+def prefix_distances(pairs: DataFrame, widths: Sequence[int], a: str = "va", b: str = "vb") -> DataFrame:
+    """Per row and width: the columns but the vectors, width, squared distance d2 of the prefixes and norm na of the first one.
+
+    One running sum over a batch serves all widths. Both values are null where a prefix holds nulls or is null, d2 also where lengths differ.
+    """
+    rest = [f for f in pairs.schema.fields if f.name not in (a, b)]
+    ends = [w - 1 for w in widths]
+
+    def sums(m: np.ndarray) -> np.ndarray:  # from left to right, as in a loop
+        c = np.cumsum(m, axis=1)
+        return c[:, [min(e, m.shape[1] - 1) for e in ends]] if m.shape[1] else np.zeros((len(m), len(ends)))
+
+    def run_of(z):  # the built-in sum() compensates
+        return float(np.cumsum([0.0, *z])[-1])
+
+    def one(x, y):
+        out = []
+        for w in widths:
+            u, v = None if x is None else x[:w], None if y is None else y[:w]
+            known = u is not None and None not in u
+            same = known and v is not None and None not in v and len(u) == len(v)
+            out.append((run_of((i - j) * (i - j) for i, j in zip(u, v)) if same else None, math.sqrt(run_of(i * i for i in u)) if known else None))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, k = batch.num_rows, len(widths)
+            x, y = batch.column(batch.schema.get_field_index(a)), batch.column(batch.schema.get_field_index(b))
+            fx, fy = x.flatten(), y.flatten()
+            long = set(np.diff(x.offsets.to_numpy()).tolist()) | set(np.diff(y.offsets.to_numpy()).tolist())
+            if len(long) == 1 and not (x.null_count or y.null_count or fx.null_count or fy.null_count):
+                u, v = (f.to_numpy(zero_copy_only=False).astype("f8").reshape(n, -1) for f in (fx, fy))
+                d2, na = pa.array(sums((u - v) ** 2).ravel()), pa.array(np.sqrt(sums(u * u)).ravel())
+            else:
+                d2, na = (pa.array(c, pa.float64()) for c in zip(*[r for i, j in zip(x.to_pylist(), y.to_pylist()) for r in one(i, j)])) if n else (
+                    pa.array([], pa.float64()),) * 2
+            at = pa.array(np.repeat(np.arange(n), k))
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(f.name)).take(at) for f in rest],
+                                              pa.array(np.tile(np.array(widths, "i4"), n), pa.int32()), d2, na], [*[f.name for f in rest], "width", "d2", "na"])
+
+    return pairs.mapInArrow(run, T.StructType([*rest, T.StructField("width", T.IntegerType()), T.StructField("d2", T.DoubleType()),
+                                               T.StructField("na", T.DoubleType())]))
 
-    def at(w):
-        x, y = V.prefix(a, w), V.prefix(b, w)
-        return F.struct(F.lit(w).alias("width"), V.squared_distance(x, y).alias("d2"), V.norm(x).alias("na"))
 
-    long = pairs.select(lag, F.explode(F.array(*[at(w) for w in widths])).alias("p")).select(lag, "p.*")
+def semivariance(pairs: DataFrame, widths: Sequence[int], a: str = "va", b: str = "vb", lag: str = "lag_km") -> DataFrame:
+    """Half the mean squared prefix distance by lag and width, with the mean relative change."""
+    long = prefix_distances(pairs.select(lag, a, b), widths, a, b)
     return long.groupBy(lag, "width").agg(
         (0.5 * F.avg("d2")).alias("gamma"),
         F.avg(F.sqrt("d2") / F.greatest(F.col("na"), F.lit(1e-9))).alias("rel_change"), F.count(F.lit(1)).alias("n_pairs"))

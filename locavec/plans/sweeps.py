@@ -420,8 +420,8 @@ def variogram(anchors: DataFrame, weights: encoders.Weights, *, polygons: DataFr
     else:
         off = FO.land_offsets(p, "pair", polygons, seed=seed).select("pair", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
         moved = p.select("pair", id_col, "lag_km").join(off, "pair")
-    far = encoders.embed(moved, weights, dim=dim, out="vb", lat="lat2", lon="lon2")
-    pairs = far.join(base.select(id_col, "va"), id_col).select(
-        "lag_km", F.col("va").cast("array<double>"), F.col("vb").cast("array<double>"))
+    # the anchors' vectors join before the far ends are embedded, so that no pair's vectors are shuffled
+    near = moved.join(base.select(id_col, "va"), id_col)
+    pairs = encoders.embed(near, weights, dim=dim, out="vb", lat="lat2", lon="lon2").select("lag_km", "va", "vb")
     curve = cut_lineage(metrics.semivariance(pairs, widths), "curve")
     return curve.join(metrics.half_sill(curve), "width").withColumn("encoder", F.concat(F.lit(f"{tag}_"), F.col("width").cast("string")))
