@@ -12,6 +12,8 @@ Two sets are linked when 100 * |A and B| >= percent * |A or B|; the result is ex
    that it meets in most lists. Linked sets become one class and keep their overlap with the leader; members of a class do not meet
    again, and lists of a single class are dropped. A round forms at most one pair a set, so a large group of near copies closes in
    linear work. Rounds go on while they link at least one in fifty of the sets still listed; what they miss is found in the next step.
+   Before sets are rebuilt for a pair, here and in step 4, it must pass its parity bits: each set has about as many bits as elements, an element
+   flips one of them, so that the bits in which two sets differ are at most the elements in which they do. Unrelated sets differ in about half.
 4. *Answers.* The index gives all pairs of sets of different classes. Those of the leaders are counted first. The overlap of a member with
    a partner then lies between o(leader, partner) - |leader - member| and o(leader, partner) + |member - leader|; only pairs that these
    bounds leave open are counted themselves.
@@ -29,7 +31,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch, shared_dir
@@ -39,7 +41,7 @@ from .common import SPACED, arrow_map, components, mix, ngram_hashes, word_chunk
 WORDS, SKETCH_BITS = 4, 24
 #: A round of leaders is followed by another if it links at least one in so many of the listed sets.
 SETTLED = 50
-#: Bits of the bitmap of the documents in some pair; more bits let fewer other texts into the shuffle.
+#: Bits of the bitmap of wanted documents; more bits let fewer others into the shuffle.
 MARK_BITS = 24
 #: Bytes of text that are hashed at once, and rows whose sets a worker holds at once: they bound its memory, not the result.
 CHUNK_BYTES, HELD_ROWS = 1 << 18, 1024
@@ -113,22 +115,30 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
                 int((mix(s ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(3)).sum(dtype=np.uint64).astype(np.int64)))
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Parity bits of a set, in words of 64: bit h modulo their number is set if an odd number of elements have it. Their number is the next power of two."""
+    width = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _summaries(rows: DataFrame, estimate: np.ndarray, words: int, percent: int, bits: int) -> DataFrame:
-    """Per text: size and digest of the set, and the ordered prefix."""
+    """Per text: size, digest and parity bits of the set, and the ordered prefix."""
     shared = rows.sparkSession.sparkContext.broadcast(estimate)
 
     def run(b):
-        n, d, prefix = [], [], []
+        n, d, w, prefix = [], [], [], []
         for s in sets_of(b.column(1), words):
             n.append(len(s))
             d.append(_digest(s))
+            w.append(parity(s))
             order = np.lexsort((s, shared.value[(s >> np.uint64(64 - bits)).astype(np.int64)]))
             prefix.append(s[order[:len(s) - (percent * len(s) + 99) // 100 + 1]].view(np.int64))
         return pa.RecordBatch.from_arrays(
             [b.column(0), pa.array(n, pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()),
-             pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "prefix"])
+             pa.array(w, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "w", "prefix"])
 
-    return arrow_map(rows, run, "id long, n long, d1 long, d2 long, prefix array<long>", HELD_ROWS)
+    return arrow_map(rows, run, "id long, n long, d1 long, d2 long, w array<long>, prefix array<long>", HELD_ROWS)
 
 
 def _written(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
@@ -144,19 +154,42 @@ def linked(overlap: Column, n1: Column, n2: Column, percent: int) -> Column:
     return 100 * overlap >= percent * (n1 + n2 - overlap)
 
 
-def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose id is among the ids of ``wanted``, and some others, without a shuffle of the texts.
+def differing(w1: Column, w2: Column) -> Column:
+    """Number of differing parity bits, at most the size of the symmetric difference; the longer bits are folded to the length of the shorter."""
+    least = F.least(F.size(w1), F.size(w2))
+
+    def folded(w: Column, i: Column) -> Column:
+        return F.aggregate(F.sequence(i, F.size(w), least), F.lit(0).cast("long"), lambda a, j: a.bitwiseXOR(F.element_at(w, j)))
 
-    The ids are hashed into a bitmap of ``2 ** MARK_BITS`` bits, whatever their number: that bounds the broadcast side (2 MB).
+    return F.aggregate(F.sequence(F.lit(1), least), F.lit(0).cast("long"), lambda a, i: a + F.bit_count(folded(w1, i).bitwiseXOR(folded(w2, i))))
+
+
+def near(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that their sizes and parity bits in ``marks`` (sid, n, w) allow to be linked: all linked ones, and few others."""
+    for side in ("x", "y"):
+        pairs = pairs.join(marks.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("w").alias(f"w{side}")), side)
+    most = F.shiftright(F.col("nx") + F.col("ny") - differing(F.col("wx"), F.col("wy")), 1)
+    return pairs.where(linked(most, F.col("nx"), F.col("ny"), percent)).select("x", "y")
+
+
+def marked(rows: DataFrame, wanted: DataFrame, flag: str, key: str = "id") -> DataFrame:
+    """``rows`` with a boolean column: true if the key is among those of ``wanted``, and for some others, without a shuffle of the texts.
+
+    The keys are hashed into a bitmap of ``2 ** MARK_BITS`` bits, whatever their number: that bounds the broadcast side (2 MB).
     """
-    h = F.pmod(F.xxhash64("id"), F.lit(1 << MARK_BITS))
+    h = F.pmod(F.xxhash64(key), F.lit(1 << MARK_BITS))
     marks = wanted.select(h.alias("h")).distinct().groupBy(F.bitmap_bucket_number("h").alias("__bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__marks"))
     at = F.bitmap_bit_position(h)
     octet = F.conv(F.hex(F.substring("__marks", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     bit = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8 + 1).cast("int"))
-    return (rows.withColumn("__bucket", F.bitmap_bucket_number(h)).join(F.broadcast(marks), "__bucket")
-            .where(octet.bitwiseAND(bit) != 0).select(*rows.columns))
+    return (rows.withColumn("__bucket", F.bitmap_bucket_number(h)).join(F.broadcast(marks), "__bucket", "left")
+            .select(*rows.columns, F.coalesce(octet.bitwiseAND(bit) != 0, F.lit(False)).alias(flag)))
+
+
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose id is among the ids of ``wanted``, and some others."""
+    return marked(rows, wanted, "__likely").where("__likely").drop("__likely")
 
 
 def _overlaps(rows: DataFrame, same: DataFrame, pairs: DataFrame, words: int, name: str) -> DataFrame:
@@ -175,9 +208,8 @@ def _overlaps(rows: DataFrame, same: DataFrame, pairs: DataFrame, words: int, na
              pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64()))], ["id", "d1", "d2", "s"])
 
     need = cut_lineage(need, name)
-    texts = _likely(rows, need).join(need.select("id").distinct(), "id").select("id", "text")
-    # repeated rows fall together before the shuffle, and the join keeps its partitioning
-    sets = (arrow_map(texts, run, "id long, d1 long, d2 long, s array<long>", HELD_ROWS).dropDuplicates(["id", "d1", "d2"])
+    # texts stay where they are; repeated rows fall together before the shuffle, and the join keeps its partitioning
+    sets = (arrow_map(_likely(rows, need), run, "id long, d1 long, d2 long, s array<long>", HELD_ROWS).dropDuplicates(["id", "d1", "d2"])
             .join(need, ["id", "d1", "d2"]).select("sid", "s"))
     sets = cut_lineage(sets, name)
     return (pairs.join(sets.select(F.col("sid").alias("x"), F.col("s").alias("sx")), "x")
@@ -205,8 +237,8 @@ def _most(at: Column, percent: int) -> Column:
 
 def listed(entries: DataFrame, by: str) -> DataFrame:
     """The entries (g, ...) of lists that hold two values of ``by`` or more."""
-    several = entries.groupBy("g").agg(F.min(by).alias("a"), F.max(by).alias("z")).where("a != z").select("g")
-    return entries.join(several, "g")
+    own = Window.partitionBy("g")  # one shuffle; a list that is longer than the memory is spilled
+    return entries.withColumns({"__a": F.min(by).over(own), "__z": F.max(by).over(own)}).where("__a != __z").drop("__a", "__z")
 
 
 def leader_pairs(entries: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -241,7 +273,7 @@ def index_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return hit.select("x", F.col("sid").alias("y")).distinct()
 
 
-def _classes(rows: DataFrame, same: DataFrame, entries: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _classes(rows: DataFrame, same: DataFrame, marks: DataFrame, entries: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(entries of lists with several classes, counted links of the leaders): see step 3 of the module text."""
     spark = rows.sparkSession
     ok = linked(F.col("o"), F.col("nx"), F.col("ny"), percent)
@@ -258,7 +290,7 @@ def _classes(rows: DataFrame, same: DataFrame, entries: DataFrame, words: int, p
 
     for turn in itertools.count():
         open_sets = live.select("sid").distinct().count()
-        new = _written(spark, "stars", lambda: _overlaps(rows, same, leader_pairs(live, percent, turn), words, "leaders").where(ok))
+        new = _written(spark, "stars", lambda: _overlaps(rows, same, near(leader_pairs(live, percent, turn), marks, percent), words, "leaders").where(ok))
         stars = new if stars is None else stars.union(new)
         links = new.count()
         if links:
@@ -267,10 +299,10 @@ def _classes(rows: DataFrame, same: DataFrame, entries: DataFrame, words: int, p
             return live, stars
 
 
-def _links(rows: DataFrame, same: DataFrame, entries: DataFrame, words: int, percent: int) -> DataFrame:
+def _links(rows: DataFrame, same: DataFrame, marks: DataFrame, entries: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (x, y) between sets, enough of them for the groups: one class of leaders, and all pairs between classes."""
-    live, stars = _classes(rows, same, entries, words, percent)
-    found = cut_lineage(index_pairs(live, percent), "found")
+    live, stars = _classes(rows, same, marks, entries, words, percent)
+    found = cut_lineage(near(index_pairs(live, percent), marks, percent), "found")
 
     # each set's best leader: of those it was linked with, the one that shares most
     best = stars.groupBy(F.col("y").alias("s")).agg(F.max(F.struct("o", "x", "nx", "ny")).alias("m")).select(
@@ -321,7 +353,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int
         same = cut_lineage(same.select("n", "d1", "d2", F.col("r.id").alias("rep"), F.col("r.sid").alias("sid"), "m"), "same")
         entries = full.select("sid", "n", "prefix").join(same.select("sid"), "sid").select("sid", "n", F.posexplode("prefix").alias("i", "g"))
         entries = entries.select("g", "sid", F.shiftleft("n", 31).bitwiseOR(F.col("i").cast("long")).alias("at"))
-        links = _links(rows, same, entries, words, percent)
+        links = _links(rows, same, made.select("sid", "n", "w"), entries, words, percent)
         rep = same.select("sid", "rep")
         links = (links.join(rep.select(F.col("sid").alias("x"), F.col("rep").alias("a")), "x")
                  .join(rep.select(F.col("sid").alias("y"), F.col("rep").alias("b")), "y").select("a", "b"))
