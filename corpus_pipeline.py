@@ -16,7 +16,7 @@ from locavec.session import cut_lineage
 
 #: Columns that stages add and take out again.
 _ADDED = ("__lang", "__near", "__score", "__good")
-_ROW = "__row_number"
+_ROW, _MAYBE = "__row_number", "__maybe"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +44,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(_ROW).alias("row"))
     first = groups.groupBy("component_id").agg(F.min(order).alias("m")).select(F.col("m.row").alias(_ROW))
     # equal texts with words are linked; what is left are repetitions of texts without any
-    blank = rows.select(_ROW, "doc_id", "text").where("doc_id IS NOT NULL").join(sizes.where("n_shingles = 0").select(_ROW), _ROW, "left_semi")
+    empty = sizes.where("n_shingles = 0").select(_ROW)
+    blank = rows.select(_ROW, "doc_id", "text").where("doc_id IS NOT NULL")
+    blank = jaccard.marked(blank, empty, _MAYBE, _ROW).where(_MAYBE).drop(_MAYBE).join(empty, _ROW, "left_semi")  # other texts are not shuffled
     once = blank.groupBy("doc_id", "text").agg(F.min(_ROW).alias(_ROW)).select(_ROW)
     drop = groups.select(_ROW).join(first, _ROW, "left_anti").union(blank.select(_ROW).join(once, _ROW, "left_anti"))
-    return rows.join(cut_lineage(drop, "dropped"), _ROW, "left_anti").select(*docs.columns)
+    drop = cut_lineage(drop, "dropped")
+    # only texts that may have to go are shuffled
+    seen = jaccard.marked(rows, drop, _MAYBE, _ROW)
+    return seen.where(~F.col(_MAYBE)).select(*docs.columns).union(seen.where(_MAYBE).join(drop, _ROW, "left_anti").select(*docs.columns))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

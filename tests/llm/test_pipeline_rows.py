@@ -11,3 +11,21 @@ def test_rows_with_one_id_or_none(spark):
     got = [tuple(r) for r in cp.one_of_each_group(spark, docs, "").collect()]
     want = [(1, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (None, text("e")), (4, text("f")), (5, None), (5, ""), (None, None), (None, None)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_only_texts_that_may_go_are_joined(spark, monkeypatch):
+    """Of 300 texts two without words are sought as repetitions, and three rows are dropped; no other text enters a join."""
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(10))) for i in range(300)]
+    rows += [(500, rows[5][1]), (501, rows[5][1]), (502, " "), (502, " ")]
+    calls, marked = [], cp.jaccard.marked
+
+    def counted(d, wanted, flag, key="id"):
+        out = marked(d, wanted, flag, key)
+        if key == cp._ROW:
+            calls.append((out.count(), out.where(flag).count()))
+        return out
+
+    monkeypatch.setattr(cp.jaccard, "marked", counted)
+    got = [tuple(r) for r in cp.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert sorted(got) == [*rows[:300], (502, " ")]
+    assert calls == [(304, 2), (304, 3)]
