@@ -56,9 +56,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    found = decontam.find(docs.select(F.struct("*").alias("__row"), F.col("text")), table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("hits") == 0).select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+    """Documents in which no window of a benchmark item occurs.
+
+    Columns are numbered on the way: none then has a name that ``find`` replaces, and each text goes to the Python workers once.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    found = decontam.find(docs.toDF(*names), table(spark, sf_dir, "benchmark"), text=names[docs.columns.index("text")])
+    return found.where(F.size("hits") == 0).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

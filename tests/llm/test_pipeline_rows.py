@@ -29,3 +29,14 @@ def test_only_texts_that_may_go_are_joined(spark, monkeypatch):
     got = [tuple(r) for r in cp.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
     assert sorted(got) == [*rows[:300], (502, " ")]
     assert calls == [(304, 2), (304, 3)]
+
+
+def test_each_text_goes_to_python_once_before_decontamination(spark, sf, monkeypatch):
+    """No struct of the whole row goes beside the text, and columns named as those that find() adds keep their values."""
+    frames, arrow_map = [], cp.decontam.arrow_map
+    monkeypatch.setattr(cp.decontam, "arrow_map", lambda frame, *a: frames.append(frame.dtypes) or arrow_map(frame, *a))
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("size(split(text, ' ')) >= 20").first()["text"]
+    docs = spark.createDataFrame([(1, "a few clean words", "x"), (2, item, "y"), (3, None, "z")], "doc_id long, text string, hits string")
+    got = cp.no_benchmark(spark, docs, sf)
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [(1, "a few clean words", "x"), (3, None, "z")]
+    assert [kind for _, kind in frames[0]] == ["bigint", "string", "string"]
