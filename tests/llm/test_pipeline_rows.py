@@ -40,3 +40,26 @@ def test_each_text_goes_to_python_once_before_decontamination(spark, sf, monkeyp
     got = cp.no_benchmark(spark, docs, sf)
     assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [(1, "a few clean words", "x"), (3, None, "z")]
     assert [kind for _, kind in frames[0]] == ["bigint", "string", "string"]
+
+
+def test_batches_of_long_texts_are_bounded(spark, sf):
+    """2000 texts of 8 kB leave in batches of some MB (16 MB at once before); a bound of the user's stays."""
+    docs = spark.range(2000, numPartitions=1).selectExpr("id AS doc_id", "repeat('few words ', 800) AS text")
+    sizes = lambda d: [r["n"] for r in d.mapInArrow(_batch_bytes, "n long").collect()]
+    old = spark.conf.get(cp.BATCH, None)
+    try:
+        spark.conf.unset(cp.BATCH)
+        cp.no_benchmark(spark, docs, sf)
+        assert max(sizes(docs)) < 2 * cp.BATCH_BYTES < sum(sizes(docs))
+        spark.conf.set(cp.BATCH, "1000000")
+        cp.no_benchmark(spark, docs, sf)
+        assert spark.conf.get(cp.BATCH) == "1000000"
+    finally:
+        spark.conf.set(cp.BATCH, old) if old else spark.conf.unset(cp.BATCH)
+
+
+def _batch_bytes(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
