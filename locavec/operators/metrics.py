@@ -104,6 +104,18 @@ def idw(neighbours: DataFrame, ks: Sequence[int], value: str, task_type: str = "
     return votes.groupBy("qid", "k").agg(F.max_by(value, F.struct(F.col("v"), -F.col(value))).alias("pred"))
 
 
+def idw_lists(rows: DataFrame, ks: Sequence[int], value: str) -> DataFrame:
+    """``rows`` with k and pred instead of their lists ``near`` (km, value): ``idw`` of a number without a shuffle."""
+    def pred(k: int) -> Column:
+        few = F.slice("near", 1, k)
+        w = lambda x: 1.0 / F.greatest(x["km"], F.lit(WEIGHT_FLOOR_KM))
+        top = F.aggregate(few, F.lit(0.0), lambda s, x: s + w(x) * x[value])
+        return F.struct(F.lit(int(k)).alias("k"), (top / F.aggregate(few, F.lit(0.0), lambda s, x: s + w(x))).alias("pred"))
+
+    rest = [c for c in rows.columns if c != "near"]
+    return rows.select(*rest, F.explode(F.array(*[pred(k) for k in ks])).alias("p")).select(*rest, "p.k", "p.pred")
+
+
 # --------------------------------------------------------------------------- variogram
 
 def prefix_distances(pairs: DataFrame, widths: Sequence[int], a: str = "va", b: str = "vb") -> DataFrame:

@@ -519,6 +519,7 @@ def nearest(
     max_dist: float = float("inf"),
     residual: bool = False,
     leaf_rows: int = LEAF_ROWS,
+    lists: bool = False,
 ) -> DataFrame:
     """The ``k`` nearest training rows of every query: ``(qid, tid, dist, rank, *payload)``.
 
@@ -527,6 +528,8 @@ def nearest(
     ``vec``, or a projection of it followed by the norm of the remainder when ``residual``).
     ``mode``: None uses every row, "other" rows of another group, "same" rows of the same group.
     ``max_dist`` keeps distances up to it. Queries with no neighbour inside it give no rows. k is capped at the number of eligible rows.
+    ``lists``: (qid, cand), cand an array of (dist, *payload) by rank, for queries with a qid of their own; a query that one visit
+    serves is then not shuffled again.
     """
     fields = T.StructType([train.schema[p] for p in payload])
     dedupe = Window.partitionBy("vec", "grp").orderBy("tid")
@@ -564,13 +567,19 @@ def nearest(
     routed = cut_lineage(routed, "routed")  # read for the unit loads and for the visit
     first = _co_visit(routed, placed, _visit_fn(bc, k, mode, max_dist, list(payload), True, names), schema)
     # Three readers follow (own candidates, unit loads, onward rows): write the visit once.
+    cand, done = F.arrays_zip("dist", "tid", *payload), (F.size("more") == 0) & ~F.col("many")
+    if lists:  # a list that is whole is put in order here and needs no ids any more
+        whole = F.transform(F.sort_array(cand), lambda c: F.struct(c["dist"].alias("dist"), *[c[p].alias(p) for p in payload]))
+        first = first.select("qid", "grp", "more", "many", "cap", "unit", F.when(F.col("many"), F.col("ix")).alias("ix"),
+                             *[F.when(~done, F.col(c)).alias(c) for c in ("vec", "dist", "tid", *payload)], F.when(done, whole).alias("whole"))
     first = cut_lineage(first, "nearest")
-    cand = F.arrays_zip("dist", "tid", *payload)
     own = first.select("qid", cand.alias("cand"))
     # cap: kth distance so far, so that a later unit returns only candidates that can still matter
     onward = first.select("qid", "grp", "vec", "cap", F.explode("more").alias("unit"))
     shape = T.StructType([f for f in schema if f.name in ("qid", "dist", "tid", *payload)])
     later = _co_visit(onward, placed, _visit_fn(bc, k, mode, max_dist, list(payload), False, shape.names), shape)
+    if lists:
+        own = first.where(~done).select("qid", cand.alias("cand"))
     merged = own.unionByName(later.select("qid", cand.alias("cand")))
     met = _meetings(first.where("many").select("qid", "grp", "vec", "ix", "cap", "unit"), index, mode)
     if met is not None:
@@ -591,6 +600,9 @@ def nearest(
         swept = asked.cogroup(given).applyInArrow(lambda a, b: meet(a, b), shape)
         merged = merged.unionByName(swept.select("qid", cand.alias("cand")))
     best = merged.groupBy("qid").agg(F.slice(F.sort_array(F.flatten(F.collect_list("cand"))), 1, k).alias("cand"))
+    if lists:
+        kept = F.transform("cand", lambda c: F.struct(c["dist"].alias("dist"), *[c[p].alias(p) for p in payload]))
+        return best.select("qid", kept.alias("cand")).unionByName(first.where(done).select("qid", F.col("whole").alias("cand"))).where(F.size("cand") > 0)
     return best.select("qid", F.posexplode("cand").alias("rank", "c")).select(
         "qid", "c.tid", "c.dist", (F.col("rank") + 1).alias("rank"), *[F.col(f"c.{p}") for p in payload]
     )
@@ -624,6 +636,19 @@ def sphere_knn(df: DataFrame, *, k: int, id_col: str = "id", fold: str = "fold",
     return hits.withColumn("km", chord_to_km("dist")).drop("dist")
 
 
+def sphere_lists(df: DataFrame, *, k: int, id_col: str = "id", fold: str = "fold", lat: str = "lat", lon: str = "lon", carry: tuple[str, ...] = (),
+                 payload: tuple[str, ...] = (), **kw) -> DataFrame:
+    """As ``sphere_knn``, one row per row that has neighbours: (id, fold, *carry, near), near an array of (km, *payload) by rank.
+
+    ``carry`` goes along with the row, so that nothing is joined to it afterwards. Ids are unique.
+    """
+    q = _sphere(df.withColumn("qid", F.struct(id_col, fold, *carry)), "qid", "qid", lat, lon, F.col(fold))
+    t = _sphere(df, id_col, "tid", lat, lon, F.col(fold), payload)
+    hits = nearest(q, t, k=k, mode="other", payload=payload, lists=True, **kw)
+    near = F.transform("cand", lambda c: F.struct(chord_to_km(c["dist"]).alias("km"), *[c[p].alias(p) for p in payload]))
+    return hits.select("qid.*", near.alias("near"))
+
+
 def nearest_train_km(df: DataFrame, *, id_col: str = "id", fold: str = "fold", lat: str = "lat", lon: str = "lon",
                      **kw) -> DataFrame:
     """(id, fold, km): distance from each held-out row to the closest row of the other folds."""

@@ -228,3 +228,26 @@ def test_a_visit_holds_small_matrices():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 20 << 20  # with matrices of two million cells: above 50 MB
+
+
+def test_lists_equal_the_ranked_rows_and_serve_the_ladder(spark, monkeypatch):
+    """Queries that one visit serves and others, ties included; the ladder goes without ranked rows, which are all shuffled."""
+    from locavec.operators import metrics
+    from locavec.plans import sweeps
+
+    rng = np.random.default_rng(5)
+    lat, lon = rng.integers(-40, 40, 400) / 2, rng.integers(-40, 40, 400) / 2
+    rows = [(i, float(lat[i]), float(lon[i]), float(rng.normal()), i % 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double, y double, fold int")
+    want = {}
+    for r in NB.sphere_knn(df, k=6, payload=("y",), leaf_rows=32).collect():
+        want.setdefault(r["qid"], {})[r["rank"]] = (r["km"], r["y"])
+    lists = NB.sphere_lists(df, k=6, payload=("y",), leaf_rows=32)
+    got = {r["id"]: {j + 1: tuple(x) for j, x in enumerate(r["near"])} for r in lists.collect()}
+    assert got == want and len(got) == 400
+    pred = {(r["qid"], r["k"]): r["pred"] for r in metrics.idw(NB.sphere_knn(df, k=6, payload=("y",), leaf_rows=32), [1, 6], "y").collect()}
+    mine = {(r["id"], r["k"]): r["pred"] for r in metrics.idw_lists(lists, [1, 6], "y").collect()}
+    assert mine.keys() == pred.keys() and all(abs(mine[x] - pred[x]) < 1e-9 for x in pred)
+    monkeypatch.setattr(NB, "sphere_knn", lambda *a, **k: 1 / 0)
+    out = sweeps.interpolation_sweep(df.drop("fold"), "y", benchmark="b", ks=(1, 5), cells=(0.0, 10.0))
+    assert out.count() == 4
