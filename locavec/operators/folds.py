@@ -22,10 +22,21 @@ def spatial_folds(df: DataFrame, *, folds: int = 5, cell_deg: float = 10.0, seed
     distinct cells are ranked. Their number is bounded by the cell size, which decides the join. Rows with a missing or
     NaN coordinate share one cell of their own, the last in the row by row order.
     """
+    side = cell_folds(df, folds=folds, cell_deg=cell_deg, seed=seed, order=order, lat=lat, lon=lon, out=out)
+    return with_cells(df, cell_deg, lat=lat, lon=lon).join(side, ["__cla", "__clo"]).drop("__cla", "__clo")
+
+
+def with_cells(df: DataFrame, cell_deg: float, *, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Grid cell of every row, as __cla and __clo."""
     known = F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
     cla, clo = (F.when(known, c).otherwise(F.lit(1 << 40)) for c in geo.grid_cell(lat, lon, cell_deg))
-    rows = df.withColumn("__cla", cla).withColumn("__clo", clo)
-    cells = rows.select("__cla", "__clo").distinct()
+    return df.withColumn("__cla", cla).withColumn("__clo", clo)
+
+
+def cell_folds(df: DataFrame, *, folds: int = 5, cell_deg: float = 10.0, seed: int = 0, order: str = "hash", lat: str = "lat", lon: str = "lon",
+               out: str = "fold") -> DataFrame:
+    """(__cla, __clo, fold) of the grid cells that hold rows, to be joined to ``with_cells``."""
+    cells = with_cells(df, cell_deg, lat=lat, lon=lon).select("__cla", "__clo").distinct()
     if order == "hash":
         ranked = hash_rank(cells, ["__cla", "__clo"], seed=seed, stream=3, out="__r")
     elif order == "lex":
@@ -34,8 +45,7 @@ def spatial_folds(df: DataFrame, *, folds: int = 5, cell_deg: float = 10.0, seed
     else:
         raise ValueError(f"unknown cell order {order!r}")
     bound = int((180.0 / cell_deg + 2) * (360.0 / cell_deg + 2)) + 1
-    side = ranked.select("__cla", "__clo", (F.col("__r") % folds).cast("int").alias(out))
-    return rows.join(broadcast_if_bounded(side, bound), ["__cla", "__clo"]).drop("__cla", "__clo")
+    return broadcast_if_bounded(ranked.select("__cla", "__clo", (F.col("__r") % folds).cast("int").alias(out)), bound)
 
 
 def random_folds(df: DataFrame, id_col: str, *, folds: int = 5, seed: int = 0, stream: int = 4, group=(),

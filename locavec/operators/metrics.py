@@ -35,6 +35,15 @@ def r2_by(df: DataFrame, keys: Sequence[str], truth: str = "truth", pred: str =
     return df.groupBy(*keys).agg(score.alias("score"), F.count(F.lit(1)).alias("n"))
 
 
+def r2_columns(df: DataFrame, keys: Sequence[str], ks: Sequence[int], truth: str = "truth") -> DataFrame:
+    """(*keys, k, score): ``r2_by`` without a floor for the predictions in the columns p_<k>, in one pass and without a copy of a row."""
+    res = lambda k: F.sum((F.col(truth) - F.col(f"p_{k}")) * (F.col(truth) - F.col(f"p_{k}")))
+    sums = df.groupBy(*keys).agg((F.var_pop(truth) * F.count(truth)).alias("tot"), *[res(k).alias(f"p_{k}") for k in ks])
+    score = lambda k: F.when(F.col("tot") > 0, 1 - F.col(f"p_{k}") / F.greatest("tot", F.lit(1e-12))).otherwise(F.lit(MISSING))
+    each = F.explode(F.array(*[F.struct(F.lit(int(k)).alias("k"), score(k).alias("score")) for k in ks])).alias("s")
+    return sums.select(*keys, each).select(*keys, "s.k", "s.score")
+
+
 def accuracy_by(df: DataFrame, keys: Sequence[str], truth: str = "truth", pred: str = "pred") -> DataFrame:
     return df.groupBy(*keys).agg(F.avg((F.col(truth) == F.col(pred)).cast("double")).alias("score"), F.count(F.lit(1)).alias("n"))
 
@@ -104,16 +113,18 @@ def idw(neighbours: DataFrame, ks: Sequence[int], value: str, task_type: str = "
     return votes.groupBy("qid", "k").agg(F.max_by(value, F.struct(F.col("v"), -F.col(value))).alias("pred"))
 
 
+def idw_of(k: int, value: str) -> Column:
+    """Prediction from the first ``k`` entries of the list ``near`` (km, value)."""
+    few = F.slice("near", 1, k)
+    w = lambda x: 1.0 / F.greatest(x["km"], F.lit(WEIGHT_FLOOR_KM))
+    return F.aggregate(few, F.lit(0.0), lambda s, x: s + w(x) * x[value]) / F.aggregate(few, F.lit(0.0), lambda s, x: s + w(x))
+
+
 def idw_lists(rows: DataFrame, ks: Sequence[int], value: str) -> DataFrame:
     """``rows`` with k and pred instead of their lists ``near`` (km, value): ``idw`` of a number without a shuffle."""
-    def pred(k: int) -> Column:
-        few = F.slice("near", 1, k)
-        w = lambda x: 1.0 / F.greatest(x["km"], F.lit(WEIGHT_FLOOR_KM))
-        top = F.aggregate(few, F.lit(0.0), lambda s, x: s + w(x) * x[value])
-        return F.struct(F.lit(int(k)).alias("k"), (top / F.aggregate(few, F.lit(0.0), lambda s, x: s + w(x))).alias("pred"))
-
     rest = [c for c in rows.columns if c != "near"]
-    return rows.select(*rest, F.explode(F.array(*[pred(k) for k in ks])).alias("p")).select(*rest, "p.k", "p.pred")
+    preds = F.array(*[F.struct(F.lit(int(k)).alias("k"), idw_of(k, value).alias("pred")) for k in ks])
+    return rows.select(*rest, F.explode(preds).alias("p")).select(*rest, "p.k", "p.pred")
 
 
 # --------------------------------------------------------------------------- variogram

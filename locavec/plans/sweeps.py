@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encoders, geo
 from ..operators import folds as FO
-from ..operators import metrics, models, stats
+from ..operators import fold_ladder, metrics, models, stats
 from ..operators import neighbours as NB
 from ..operators.clean import finite, valid_rows
 from ..operators.primitives import hash_rank, hash_uniform
@@ -19,7 +19,6 @@ from ..operators.summary import category
 from ..session import cut_lineage
 
 # Sweep grids.
-LIST_LEAF_ROWS = 2048  # larger leaves than elsewhere: more queries end with their first visit
 CELL_SIZES = (0.0, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 40.0)
 PENALTY_CELLS = (0.0, 2.0, 10.0, 40.0)
 DISTANCE_CELLS = (0.0, 2.0, 10.0)
@@ -178,25 +177,39 @@ def penalty_sweep(df: DataFrame, features: str, targets: Sequence[str], *, bench
 
 def interpolation_sweep(df: DataFrame, target: str, *, benchmark: str, ks: Sequence[int], cells: Sequence[float], task_type: str = "regression",
                         seed: int = 0, id_col: str = "id", order: str = "hash") -> DataFrame:
-    """Unrounded score per cell size and k: one neighbour search per cell size, at the largest k.
+    """Unrounded score per cell size and k: for a number one neighbour search over all cell sizes, for a class one per cell size, at the largest k.
 
     Folds are drawn over all rows; rows without a valid label then neither train nor count.
     """
+    label = [F.lit(benchmark).alias("benchmark"), category(F.lit(benchmark)).alias("family"), F.lit(target).alias("task"), F.lit(task_type).alias("task_type")]
+    if task_type == "regression":
+        names = [f"__f{i}" for i in range(len(cells))]
+        d = _ladder_folds(df.select(id_col, "lat", "lon", target), cells, names, id_col=id_col, seed=seed, order=order).where(valid_rows(target))
+        by = metrics.r2_columns(fold_ladder.idw_ladder(d, names, ks, target, id_col=id_col), ["grid", "fold"], ks)
+        cell = F.get(F.array(*[F.lit(float(c)) for c in cells]), F.col("grid")).alias("cell_deg")
+        return by.where(~F.isnan("score")).groupBy("grid", "k").agg(F.avg("score").alias("score")).select(*label, cell, "k", "score")
     parts = []
     for cell in cells:
-        d = with_folds(df, cell, seed=seed, order=order).where(valid_rows(target, numeric=task_type == "regression"))
-        if task_type == "regression":
-            near = NB.sphere_lists(d.withColumn("truth", F.col(target)), k=max(ks), carry=("truth",), payload=(target,), id_col=id_col, leaf_rows=LIST_LEAF_ROWS)
-            by = metrics.r2_by(metrics.idw_lists(near, ks, target), ["fold", "k"], floor=None)
-        else:
-            pred = metrics.idw(NB.sphere_knn(d, k=max(ks), payload=(target,), id_col=id_col), ks, target, task_type)
-            by = metrics.accuracy_by(pred.join(d.select(F.col(id_col).alias("qid"), "fold", F.col(target).alias("truth")), "qid"), ["fold", "k"])
+        d = with_folds(df, cell, seed=seed, order=order).where(valid_rows(target, numeric=False))
+        pred = metrics.idw(NB.sphere_knn(d, k=max(ks), payload=(target,), id_col=id_col), ks, target, task_type)
+        by = metrics.accuracy_by(pred.join(d.select(F.col(id_col).alias("qid"), "fold", F.col(target).alias("truth")), "qid"), ["fold", "k"])
         parts.append(by.where(~F.isnan("score")).groupBy("k").agg(F.avg("score").alias("score")).select(
-            F.lit(benchmark).alias("benchmark"), category(F.lit(benchmark)).alias("family"), F.lit(target).alias("task"),
-            F.lit(task_type).alias("task_type"), F.lit(float(cell)).alias("cell_deg"), "k", "score"))
+            *label, F.lit(float(cell)).alias("cell_deg"), "k", "score"))
     return union(parts)
 
 
+def _ladder_folds(df: DataFrame, cells: Sequence[float], names: Sequence[str], *, id_col: str, seed: int, order: str) -> DataFrame:
+    """The fold columns of ``with_folds`` for every cell size. Cells come from ``df`` itself, so that no join is repeated for the next one."""
+    out = df
+    for cell, name in sorted(zip(cells, names)):  # random folds first: they shuffle the rows, the others join small tables
+        if cell == 0:
+            out = FO.modulo_folds(out, id_col, out=name) if seed == 0 else FO.random_folds(out, id_col, seed=seed, out=name)
+        else:
+            side = FO.cell_folds(df, cell_deg=cell, seed=seed, order=order, out=name)
+            out = FO.with_cells(out, cell).join(side, ["__cla", "__clo"]).drop("__cla", "__clo")
+    return out
+
+
 # --------------------------------------------------------------------------- buffers
 
 def retention_levels(df: DataFrame, radii: Sequence[float], *, folds: int = 5, seed: int = 0, id_col: str = "id") -> DataFrame:
