@@ -32,6 +32,7 @@ MEET_CELLS = 64
 FOLD_BITS = 3          # folds of all assignments are held in one long
 MAX_GRIDS = 16         # assignments of one search
 NEAREST_CELLS = 4096   # cells tried first for a leaf's bound
+LIST_PER_K = 6         # rows of the list that all assignments share, in ks
 
 
 @dataclass
@@ -65,7 +66,7 @@ def _cut(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _folds(grp: np.ndarray, grids: int) -> np.ndarray:
     """[assignments, rows] from the packed folds."""
-    return np.stack([(grp >> (FOLD_BITS * c)) & ((1 << FOLD_BITS) - 1) for c in range(grids)]).astype("i8")
+    return np.stack([(grp >> (FOLD_BITS * c)) & ((1 << FOLD_BITS) - 1) for c in range(grids)]).astype("u1")
 
 
 def _counts(folds: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -178,32 +179,44 @@ def _distances(x: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 def _first(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and values of the k smallest of every row, ties by position."""
-    k, n = min(k, d.shape[1]), d.shape[1]
+    k, n, row = min(k, d.shape[1]), d.shape[1], np.arange(len(d))[:, None]
     at = np.broadcast_to(np.arange(n), d.shape)
     if n > k:
         few = np.argpartition(d, k - 1, axis=1)[:, :k]
-        most = int((d <= np.take_along_axis(d, few, axis=1).max(axis=1)[:, None]).sum(axis=1).max())
-        if most > k and most < n:  # ties at the end of the list
+        most = int(np.count_nonzero(d <= d[row, few].max(axis=1)[:, None], axis=1).max())
+        if most > k and most < n:  # ties at the end of some list
             few = np.argpartition(d, most - 1, axis=1)[:, :most]
         at = np.sort(few, axis=1) if most < n else at
-    v = np.take_along_axis(d, at, axis=1)
+    v = d[row, at]
     order = np.argsort(v, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(at, order, axis=1), np.take_along_axis(v, order, axis=1)
+    return at[row, order], v[row, order]
 
 
 def _meet_fn(ks: Sequence[int], grids: int, late: set, names: list[str]):
-    """Group function: (rows of a leaf, the cells they need) -> (grid, fold, truth, a prediction for every k)."""
+    """Group function: (rows of a leaf, the cells they need) -> (grid, fold, truth, a prediction for every k).
+
+    Some ten queries go together. One list of their nearest rows, whatever the fold, serves every assignment under which it holds k rows of
+    other folds; the queries for which it is too short get a list under that assignment.
+    """
     k = max(ks)
 
     def meet(queries: pa.Table, train: pa.Table) -> pa.Table:
-        out = [[np.zeros(0, "i4")], [np.zeros(0, "i4")], [np.zeros(0)], [np.zeros((0, len(ks)))]]
+        grid, fold, truth, pred = np.zeros(0, "i4"), np.zeros(0, "i4"), np.zeros(0), np.zeros((0, len(ks)))
         if len(queries) and len(train):
-            _meet(queries, train, out)
-        grid, fold, truth, pred = (np.concatenate(c) for c in out)
+            grid, at, rows, d, value = _meet(queries, train)
+            fold, truth = _folds(queries["grp"].to_numpy(), grids)[grid, at], queries["truth"].to_numpy()[at]
+            some = np.isfinite(d)
+            km = 2 * EARTH_RADIUS_KM * np.arcsin(np.minimum(1.0, np.where(some, d, 0.0) / 2))
+            w = np.where(some, 1.0 / np.maximum(km, metrics.WEIGHT_FLOOR_KM), 0.0)
+            ends = np.array(ks) - 1
+            pred = np.cumsum(w * value[rows], axis=1)[:, ends] / np.cumsum(w, axis=1)[:, ends]
         return pa.table(dict(zip(names, [grid.astype("i4"), fold.astype("i4"), truth, *pred.T])))
 
-    def _meet(queries: pa.Table, train: pa.Table, out: list) -> None:
+    def _meet(queries: pa.Table, train: pa.Table) -> tuple:
+        """(assignment, query, its k nearest rows of other folds, their distances) for all that have such a row, and the rows' values.
+        Lists with fewer rows end in rows at no finite distance."""
         unit = queries["unit"][0].as_py()
+        asked = np.array([c for c in range(grids) if (unit, c) not in late], "i8")
         flat = lambda c: train[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         t, tid, value = flat("xyz").reshape(-1, 3), flat("tid"), flat("value")
         tf = _folds(flat("grp"), grids)
@@ -213,50 +226,59 @@ def _meet_fn(ks: Sequence[int], grids: int, late: set, names: list[str]):
         free = _free(_counts(tf, starts, len(t)))
         across = np.ascontiguousarray(t.T)
         q = np.stack([queries[c].to_numpy() for c in "xyz"], axis=1)
-        qf, truth = _folds(queries["grp"].to_numpy(), grids), queries["truth"].to_numpy()
+        qf = _folds(queries["grp"].to_numpy(), grids)
+
+        def nearest(x: np.ndarray, n: int, e: np.ndarray, box: tuple, own: np.ndarray | None = None, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+            """Rows and distances of the ``n`` nearest of every query, of other folds where ``own`` is given. ``e``: rows of every cell for each fold
+            among the queries. ``box``: ends of a box that holds the queries, its smallest distances from the cells, cells by their largest ones."""
+            a, z, near, by = box
+            can = e.any(axis=1)
+            first = by[can[by]]
+            enough = (np.cumsum(e[first], axis=0) >= n).all(axis=1)
+            bound = np.inf
+            if enough.any():  # the n-th distances in the first cells that surely have n rows bound all others
+                first = first[:enough.argmax() + 1]
+                rows = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in first])
+                d = _distances(x, across[:, rows])
+                if own is not None:
+                    np.putmask(d, own[:, None] == fold[rows], np.inf)
+                bound = np.partition(d, n - 1, axis=1)[:, n - 1].max() * (1 + 1e-12)
+            rows = np.flatnonzero(np.repeat(can & (near <= bound), sizes))
+            one = own is not None and (own == own[0]).all()
+            if one:
+                rows = rows[fold[rows] != own[0]]
+            if np.isfinite(bound):
+                rows = rows[_spans(a, z, t[rows], t[rows])[0] <= bound]
+            rows = rows[np.argsort(tid[rows], kind="stable")]
+            d = _distances(x, across[:, rows])
+            if own is not None and not one:
+                np.putmask(d, own[:, None] == fold[rows], np.inf)
+            pos, d = _first(d, n) if len(rows) else (np.zeros((len(x), 0), "i8"), d)
+            return rows[pos], d
+
+        out = [(np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros((0, k), "i8"), np.zeros((0, k)))]
         order, cuts = _cut(q, CELL_ROWS)
         for a, z in zip(cuts, np.append(cuts[1:], len(q))):
             at = order[a:z]
             x = q[at]
-            a_lo, a_hi = x.min(axis=0), x.max(axis=0)
-            near, far = _spans(a_lo, a_hi, lo, hi)
-            by = np.argsort(far)
-            for c in range(grids):
-                if (unit, c) in late:
-                    continue
-                own = qf[c, at]
-                present = np.flatnonzero(np.bincount(own))
-                e = free[:, c, present]
-                can = e.any(axis=1)
-                first = by[can[by]]
-                enough = (np.cumsum(e[first], axis=0) >= k).all(axis=1)
-                bound = np.inf
-                if enough.any():  # the k-th distances in the first cells that surely have k rows bound all others
-                    first = first[:enough.argmax() + 1]
-                    rows = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in first])
-                    d = _distances(x, across[:, rows])
-                    d[own[:, None] == tf[c, rows]] = np.inf
-                    bound = np.partition(d, k - 1, axis=1)[:, k - 1].max() * (1 + 1e-12)
-                rows = np.flatnonzero(np.repeat(can & (near <= bound), sizes))
-                if len(present) == 1:
-                    rows = rows[tf[c, rows] != present[0]]
-                if np.isfinite(bound):
-                    rows = rows[_spans(a_lo, a_hi, t[rows], t[rows])[0] <= bound]
-                if not len(rows):
-                    continue
-                rows = rows[np.argsort(tid[rows], kind="stable")]
-                d = _distances(x, across[:, rows])
-                if len(present) > 1:
-                    d[own[:, None] == tf[c, rows]] = np.inf
-                pos, d = _first(d, k)
-                some = np.isfinite(d)
-                km = 2 * EARTH_RADIUS_KM * np.arcsin(np.minimum(1.0, np.where(some, d, 0.0) / 2))
-                w = np.where(some, 1.0 / np.maximum(km, metrics.WEIGHT_FLOOR_KM), 0.0)
-                ends = [min(j, w.shape[1]) - 1 for j in ks]
-                sums, tops = np.cumsum(w, axis=1)[:, ends], np.cumsum(w * value[rows[pos]], axis=1)[:, ends]
-                ok = some[:, 0]
-                for column, v in zip(out, (np.full(ok.sum(), c), own[ok], truth[at][ok], tops[ok] / sums[ok])):
-                    column.append(v)
+            ends = x.min(axis=0), x.max(axis=0)
+            near, far = _spans(*ends, lo, hi)
+            box = *ends, near, np.argsort(far)
+            rows, d = nearest(x, LIST_PER_K * k, sizes[:, None], box)
+            other = tf[asked][:, rows] != qf[asked][:, at, None]
+            rank = np.cumsum(other, axis=2, dtype="i4")
+            served = rank[:, :, -1] >= k
+            grid, i, pos = np.nonzero(other & (rank <= k) & served[:, :, None])  # k of each that is served, in order
+            i, pos = i.reshape(-1, k), pos.reshape(-1, k)
+            out.append((asked[grid[::k]], at[i[:, 0]], rows[i, pos], d[i, pos]))
+            for j in np.flatnonzero(~served.all(axis=1)):
+                c, left = asked[j], np.flatnonzero(~served[j])
+                own = qf[c, at[left]]
+                r, v = nearest(x[left], k, free[:, c, np.flatnonzero(np.bincount(own))], box, own, tf[c])
+                if v.shape[1]:
+                    some, short = np.isfinite(v[:, 0]), ((0, 0), (0, k - v.shape[1]))
+                    out.append((np.full(some.sum(), c), at[left[some]], np.pad(r, short)[some], np.pad(v, short, constant_values=np.inf)[some]))
+        return *(np.concatenate(c) for c in zip(*out)), value
 
     return meet
 
