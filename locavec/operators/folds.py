@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -22,30 +23,38 @@ def spatial_folds(df: DataFrame, *, folds: int = 5, cell_deg: float = 10.0, seed
     distinct cells are ranked. Their number is bounded by the cell size, which decides the join. Rows with a missing or
     NaN coordinate share one cell of their own, the last in the row by row order.
     """
-    side = cell_folds(df, folds=folds, cell_deg=cell_deg, seed=seed, order=order, lat=lat, lon=lon, out=out)
-    return with_cells(df, cell_deg, lat=lat, lon=lon).join(side, ["__cla", "__clo"]).drop("__cla", "__clo")
+    side = cell_folds(df, [cell_deg], folds=folds, seed=seed, order=order, lat=lat, lon=lon, out=out).drop("__at")
+    return with_cells(df, cell_deg, lat=lat, lon=lon).join(bounded_cells(side, cell_deg), ["__cla", "__clo"]).drop("__cla", "__clo")
+
+
+def _cell(lat: str, lon: str, cell_deg: float) -> list[Column]:
+    known = F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
+    return [F.when(known, c).otherwise(F.lit(1 << 40)).alias(name) for c, name in zip(geo.grid_cell(lat, lon, cell_deg), ("__cla", "__clo"))]
 
 
 def with_cells(df: DataFrame, cell_deg: float, *, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Grid cell of every row, as __cla and __clo."""
-    known = F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
-    cla, clo = (F.when(known, c).otherwise(F.lit(1 << 40)) for c in geo.grid_cell(lat, lon, cell_deg))
-    return df.withColumn("__cla", cla).withColumn("__clo", clo)
+    return df.select("*", *_cell(lat, lon, cell_deg))
 
 
-def cell_folds(df: DataFrame, *, folds: int = 5, cell_deg: float = 10.0, seed: int = 0, order: str = "hash", lat: str = "lat", lon: str = "lon",
+def cell_folds(df: DataFrame, cells: Sequence[float], *, folds: int = 5, seed: int = 0, order: str = "hash", lat: str = "lat", lon: str = "lon",
                out: str = "fold") -> DataFrame:
-    """(__cla, __clo, fold) of the grid cells that hold rows, to be joined to ``with_cells``."""
-    cells = with_cells(df, cell_deg, lat=lat, lon=lon).select("__cla", "__clo").distinct()
+    """(__at, __cla, __clo, fold) of the grid cells that hold rows, to be joined to ``with_cells``; __at is the position in ``cells``."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("__at"), *_cell(lat, lon, c)) for i, c in enumerate(cells)])).alias("__c")
+    found = df.select(each).select("__c.*").distinct()
     if order == "hash":
-        ranked = hash_rank(cells, ["__cla", "__clo"], seed=seed, stream=3, out="__r")
+        ranked = hash_rank(found, ["__cla", "__clo"], group=["__at"], seed=seed, stream=3, out="__r")
     elif order == "lex":
         # a grid row holds at most 360 / cell_deg cells, so rows serve as buckets without any sampling
-        ranked = ranked_in_buckets(cells, [], ["__cla"], [F.col("__clo")], "__r")
+        ranked = ranked_in_buckets(found, ["__at"], ["__cla"], [F.col("__clo")], "__r")
     else:
         raise ValueError(f"unknown cell order {order!r}")
-    bound = int((180.0 / cell_deg + 2) * (360.0 / cell_deg + 2)) + 1
-    return broadcast_if_bounded(ranked.select("__cla", "__clo", (F.col("__r") % folds).cast("int").alias(out)), bound)
+    return ranked.select("__at", "__cla", "__clo", (F.col("__r") % folds).cast("int").alias(out))
+
+
+def bounded_cells(side: DataFrame, cell_deg: float) -> DataFrame:
+    """The cells of one size, broadcast where their greatest number allows it."""
+    return broadcast_if_bounded(side, int((180.0 / cell_deg + 2) * (360.0 / cell_deg + 2)) + 1)
 
 
 def random_folds(df: DataFrame, id_col: str, *, folds: int = 5, seed: int = 0, stream: int = 4, group=(),

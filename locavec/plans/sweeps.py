@@ -199,14 +199,15 @@ def interpolation_sweep(df: DataFrame, target: str, *, benchmark: str, ks: Seque
 
 
 def _ladder_folds(df: DataFrame, cells: Sequence[float], names: Sequence[str], *, id_col: str, seed: int, order: str) -> DataFrame:
-    """The fold columns of ``with_folds`` for every cell size. Cells come from ``df`` itself, so that no join is repeated for the next one."""
-    out = df
-    for cell, name in sorted(zip(cells, names)):  # random folds first: they shuffle the rows, the others join small tables
+    """The fold columns of ``with_folds`` for every cell size. The grid cells of all sizes are ranked together and written once."""
+    out, sized = df, [(c, name) for c, name in zip(cells, names) if c]
+    for cell, name in zip(cells, names):  # random folds first: they shuffle the rows, the others join small tables
         if cell == 0:
             out = FO.modulo_folds(out, id_col, out=name) if seed == 0 else FO.random_folds(out, id_col, seed=seed, out=name)
-        else:
-            side = FO.cell_folds(df, cell_deg=cell, seed=seed, order=order, out=name)
-            out = FO.with_cells(out, cell).join(side, ["__cla", "__clo"]).drop("__cla", "__clo")
+    sides = cut_lineage(FO.cell_folds(df, [c for c, _ in sized], seed=seed, order=order), "grid_cells") if sized else None
+    for at, (cell, name) in enumerate(sized):
+        side = sides.where(F.col("__at") == at).select("__cla", "__clo", F.col("fold").alias(name))
+        out = FO.with_cells(out, cell).join(FO.bounded_cells(side, cell), ["__cla", "__clo"]).drop("__cla", "__clo")
     return out
 
 
